@@ -44,8 +44,9 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: str, spread: Sequence[str
     salted = table.withColumn("salts", salts)
     hot = salted.filter("salts > 1").select(on, "salts")
     spread_rows = (rows.join(F.broadcast(hot), on, "left")
-                   .withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(
-                       F.pmod(F.xxhash64(*spread), F.col("salts"))).cast("int"))
+                   .withColumn("salts", F.when(F.col(on).isNull(), HOT_SHARE).otherwise(
+                       F.coalesce("salts", F.lit(1))))
+                   .withColumn("salt", F.pmod(F.xxhash64(*spread), F.col("salts")).cast("int"))
                    .drop("salts"))
     copies = (salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
               .drop("salts"))

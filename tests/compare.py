@@ -1,0 +1,76 @@
+"""Runs queries and their SQL side by side and reports differences."""
+
+from __future__ import annotations
+
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+import pandas as pd
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
+          "benchmark labels conversations").split()
+
+
+def open_duckdb(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        if Path(f"{sf_dir}/{name}.parquet").exists():
+            con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
+    """None if both frames hold the same rows in any order."""
+    if sorted(got.columns) != sorted(want.columns):
+        return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
+    if len(got) != len(want):
+        return f"{len(got)} rows != {len(want)}"
+    names = sorted(got.columns)
+    got = got[names].sort_values(names, ignore_index=True)
+    want = want[names].sort_values(names, ignore_index=True)
+    for name in names:
+        if (got[name].dtype.kind in "iu") != (want[name].dtype.kind in "iu"):
+            return f"{name}: type {got[name].dtype} != {want[name].dtype}"
+        same = (got[name] == want[name]) | (got[name].isna() & want[name].isna())
+        if not same.all():
+            at = same.idxmin()
+            return (f"{name}: {(~same).sum()} values differ, first "
+                    f"{got.loc[at].to_dict()} != {want.loc[at].to_dict()}")
+    return None
+
+
+def main(sf_dir: str, only: list[str]) -> int:
+    sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+    from pyspark.sql import SparkSession
+
+    import __spark_entry__ as contract
+
+    spark = (SparkSession.builder.master("local[8]").config("spark.driver.memory", "12g")
+             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+    spark.sparkContext.setLogLevel("ERROR")
+    oracle, con, bad = contract.oracle_sql(), open_duckdb(sf_dir), 0
+    for name, query in contract.queries().items():
+        if only and name not in only:
+            continue
+        started = time.time()
+        try:
+            got = query(spark, sf_dir).toPandas()
+            took = time.time() - started
+            started = time.time()
+            verdict = "rows only"
+            if name in oracle:
+                verdict = difference(got, con.sql(oracle[name]).df()) or "ok"
+            print(f"{name:30s} {len(got):8d} rows  spark {took:6.2f}s  sql {time.time() - started:6.2f}s  "
+                  f"{verdict}", flush=True)
+            bad += verdict not in ("ok", "rows only")
+        except Exception as error:  # report and go on with the other queries
+            bad += 1
+            print(f"{name:30s} FAILED {type(error).__name__}: {str(error)[:1500]}", flush=True)
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1], sys.argv[2:]))
