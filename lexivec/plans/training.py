@@ -40,7 +40,7 @@ from lexivec.sources.shared_tables import write_table
 # All weights of one learner together stay below this many floats.
 MAX_WEIGHT_CELLS = 2**31 - 1
 # With num_partitions=0 a learner gets at least this many words.
-WORDS_PER_LEARNER = 200_000
+WORDS_PER_LEARNER = 100_000
 OUTPUT_ROWS = 4096
 
 MODIFIED_SCHEMA = ("kind string, row_id bigint, vector array<float>, words bigint, "

@@ -14,6 +14,13 @@ def corpus_tokens(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
     return df.select(*keys, word_tokens(text_col).alias("tokens"))
 
 
+def enough_partitions(scan: DataFrame) -> DataFrame:
+    """Spreads a table read in fewer partitions than there are cores. A large table is read in
+    more and stays as it is, without a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def check_token_column(schema: T.StructType, input_col: str, output_col: str | None = None) -> None:
     """Raises unless ``input_col`` is ``array<string>`` and ``output_col`` is a new name."""
     if input_col not in schema.fieldNames():

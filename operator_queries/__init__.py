@@ -17,7 +17,9 @@ from lexivec.plans import training
 from lexivec.plans.schedule import learning_rate_schedule
 from lexivec.settings import TrainSettings
 from lexivec.sources import model_store
-from lexivec.sources.corpus import check_token_column, corpus_tokens, explode_tokens
+from lexivec.sources.corpus import (
+    check_token_column, corpus_tokens, enough_partitions, explode_tokens,
+)
 from lexivec.sources.dictionary import read_dictionary, write_dictionary
 from lexivec.sources.shared_tables import new_path
 from lexivec.streaming.documents import drain, stream_transform
@@ -52,7 +54,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def tokens_of(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus_tokens(table(spark, sf, "documents"), "text", "doc_id")
+    rows = enough_partitions(table(spark, sf, "documents").select("doc_id", "text"))
+    return corpus_tokens(rows, "text", "doc_id")
 
 
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:

@@ -28,6 +28,9 @@ PARTS = {
         from (select word_id, pow(cnt, 0.75) / z as p,
                      sum(pow(cnt, 0.75)) over (order by word_id) / z as hi
               from vocab cross join total)"""),
+    "cells": (("dist",), """
+        select word_id, lo, hi, unnest(range(floor(lo * 16384)::bigint,
+                                             floor(hi * 16384)::bigint + 1)) as cell from dist"""),
     "enc": (("words", "vocab"), """
         select doc_id, row_number() over (partition by doc_id order by pos) - 1 as rn, word_id
         from words join vocab using (word)"""),
@@ -88,7 +91,7 @@ def sql(body: str, *parts: str) -> str:
 
     for name in parts:
         add(name)
-    ctes = ",\n".join(f"{name} as ({PARTS[name][1]})" for name in order)
+    ctes = ",\n".join(f"{name} as materialized ({PARTS[name][1]})" for name in order)
     return f"with {ctes}\n{body}" if ctes else body
 
 
@@ -112,7 +115,7 @@ def negative_draws(rows: str, keys: str, extra: str = "") -> str:
                            {draw(keys, "'neg'", "k.draw")} * (1 - c.p) as u0
                     from {rows} r join dist c on c.word_id = r.center
                     cross join (select unnest(range(1, {NEGATIVE + 1})) as draw) k)) e
-        asof join dist iv on e.u >= iv.lo"""
+        join cells iv on iv.cell = floor(e.u * 16384)::bigint and e.u >= iv.lo and e.u < iv.hi"""
 
 
 MODEL_ROWS = "select word, word_id, count, dim, value from"
@@ -188,7 +191,8 @@ ORACLE = {
     "negative_interval_join": sql(f"""
         select iv.word_id as target, count(*) as draws, sum(pos)::bigint as positions
         from (select pos, {draw("doc_id", "chunk", "pos", "'u'")} as u from spots) s
-        asof join dist iv on s.u >= iv.lo group by iv.word_id""", "spots", "dist"),
+        join cells iv on iv.cell = floor(s.u * 16384)::bigint and s.u >= iv.lo and s.u < iv.hi
+        group by iv.word_id""", "spots", "cells"),
     "cosine_scores": sql(f"select word, {r6('s')} as similarity from scores", "scores"),
     "keep_probability": sql(f"select word_id, {r6('keep')} as keep from keep", "keep"),
     "subsample_centers": sql("select doc_id, chunk, pos, center from kept", "kept"),
@@ -197,7 +201,7 @@ ORACLE = {
         select target, count(*) as draws, sum(center)::bigint as centers,
                sum(draw)::bigint as numbers
         from ({negative_draws("(select distinct doc_id, chunk, pos, center from pairs)",
-                              "doc_id, chunk, pos")}) group by target""", "pairs", "dist"),
+                              "doc_id, chunk, pos")}) group by target""", "pairs", "cells"),
     "training_examples_cbow": sql(
         "select doc_id, chunk, pos, center, radius::integer as radius, ctx from examples", "examples"),
     "training_examples_concat": sql("""
@@ -211,7 +215,7 @@ ORACLE = {
               union all
               select target, 0, context, center
               from ({negative_draws("pairs", "doc_id, chunk, pos, off")}))
-        group by target, label""", "pairs", "dist"),
+        group by target, label""", "pairs", "cells"),
     "learning_rate_schedule": sql(f"""
         select learner, doc_id, chunk, words_before,
                round(greatest({TRAINING.step_size} * (1 - {float(LEARNERS)} * words_before / (t + 1)),
