@@ -116,8 +116,8 @@ def learner_input(sentences: DataFrame, weights: DataFrame | None, keep: DataFra
                   settings: TrainSettings, learners: int, epoch: int) -> DataFrame:
     """Per learner the changed weights, then one row per word of its sentences in order.
 
-    A word dropped by subsampling has a null context: it trains nothing but counts towards the
-    schedule.
+    A word dropped by subsampling has an empty context: it trains nothing but counts towards the
+    schedule. Arrays are empty rather than null because a run of null lists is slow to hand over.
     """
     rows = shuffle_sentences(sentences, learners, settings.seed)
     if weights is not None:
@@ -137,10 +137,16 @@ def learner_input(sentences: DataFrame, weights: DataFrame | None, keep: DataFra
     spot = ("sentence", "pos")
     words = trimmed(words.withColumn("radius", dynamic_radius(
         settings.window_size, settings.seed, epoch, spot, xxhash_draw)))
+    context = F.col("ctx")
     if keep is not None:
+        words = with_keep(words, keep, spot, how="left")
         kept = subsample_draw(settings.seed, epoch, spot, xxhash_draw) <= F.col("keep")
-        words = with_keep(words, keep, spot, how="left").withColumn("ctx", F.when(kept, F.col("ctx")))
-    return words.select("learner", "kind", "row_id", "vector", "center", "radius", "n_left", "ctx")
+        context = F.when(kept, context)
+    return words.select(
+        "learner", "kind", "row_id",
+        F.coalesce("vector", F.array().cast("array<float>")).alias("vector"),
+        "center", "radius", "n_left",
+        F.coalesce(context, F.array().cast("array<int>")).alias("ctx"))
 
 
 def int_array(column: pa.Array) -> np.ndarray:
