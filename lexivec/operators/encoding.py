@@ -12,6 +12,10 @@ from lexivec.operators.lookup import BROADCAST_LIMIT_BYTES, lookup_join, table_b
 from lexivec.sources.corpus import explode_tokens
 from lexivec.sources.shared_tables import write_table
 
+# A vocabulary up to this size is held as a dictionary by every Python worker, which takes about
+# five times as much memory.
+IN_PLACE_LIMIT_BYTES = 64 << 20
+
 
 def token_ids(tokens: DataFrame, key: str, vocab: DataFrame,
               limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
@@ -64,7 +68,7 @@ def encode_in_place(tokens: DataFrame, vocab: DataFrame, input_col: str = "token
 
 
 def encode_corpus(tokens: DataFrame, vocab: DataFrame,
-                  limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+                  limit: int = IN_PLACE_LIMIT_BYTES) -> DataFrame:
     """``ids`` of every sentence, by whichever form the vocabulary size allows."""
     sentences = tokens.select("tokens").filter(F.col("tokens").isNotNull())
     if table_bytes(vocab) <= limit:

@@ -296,7 +296,7 @@ def choose_learners(spark: SparkSession, total: int, settings: TrainSettings) ->
 def train(tokens: DataFrame, settings: TrainSettings) -> Trained:
     """Learns word vectors from the ``tokens`` column."""
     spark = tokens.sparkSession
-    vocab = learn_vocabulary(tokens, settings)
+    vocab = write_table(learn_vocabulary(tokens, settings), "vocabulary")
     words = vocab.count()
     check_weight_size(words, settings)
     sentences = encoded_sentences(tokens, vocab, settings)
@@ -306,7 +306,9 @@ def train(tokens: DataFrame, settings: TrainSettings) -> Trained:
         total = train_word_total(vocab).first()["total"]
     learners = choose_learners(spark, total, settings)
     side = spark.sparkContext.broadcast(side_tables(vocab, settings))
-    keep = keep_probability(vocab, settings.sample) if settings.sample > 0 else None
+    keep = None
+    if settings.sample > 0:
+        keep = write_table(keep_probability(vocab, settings.sample), "keep")
 
     weights, metrics = None, None
     for epoch in range(1, settings.max_iter + 1):

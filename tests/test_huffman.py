@@ -1,0 +1,46 @@
+import heapq
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lexivec.operators.huffman import huffman_paths
+
+
+def codes_of(counts):
+    paths = huffman_paths(np.array(counts))
+    return ["".join(map(str, paths.codes[a:b])) for a, b in zip(paths.starts, paths.starts[1:])]
+
+
+@pytest.mark.parametrize("counts, codes", [
+    ([5, 3, 2, 1], ["0", "11", "101", "100"]),
+    ([1, 1, 1, 1], ["11", "10", "01", "00"]),
+    ([7, 4, 4, 2, 1], ["0", "10", "111", "1101", "1100"]),
+    ([10], [""]),
+])
+def test_known_codes(counts, codes):
+    assert codes_of(counts) == codes
+
+
+def test_known_points():
+    paths = huffman_paths(np.array([5, 3, 2, 1]))
+    points = [list(paths.points[a:b]) for a, b in zip(paths.starts, paths.starts[1:])]
+    assert points == [[2], [2, 1], [2, 1, 0], [2, 1, 0]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 1000), min_size=2, max_size=60))
+def test_prefix_free_and_cheapest(counts):
+    counts = sorted(counts, reverse=True)
+    codes = codes_of(counts)
+    assert len(set(codes)) == len(codes)
+    ordered = sorted(codes)
+    assert not any(b.startswith(a) for a, b in zip(ordered, ordered[1:]))
+    heap, cost = list(counts), 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        merged = heapq.heappop(heap) + heapq.heappop(heap)
+        cost += merged
+        heapq.heappush(heap, merged)
+    assert sum(n * len(c) for n, c in zip(counts, codes)) == cost

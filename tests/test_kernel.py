@@ -1,0 +1,146 @@
+import numpy as np
+import pytest
+
+from lexivec.operators.huffman import huffman_paths
+from lexivec.plans import kernel
+from lexivec.settings import TrainSettings
+
+OBJECTIVES = {"hs": {"hs": True, "negative": 0}, "neg": {"hs": False, "negative": 5},
+              "both": {"hs": True, "negative": 5}}
+
+
+def learner_for(counts, **changes):
+    settings = TrainSettings(**{"vector_size": 6, "window_size": 2, **changes})
+    mass = counts ** 0.75
+    return kernel.Learner(settings, len(counts),
+                          np.cumsum(mass) / mass.sum() if settings.negative else None,
+                          huffman_paths(counts) if settings.hs else None, np.random.default_rng(5))
+
+
+@pytest.mark.parametrize("rows, repeats", [(30, 400), (400, 400), (30, 5), (2000, 300)])
+def test_add_rows(rows, repeats):
+    rng = np.random.default_rng(rows)
+    index = rng.integers(0, 50, repeats) % rng.integers(1, 50, repeats)
+    scale, source = rng.random(repeats).astype(np.float32), rng.integers(0, rows, repeats)
+    values = rng.random((rows, 7)).astype(np.float32)
+    got, want = np.ones((50, 7), np.float32), np.ones((50, 7))
+    kernel.add_rows(got, index, scale, values, source)
+    np.add.at(want, index, (scale[:, None] * values[source]).astype(np.float64))
+    assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_learning_rate():
+    one = TrainSettings(max_iter=1)
+    assert kernel.learning_rate(one, 4, 1, 20000, 329137) == pytest.approx(0.018923521441, abs=1e-12)
+    assert kernel.learning_rate(one, 1, 1, 329137, 329137) == pytest.approx(2.5e-6)
+    two = TrainSettings(max_iter=2)
+    assert kernel.learning_rate(two, 4, 2, 50000, 329137) == pytest.approx(0.004904409252, abs=1e-12)
+
+
+def pair_loss(vectors, output, words, slots, targets, labels, cbow):
+    if cbow == 0:
+        hidden = vectors[words[0]]
+    elif cbow == 1:
+        hidden = vectors[words].mean(axis=0)
+    else:
+        hidden = np.zeros((5, vectors.shape[1]))
+        hidden[slots] = vectors[words]
+        hidden = hidden.ravel()
+    score = output[targets] @ hidden
+    return np.where(labels > 0, np.logaddexp(0, -score), np.logaddexp(0, score)).sum()
+
+
+@pytest.mark.parametrize("objective", ["hs", "neg"])
+@pytest.mark.parametrize("cbow", [0, 1, 2])
+def test_one_step_follows_the_gradient(cbow, objective):
+    counts = np.array([20, 12, 9, 5, 4, 2])
+    learner = learner_for(counts, cbow=cbow, **OBJECTIVES[objective])
+    rng = np.random.default_rng(0)
+    kind = "hs" if objective == "hs" else "neg"
+    output = learner.weights[kind]
+    output[:] = rng.normal(size=output.shape) * 0.3
+    learner.vectors[:] = rng.normal(size=learner.vectors.shape) * 0.3
+    center = np.array([3])
+    words = np.array([1, 4]) if cbow else np.array([1])
+    slots = np.array([1, 3])
+    if objective == "hs":
+        fixed = learner.path(center)
+    else:
+        fixed = kernel.Targets(np.array([[3, 0, 2, 5, 1, 4]]), np.array([[1, 0, 0, 0, 0, 0]]))
+        learner.negatives = lambda centers: fixed
+    targets, labels = fixed.index[0], np.broadcast_to(fixed.label, fixed.index.shape)[0]
+    before_in, before_out = learner.vectors.astype(float), output.astype(float)
+
+    def loss(vectors, out):
+        return pair_loss(vectors, out, words, slots, targets, labels, cbow)
+
+    rate = 1e-3
+    learner.train(center, np.array([1]), np.array([2]), words, np.array([len(words)]),
+                  np.array([rate], np.float32))
+
+    def gradient(which, row, col):
+        eps, pair = 1e-5, [before_in.copy(), before_out.copy()]
+        pair[which][row, col] += eps
+        high = loss(*pair)
+        pair[which][row, col] -= 2 * eps
+        return (high - loss(*pair)) / (2 * eps)
+
+    for word in words:
+        for col in range(6):
+            # The averaged model gives each word the whole error, not its 1/n share.
+            share = len(words) if cbow == 1 else 1
+            moved = (learner.vectors[word, col] - before_in[word, col]) / rate
+            assert moved == pytest.approx(-gradient(0, word, col) * share, abs=2e-3)
+    for target in targets:
+        for col in range(output.shape[1]):
+            moved = (output[target, col] - before_out[target, col]) / rate
+            assert moved == pytest.approx(-gradient(1, target, col), abs=2e-3)
+    untouched = np.setdiff1d(np.arange(6), words)
+    assert (learner.vectors[untouched] == before_in[untouched].astype(np.float32)).all()
+    assert not learner.touched["in"][untouched].any()
+
+
+def test_negatives_never_hit_the_center():
+    learner = learner_for(np.array([1000, 3, 2, 1]), hs=False)
+    centers = np.repeat(np.arange(4), 500)
+    drawn = learner.negatives(centers).index
+    assert (drawn[:, 0] == centers).all() and (drawn[:, 1:] != centers[:, None]).all()
+
+
+def planted(rng, sentences=400, length=10, topic=20):
+    topics = rng.integers(0, 2, sentences)
+    return topics[:, None] * topic + rng.integers(0, topic, (sentences, length))
+
+
+@pytest.mark.parametrize("objective", list(OBJECTIVES))
+@pytest.mark.parametrize("cbow", [0, 1, 2])
+def test_topics_separate(cbow, objective):
+    rng = np.random.default_rng(1)
+    text = planted(rng)
+    order = np.argsort(-np.bincount(text.ravel(), minlength=40), kind="stable")
+    counts = np.bincount(text.ravel(), minlength=40)[order]
+    ids = np.argsort(order)[text]
+    learner = learner_for(counts, vector_size=20, window_size=5, cbow=cbow, **OBJECTIVES[objective])
+    epochs, losses = 20, []
+    for epoch in range(epochs):
+        learner.examples, learner.loss = 0, 0.0
+        centers, left, radius, context, sizes = [], [], [], [], []
+        for row in ids:
+            for pos in range(10):
+                r = rng.integers(1, 6)
+                lo, hi = max(pos - r, 0), min(pos + r, 9)
+                words = np.concatenate((row[lo:pos], row[pos + 1:hi + 1]))
+                centers.append(row[pos]), left.append(pos - lo), radius.append(r)
+                context.append(words), sizes.append(len(words))
+        rate = np.full(len(centers), 0.05 * (1 - epoch / epochs), np.float32)
+        learner.train(*map(np.array, (centers, left, radius)), np.concatenate(context),
+                      np.array(sizes), rate)
+        losses.append(learner.loss / learner.examples)
+    assert losses[-1] < losses[0]
+    assert np.isfinite(learner.vectors).all() and np.abs(learner.vectors).max() < 50
+    unit = learner.vectors / np.linalg.norm(learner.vectors, axis=1, keepdims=True)
+    cosine, topic = unit @ unit.T, order // 20
+    same = topic[:, None] == topic[None, :]
+    np.fill_diagonal(same, False)
+    across = topic[:, None] != topic[None, :]
+    assert cosine[same].mean() > cosine[across].mean() + 0.2

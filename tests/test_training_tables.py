@@ -1,0 +1,140 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexivec.operators import contexts, encoding, huffman, negatives
+from lexivec.operators import vocabulary as voc
+from lexivec.plans.schedule import learning_rate_schedule
+
+DOCS = [(1, ["a", "b", "x", "a", None, "c"]), (2, []), (3, None), (4, ["x", "y"]), (5, ["b"]),
+        (6, ["a", "b", "c", "a", "b"])]
+
+
+@pytest.fixture(scope="module")
+def vocab(spark):
+    rows = spark.createDataFrame([("a", 5), ("b", 4), ("c", 2)], "word string, cnt bigint")
+    return voc.rank_vocabulary(rows)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(DOCS, "doc_id bigint, tokens array<string>")
+
+
+def ids_by_doc(rows):
+    return {r["doc_id"]: r["ids"] for r in rows.collect() if r["ids"]}
+
+
+def test_encoding_forms_agree(docs, vocab):
+    want = {1: [0, 1, 0, 2], 5: [1], 6: [0, 1, 2, 0, 1]}
+    assert ids_by_doc(encoding.encode_in_place(docs, vocab)) == want
+    assert ids_by_doc(encoding.encode_by_join(docs, "doc_id", vocab)) == want
+    assert ids_by_doc(encoding.encode_by_join(docs, "doc_id", vocab, limit=0)) == want
+    for limit in (0, 1 << 20):
+        got = encoding.encode_corpus(docs.select("tokens"), vocab, limit).collect()
+        assert sorted(r["ids"] for r in got if r["ids"]) == sorted(want.values())
+
+
+def test_chunks(docs, vocab):
+    rows = encoding.sentence_chunks(encoding.encode_in_place(docs, vocab), 2, "doc_id").collect()
+    assert {(r["doc_id"], r["chunk"]): r["ids"] for r in rows} == {
+        (1, 0): [0, 1], (1, 1): [0, 2], (5, 0): [1], (6, 0): [0, 1], (6, 1): [2, 0], (6, 2): [1]}
+
+
+def random_sentences(spark, n=30):
+    rng = random.Random(3)
+    rows = [(d, 0, [rng.randrange(20) for _ in range(rng.randint(1, 25))]) for d in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id bigint, chunk int, ids array<int>")
+
+
+def test_pairs_against_brute_force(spark):
+    rows, sentences = random_sentences(spark)
+    examples = contexts.training_examples(sentences, 4, 7, 1, ("doc_id", "chunk")).cache()
+    radius = {(r["doc_id"], r["pos"]): r["radius"] for r in examples.collect()}
+    assert set(radius.values()) == {1, 2, 3, 4}
+    want = Counter()
+    for doc, _, ids in rows:
+        for pos, center in enumerate(ids):
+            for off in range(-4, 5):
+                if off and 0 <= pos + off < len(ids) and abs(off) <= radius[doc, pos]:
+                    want[doc, pos, off, center, ids[pos + off]] += 1
+    got = contexts.context_pairs(examples, ("doc_id", "chunk")).collect()
+    assert Counter((r["doc_id"], r["pos"], r["off"], r["center"], r["context"]) for r in got) == want
+
+
+def test_one_word_sentence_has_no_example(spark):
+    rows = spark.createDataFrame([(1, 0, [3])], "doc_id bigint, chunk int, ids array<int>")
+    assert contexts.training_examples(rows, 3, 1, 1, ("doc_id", "chunk")).count() == 0
+
+
+def test_concat_slots_start_at_the_shrunken_window(spark):
+    row = spark.createDataFrame(
+        [(1, 0, 2, 9, 2, 2, [1, 2, 3, 4]), (1, 0, 0, 9, 2, 0, [3, 4])],
+        "doc_id bigint, chunk int, pos int, center int, radius int, n_left int, ctx array<int>")
+    got = contexts.concat_slots(row, ("doc_id", "chunk")).orderBy("pos", "slot").collect()
+    assert [(r["pos"], r["slot"], r["context"]) for r in got] == [
+        (0, 3, 3), (0, 4, 4), (2, 0, 1), (2, 1, 2), (2, 3, 3), (2, 4, 4)]
+
+
+def test_examples_do_not_depend_on_partitioning(spark):
+    _, sentences = random_sentences(spark)
+    keys = ("doc_id", "chunk")
+    one = contexts.training_examples(sentences.repartition(1), 3, 5, 2, keys).collect()
+    many = contexts.training_examples(sentences.repartition(7), 3, 5, 2, keys).collect()
+    assert sorted(map(str, one)) == sorted(map(str, many))
+
+
+def test_subsampling_drops_centers_only(spark):
+    _, sentences = random_sentences(spark)
+    keep = spark.createDataFrame([(i, 10, 0.0 if i < 10 else 1.0) for i in range(20)],
+                                 "word_id int, cnt bigint, keep double")
+    got = contexts.training_examples(sentences, 3, 5, 2, ("doc_id", "chunk"), keep)
+    assert got.agg(F.min("center")).first()[0] >= 10
+    assert got.select(F.explode("ctx").alias("c")).agg(F.min("c")).first()[0] < 10
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 27])
+def test_negatives_avoid_the_center_and_follow_the_distribution(spark, limit):
+    table = spark.createDataFrame(
+        [(0, 5, .5, 0., .5), (1, 3, .3, .5, .8), (2, 2, .15, .8, .95), (3, 1, .05, .95, 1.)],
+        "word_id int, cnt bigint, p double, lo double, hi double")
+    rows = spark.range(4000).select(F.col("id").alias("pos"), F.lit(1).alias("center"))
+    got = negatives.negative_samples(rows, table, 5, 1, 1, ("pos",), limit=limit)
+    counts = {r["target"]: r["count"] for r in got.groupBy("target").count().collect()}
+    assert sum(counts.values()) == 20000 and 1 not in counts
+    share = [counts[t] / 20000 for t in (0, 2, 3)]
+    assert share == pytest.approx([.714286, .214286, .071429], abs=0.015)
+
+
+def test_single_word_has_no_negatives(spark):
+    table = voc.unigram_distribution(voc.rank_vocabulary(
+        spark.createDataFrame([("a", 5)], "word string, cnt bigint")))
+    rows = spark.range(3).select(F.col("id").alias("pos"), F.lit(0).alias("center"))
+    assert negatives.negative_samples(rows, table, 5, 1, 1, ("pos",)).count() == 0
+
+
+def test_hs_rows_against_brute_force(spark):
+    counts = np.array([9, 7, 4, 4, 2, 1])
+    paths = huffman.huffman_paths(counts)
+    pairs = spark.createDataFrame([(i, i % 6, (i * 5) % 6) for i in range(40)],
+                                  "k bigint, center int, context int")
+    got = huffman.hs_training_rows(pairs, huffman.huffman_codes(spark, paths), ("k",)).collect()
+    want = Counter()
+    for i in range(40):
+        center = i % 6
+        for j in range(paths.starts[center], paths.starts[center + 1]):
+            want[i, (i * 5) % 6, center, paths.points[j], 1 - paths.codes[j]] += 1
+    assert Counter((r["k"], r["context"], r["center"], r["node"], r["label"]) for r in got) == want
+
+
+def test_schedule(spark):
+    rows = spark.createDataFrame(
+        [(0, 1, 0, [0] * 3), (0, 2, 0, [0] * 2), (1, 3, 0, [0] * 4), (0, 4, 0, [0])],
+        "learner int, doc_id bigint, chunk int, ids array<int>")
+    got = learning_rate_schedule(rows, ("doc_id", "chunk"), 0.025, 2, 1, 1, 10)
+    got = {r["doc_id"]: (r["words_before"], r["alpha"]) for r in got.collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 0, 2: 3, 3: 0, 4: 5}
+    assert got[4][1] == pytest.approx(0.025 * (1 - 10 / 11))
