@@ -43,11 +43,8 @@ def subsample_draw(seed: int, epoch: int, keys: Sequence[str], draw: Draw = md5_
     return to_unit(draw(seed, epoch, *keys, F.lit("sub")))
 
 
-def with_keep(rows: DataFrame, keep: DataFrame, spread: Sequence[str], how: str = "inner",
-              limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Adds ``keep`` of the center word; ``keep`` comes from ``keep_probability``."""
-    table = keep.select(F.col("word_id").alias("center"), "cnt", "keep")
-    return lookup_join(rows, table, "center", spread, how, limit).drop("cnt")
+def keep_by_center(keep: DataFrame) -> DataFrame:
+    return keep.select(F.col("word_id").alias("center"), "keep")
 
 
 def subsample_centers(rows: DataFrame, keep: DataFrame, seed: int, epoch: int,
@@ -55,7 +52,7 @@ def subsample_centers(rows: DataFrame, keep: DataFrame, seed: int, epoch: int,
                       limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Drops center positions of frequent words at random. A dropped word stays in the contexts
     of its neighbours."""
-    drawn = with_keep(rows, keep, keys, limit=limit)
+    drawn = lookup_join(rows, keep_by_center(keep), "center", keys, limit=limit)
     return drawn.filter(subsample_draw(seed, epoch, keys, draw) <= F.col("keep")).drop("keep")
 
 

@@ -20,7 +20,8 @@ IN_PLACE_LIMIT_BYTES = 64 << 20
 def token_ids(tokens: DataFrame, key: str, vocab: DataFrame,
               limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """``key, pos, word_id`` of every known token; ``pos`` counts all tokens of the sentence."""
-    rows = lookup_join(explode_tokens(tokens, key), vocab, "word", (key, "pos"), limit=limit)
+    ids = vocab.select("word", "word_id")
+    rows = lookup_join(explode_tokens(tokens, key), ids, "word", (key, "pos"), limit=limit)
     return rows.select(key, "pos", "word_id")
 
 

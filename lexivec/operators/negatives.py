@@ -41,10 +41,10 @@ def negative_samples(rows: DataFrame, distribution: DataFrame, negative: int, se
     distribution as drawing again until another word comes up. A vocabulary of one word has no
     negatives.
     """
-    own = distribution.select(F.col("word_id").alias("center"), "cnt",
+    own = distribution.select(F.col("word_id").alias("center"),
                               F.col("p").alias("own_p"), F.col("lo").alias("own_lo"),
                               F.col("hi").alias("own_hi"))
-    drawn = (lookup_join(rows, own, "center", keys, limit=limit).filter("own_p < 1").drop("cnt")
+    drawn = (lookup_join(rows, own, "center", keys, limit=limit).filter("own_p < 1")
              .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(negative)))))
     unit = to_unit(draw(seed, epoch, *keys, F.lit("neg"), F.col("draw").cast("string")))
     squeezed = unit * (1 - F.col("own_p"))

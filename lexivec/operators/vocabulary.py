@@ -64,19 +64,19 @@ def train_word_total(vocab: DataFrame) -> DataFrame:
 
 
 def keep_probability(vocab: DataFrame, sample: float) -> DataFrame:
-    """``word_id, cnt, keep``: sqrt(s/f) + s/f for relative frequency f. 1 or more: always kept."""
+    """``word_id, keep``: sqrt(s/f) + s/f for relative frequency f. 1 or more: always kept."""
     total = train_word_total(vocab).select(F.col("total").cast("double")).scalar()
     ratio = F.lit(sample) * total / F.col("cnt")
-    return vocab.select("word_id", "cnt", (F.sqrt(ratio) + ratio).alias("keep"))
+    return vocab.select("word_id", (F.sqrt(ratio) + ratio).alias("keep"))
 
 
 def unigram_distribution(vocab: DataFrame) -> DataFrame:
-    """``word_id, cnt, p, lo, hi``: the negative-sampling distribution as adjacent intervals.
+    """``word_id, p, lo, hi``: the negative-sampling distribution as adjacent intervals.
 
     The running sum has two levels: totals of blocks of ids first, then a window inside each
     block, so no window holds more than ``BLOCK_ROWS`` words.
     """
-    mass = vocab.select("word_id", "cnt", F.pow("cnt", F.lit(NEGATIVE_POWER)).alias("mass"),
+    mass = vocab.select("word_id", F.pow("cnt", F.lit(NEGATIVE_POWER)).alias("mass"),
                         F.floor(F.col("word_id") / BLOCK_ROWS).alias("block"))
     totals = mass.groupBy("block").agg(F.sum("mass").alias("block_mass"))
     by_block = Window.orderBy("block")
@@ -94,7 +94,7 @@ def unigram_distribution(vocab: DataFrame) -> DataFrame:
     ends_block = F.lead("word_id").over(inside).isNull()
     rows = mass.join(F.broadcast(blocks), "block")
     return rows.select(
-        "word_id", "cnt", (F.col("mass") / F.col("z")).alias("p"),
+        "word_id", (F.col("mass") / F.col("z")).alias("p"),
         ((F.col("before") + F.coalesce(below, F.lit(0.0))) / F.col("z")).alias("lo"),
         (F.when(ends_block, F.col("after")).otherwise(F.col("before") + upto)
          / F.col("z")).alias("hi"))

@@ -24,7 +24,7 @@ from lexivec.functions.draws import xxhash_draw
 from lexivec.functions.vectors import l2_norm
 from lexivec.operators.averaging import parameter_average
 from lexivec.operators.contexts import (
-    dynamic_radius, full_windows, subsample_draw, trimmed, with_keep,
+    dynamic_radius, full_windows, keep_by_center, subsample_draw, trimmed,
 )
 from lexivec.operators.encoding import encode_corpus, sentence_chunks
 from lexivec.operators.huffman import huffman_paths, vocabulary_counts
@@ -39,6 +39,8 @@ from lexivec.sources.shared_tables import write_table
 
 # All weights of one learner together stay below this many floats.
 MAX_WEIGHT_CELLS = 2**31 - 1
+# The per-word arrays every learner gets by broadcast, about 100 bytes a word, stay below 2 GiB.
+MAX_WORDS = 2**31 // 100
 # With num_partitions=0 a learner gets at least this many words.
 WORDS_PER_LEARNER = 100_000
 OUTPUT_ROWS = 4096
@@ -77,6 +79,9 @@ def learn_vocabulary(tokens: DataFrame, settings: TrainSettings) -> DataFrame:
 def check_weight_size(words: int, settings: TrainSettings) -> None:
     if words == 0:
         raise ValueError("the vocabulary is empty: lower min_count or raise max_vocab_size")
+    if words > MAX_WORDS:
+        raise ValueError(f"{words} words are more than {MAX_WORDS}: raise min_count or set "
+                         "max_vocab_size")
     outputs = int(settings.hs) + int(settings.negative > 0)
     cells = words * (settings.vector_size + outputs * settings.output_size)
     if cells > MAX_WEIGHT_CELLS:
@@ -139,7 +144,9 @@ def learner_input(sentences: DataFrame, weights: DataFrame | None, keep: DataFra
         settings.window_size, settings.seed, epoch, spot, xxhash_draw)))
     context = F.col("ctx")
     if keep is not None:
-        words = with_keep(words, keep, spot, how="left")
+        # Broadcast at any size: check_weight_size bounds the words, and a shuffle would undo
+        # the learners' order.
+        words = words.join(F.broadcast(keep_by_center(keep)), "center", "left")
         kept = subsample_draw(settings.seed, epoch, spot, xxhash_draw) <= F.col("keep")
         context = F.when(kept, context)
     return words.select(

@@ -13,6 +13,7 @@ from lexivec.functions.tokens import word_tokens
 from lexivec.operators import contexts, documents, encoding, huffman, models, negatives, neighbours
 from lexivec.operators import vocabulary as voc
 from lexivec.operators.averaging import parameter_average
+from lexivec.operators.lookup import lookup_join
 from lexivec.plans import training
 from lexivec.plans.schedule import learning_rate_schedule
 from lexivec.settings import TrainSettings
@@ -266,8 +267,8 @@ def q_token_id_join(spark, sf):
 
 def q_token_vector_join(spark, sf):
     words = explode_tokens(tokens_of(spark, sf), "doc_id")
-    model = stand_in(spark, sf).select("word", F.col("count").alias("cnt"), "vector")
-    joined = documents.lookup_join(words, model, "word", ("doc_id", "pos"), "left")
+    model = stand_in(spark, sf).select("word", "vector")
+    joined = lookup_join(words, model, "word", ("doc_id", "pos"), "left")
     first = F.coalesce(F.get("vector", F.lit(0)).cast("double"), F.lit(0.0))
     return joined.groupBy("doc_id").agg(
         F.count("vector").alias("known"), F.count(F.lit(1)).alias("n"), r6(F.sum(first)).alias("first_sum"))

@@ -89,8 +89,8 @@ def test_examples_do_not_depend_on_partitioning(spark):
 
 def test_subsampling_drops_centers_only(spark):
     _, sentences = random_sentences(spark)
-    keep = spark.createDataFrame([(i, 10, 0.0 if i < 10 else 1.0) for i in range(20)],
-                                 "word_id int, cnt bigint, keep double")
+    keep = spark.createDataFrame([(i, 0.0 if i < 10 else 1.0) for i in range(20)],
+                                 "word_id int, keep double")
     got = contexts.training_examples(sentences, 3, 5, 2, ("doc_id", "chunk"), keep)
     assert got.agg(F.min("center")).first()[0] >= 10
     assert got.select(F.explode("ctx").alias("c")).agg(F.min("c")).first()[0] < 10
@@ -99,8 +99,8 @@ def test_subsampling_drops_centers_only(spark):
 @pytest.mark.parametrize("limit", [0, 1 << 27])
 def test_negatives_avoid_the_center_and_follow_the_distribution(spark, limit):
     table = spark.createDataFrame(
-        [(0, 5, .5, 0., .5), (1, 3, .3, .5, .8), (2, 2, .15, .8, .95), (3, 1, .05, .95, 1.)],
-        "word_id int, cnt bigint, p double, lo double, hi double")
+        [(0, .5, 0., .5), (1, .3, .5, .8), (2, .15, .8, .95), (3, .05, .95, 1.)],
+        "word_id int, p double, lo double, hi double")
     rows = spark.range(4000).select(F.col("id").alias("pos"), F.lit(1).alias("center"))
     got = negatives.negative_samples(rows, table, 5, 1, 1, ("pos",), limit=limit)
     counts = {r["target"]: r["count"] for r in got.groupBy("target").count().collect()}
@@ -116,12 +116,13 @@ def test_single_word_has_no_negatives(spark):
     assert negatives.negative_samples(rows, table, 5, 1, 1, ("pos",)).count() == 0
 
 
-def test_hs_rows_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 27])
+def test_hs_rows_against_brute_force(spark, limit):
     counts = np.array([9, 7, 4, 4, 2, 1])
     paths = huffman.huffman_paths(counts)
     pairs = spark.createDataFrame([(i, i % 6, (i * 5) % 6) for i in range(40)],
                                   "k bigint, center int, context int")
-    got = huffman.hs_training_rows(pairs, huffman.huffman_codes(spark, paths), ("k",)).collect()
+    got = huffman.hs_training_rows(pairs, huffman.huffman_codes(spark, paths), ("k",), limit).collect()
     want = Counter()
     for i in range(40):
         center = i % 6

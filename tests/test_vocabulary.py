@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexivec.functions.draws import md5_draw, to_unit
 from lexivec.operators import vocabulary as voc
+from lexivec.operators import lookup
 from lexivec.operators.lookup import lookup_join
 from lexivec.sources.dictionary import read_dictionary
 
@@ -89,11 +90,12 @@ def test_draws(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_lookup_equals_broadcast(spark, how):
-    words = ["hot"] * 3000 + [f"w{i % 50}" for i in range(500)] + ["unknown"] * 20 + [None] * 5
+def test_salted_lookup_equals_broadcast(spark, how, monkeypatch):
+    monkeypatch.setattr(lookup, "HOT_SHARE", 40)
+    words = ["hot"] * 3000 + [f"w{i % 50}" for i in range(500)] + ["unknown"] * 900 + [None] * 5
     rows = spark.createDataFrame(list(enumerate(words)), "pos bigint, word string")
-    table = rows.filter("word is not null and word != 'unknown'").groupBy("word").agg(
-        F.count("*").alias("cnt")).withColumn("tag", F.concat(F.lit("t"), "word"))
+    table = rows.filter("word is not null and word != 'unknown'").select("word").distinct().withColumn(
+        "tag", F.concat(F.lit("t"), "word"))
     plain = lookup_join(rows, table, "word", ("pos",), how).select("pos", "word", "tag")
     salted = lookup_join(rows, table, "word", ("pos",), how, limit=0).select("pos", "word", "tag")
     assert sorted(plain.collect(), key=str) == sorted(salted.collect(), key=str)
