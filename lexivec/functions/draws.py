@@ -19,7 +19,8 @@ Draw = Callable[..., Column]
 def md5_draw(seed: int, epoch: int, *parts: Column | str) -> Column:
     """Integer in [0, 2^52): the first 13 hex digits of an MD5. Any SQL engine can repeat it."""
     text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), *parts)
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    number = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    return F.coalesce(number, F.lit(0).cast("bigint"))  # never null, and Spark can see it
 
 
 def xxhash_draw(seed: int, epoch: int, *parts: Column | str) -> Column:

@@ -74,11 +74,11 @@ def training_examples(sentences: DataFrame, window: int, seed: int, epoch: int,
                       draw: Draw = md5_draw, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """``keys, pos, center, radius, n_left, ctx``. Centers without any neighbour are left out."""
     rows = center_rows(sentences, window, *keys)
+    rows = rows.filter(F.size("left") + F.size("right") > 0)
     spot = [*keys, "pos"]
     if keep is not None:
         rows = subsample_centers(rows, keep, seed, epoch, spot, draw, limit)
-    rows = trimmed(rows.withColumn("radius", dynamic_radius(window, seed, epoch, spot, draw)))
-    return rows.filter(F.size("ctx") > 0)
+    return trimmed(rows.withColumn("radius", dynamic_radius(window, seed, epoch, spot, draw)))
 
 
 def context_offset(k: Column, n_left: Column) -> Column:

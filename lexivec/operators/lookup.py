@@ -33,7 +33,7 @@ def hot_words(rows: DataFrame, on: str) -> DataFrame:
     """``on, salts``: the values of ``on`` in more than 1/``HOT_SHARE`` of the rows, with the
     number of parts to cut each into. There are at most ``HOT_SHARE`` of them."""
     counts = rows.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total")).scalar()
+    total = rows.count()
     return (counts.filter(F.col("n") * HOT_SHARE > total)
             .select(on, F.ceil(F.col("n") * HOT_SHARE / total).cast("int").alias("salts")))
 

@@ -52,7 +52,9 @@ def negative_samples(rows: DataFrame, distribution: DataFrame, negative: int, se
     below = F.least(F.col("u"), F.col("own_lo") * BELOW_ONE)
     above = F.least(F.greatest(F.col("u") + F.col("own_p"), F.col("own_hi")), F.lit(BELOW_ONE))
     shifted = (F.col("u") >= F.col("own_lo")) & (F.col("own_hi") < 1)
-    placed = drawn.withColumn("u", squeezed).withColumn("u", F.when(shifted, above).otherwise(below))
+    # Never null, and said so: Spark would otherwise draw twice, once to test for null.
+    u = F.coalesce(F.when(shifted, above).otherwise(below), F.lit(0.0))
+    placed = drawn.withColumn("u", squeezed).withColumn("u", u)
     return interval_join(placed.drop("own_p", "own_lo", "own_hi"), distribution, "u",
                          limit).drop("u")
 

@@ -33,15 +33,15 @@ def rank_vocabulary(counts: DataFrame) -> DataFrame:
     slot_bits = 33  # monotonically_increasing_id: partition number above, row number below
     ordered = write_table(
         counts.orderBy(F.desc("cnt"), "word").withColumn("slot", F.monotonically_increasing_id()),
-        "vocabulary")
+        "sorted-words")
     part = F.shiftright("slot", slot_bits)
     sizes = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     # One row per partition of the sort, so the broadcast is small whatever the vocabulary.
-    return (ordered.withColumn("part", part).join(F.broadcast(starts), "part")
-            .select("word", "cnt", (F.col("start") + F.col("slot").bitwiseAND((1 << slot_bits) - 1))
-                    .cast("int").alias("word_id")))
+    numbered = ordered.withColumn("part", part).join(F.broadcast(starts), "part")
+    word_id = (F.col("start") + F.col("slot").bitwiseAND((1 << slot_bits) - 1)).cast("int")
+    return write_table(numbered.select("word", "cnt", word_id.alias("word_id")), "vocabulary")
 
 
 def cap_vocabulary(ranked: DataFrame, max_size: int, min_count: int) -> DataFrame:
@@ -52,11 +52,10 @@ def cap_vocabulary(ranked: DataFrame, max_size: int, min_count: int) -> DataFram
     """
     if max_size == 0:
         return ranked
-    first_over = F.max("cnt")
-    threshold = (ranked.filter(F.col("word_id") == max_size)
-                 .agg(F.when(first_over.isNotNull(), F.greatest(first_over, F.lit(min_count + 1)))
-                      .alias("threshold")))
-    return ranked.filter(F.col("cnt") > F.coalesce(threshold.scalar(), F.lit(-1)))
+    first_over = ranked.filter(F.col("word_id") == max_size).select("cnt").first()
+    if first_over is None:
+        return ranked
+    return ranked.filter(F.col("cnt") > max(first_over["cnt"], min_count + 1))
 
 
 def train_word_total(vocab: DataFrame) -> DataFrame:
@@ -65,8 +64,8 @@ def train_word_total(vocab: DataFrame) -> DataFrame:
 
 def keep_probability(vocab: DataFrame, sample: float) -> DataFrame:
     """``word_id, keep``: sqrt(s/f) + s/f for relative frequency f. 1 or more: always kept."""
-    total = train_word_total(vocab).select(F.col("total").cast("double")).scalar()
-    ratio = F.lit(sample) * total / F.col("cnt")
+    total = float(train_word_total(vocab).first()["total"] or 0)
+    ratio = F.lit(sample * total) / F.col("cnt")
     return vocab.select("word_id", (F.sqrt(ratio) + ratio).alias("keep"))
 
 
@@ -74,7 +73,8 @@ def unigram_distribution(vocab: DataFrame) -> DataFrame:
     """``word_id, p, lo, hi``: the negative-sampling distribution as adjacent intervals.
 
     The running sum has two levels: totals of blocks of ids first, then a window inside each
-    block, so no window holds more than ``BLOCK_ROWS`` words.
+    block, so no window holds more than ``BLOCK_ROWS`` words. The result is written, so that every
+    use sees the same bounds to the last bit.
     """
     mass = vocab.select("word_id", F.pow("cnt", F.lit(NEGATIVE_POWER)).alias("mass"),
                         F.floor(F.col("word_id") / BLOCK_ROWS).alias("block"))
@@ -93,8 +93,8 @@ def unigram_distribution(vocab: DataFrame) -> DataFrame:
     below = F.sum("mass").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     ends_block = F.lead("word_id").over(inside).isNull()
     rows = mass.join(F.broadcast(blocks), "block")
-    return rows.select(
+    return write_table(rows.select(
         "word_id", (F.col("mass") / F.col("z")).alias("p"),
         ((F.col("before") + F.coalesce(below, F.lit(0.0))) / F.col("z")).alias("lo"),
         (F.when(ends_block, F.col("after")).otherwise(F.col("before") + upto)
-         / F.col("z")).alias("hi"))
+         / F.col("z")).alias("hi")), "distribution")
