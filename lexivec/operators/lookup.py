@@ -32,8 +32,9 @@ def table_bytes(table: DataFrame) -> int:
 def hot_words(rows: DataFrame, on: str) -> DataFrame:
     """``on, salts``: the values of ``on`` in more than 1/``HOT_SHARE`` of the rows, with the
     number of parts to cut each into. There are at most ``HOT_SHARE`` of them."""
-    counts = rows.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.count()
+    counts = write_table(rows.filter(F.col(on).isNotNull()).groupBy(on).agg(
+        F.count(F.lit(1)).alias("n")), "row-counts")
+    total = counts.agg(F.sum("n").alias("total")).first()["total"] or 0
     return (counts.filter(F.col("n") * HOT_SHARE > total)
             .select(on, F.ceil(F.col("n") * HOT_SHARE / total).cast("int").alias("salts")))
 
@@ -50,7 +51,7 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: str, spread: Sequence[str
     """
     if table_bytes(table) <= limit:
         return rows.join(F.broadcast(table), on, how)
-    hot = F.broadcast(write_table(hot_words(rows, on), "hot-words"))
+    hot = F.broadcast(hot_words(rows, on))
     parts = F.when(F.col(on).isNull(), HOT_SHARE).otherwise(F.coalesce("salts", F.lit(1)))
     salt = F.pmod(F.xxhash64(*spread), parts).cast("int")
     salted = rows.join(hot, on, "left").withColumn("salt", salt).drop("salts")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexivec.sources.corpus import explode_tokens
 from lexivec.sources.shared_tables import write_table
+from lexivec.sources.sorted_tables import with_total_before, write_in_order
 
 # Fixed value: negative words are drawn in proportion to count ** NEGATIVE_POWER.
 NEGATIVE_POWER = 0.75
@@ -27,21 +28,13 @@ def min_count_filter(counts: DataFrame, min_count: int) -> DataFrame:
 def rank_vocabulary(counts: DataFrame) -> DataFrame:
     """Adds ``word_id``: 0 for the most frequent word, equal counts in word order.
 
-    The sort is a range partitioning, so no task sees the whole vocabulary. The sorted rows are
-    written once, because the ids come from the partition sizes of exactly that layout.
+    The id is the place in its partition of a range sort plus the sizes of the partitions before,
+    so no task sees the whole vocabulary.
     """
-    slot_bits = 33  # monotonically_increasing_id: partition number above, row number below
-    ordered = write_table(
-        counts.orderBy(F.desc("cnt"), "word").withColumn("slot", F.monotonically_increasing_id()),
-        "sorted-words")
-    part = F.shiftright("slot", slot_bits)
-    sizes = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    # One row per partition of the sort, so the broadcast is small whatever the vocabulary.
-    numbered = ordered.withColumn("part", part).join(F.broadcast(starts), "part")
-    word_id = (F.col("start") + F.col("slot").bitwiseAND((1 << slot_bits) - 1)).cast("int")
-    return write_table(numbered.select("word", "cnt", word_id.alias("word_id")), "vocabulary")
+    ordered = write_in_order(counts, F.desc("cnt"), "word", label="sorted-words")
+    started = with_total_before(ordered, F.lit(1), "start")
+    word_id = (F.col("start") + F.col("row")).cast("int")
+    return write_table(started.select("word", "cnt", word_id.alias("word_id")), "vocabulary")
 
 
 def cap_vocabulary(ranked: DataFrame, max_size: int, min_count: int) -> DataFrame:

@@ -8,16 +8,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.plans.kernel import RATE_FLOOR
+from lexivec.sources.sorted_tables import with_total_before, write_in_order
 
 
 def learning_rate_schedule(sentences: DataFrame, order: Sequence[str], step_size: float,
                            learners: int, epoch: int, epochs: int, total: int) -> DataFrame:
-    """Adds ``words_before`` and ``alpha`` to ``learner, ..., ids`` rows: the words a learner has
-    seen before the sentence and the rate it trains the sentence with."""
-    earlier = (Window.partitionBy("learner").orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    before = F.coalesce(F.sum(F.size("ids")).over(earlier), F.lit(0)).cast("bigint")
+    """Rows of ``learner, ..., ids`` with ``words_before`` and ``alpha`` in place of the ids: the
+    words a learner has seen before the sentence and the rate it trains the sentence with.
+
+    The running sum is taken in pieces of a sorted table, so a learner's rows need not fit one
+    task."""
+    words = sentences.withColumn("n", F.size("ids").cast("bigint")).drop("ids")
+    ordered = write_in_order(words, "learner", *order, label="schedule")
+    started = with_total_before(ordered, F.col("n"), "start", "learner")
+    inside = (Window.partitionBy("learner", "part").orderBy("row")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    before = (F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).cast("bigint")
     done = F.lit(float(learners)) * F.col("words_before") + float((epoch - 1) * total)
     rate = F.lit(step_size) * (1 - done / float(epochs * total + 1))
-    return (sentences.withColumn("words_before", before)
+    return (started.withColumn("words_before", before).drop("n", "start", "part", "row")
             .withColumn("alpha", F.greatest(rate, F.lit(step_size * RATE_FLOOR))))
