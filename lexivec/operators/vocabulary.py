@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.sources.corpus import explode_tokens
-from lexivec.sources.shared_tables import write_table
+from lexivec.sources.shared_tables import drop_table, write_table
 from lexivec.sources.sorted_tables import with_total_before, write_in_order
 
 # Fixed value: negative words are drawn in proportion to count ** NEGATIVE_POWER.
@@ -34,7 +34,9 @@ def rank_vocabulary(counts: DataFrame) -> DataFrame:
     ordered = write_in_order(counts, F.desc("cnt"), "word", label="sorted-words")
     started = with_total_before(ordered, F.lit(1), "start")
     word_id = (F.col("start") + F.col("row")).cast("int")
-    return write_table(started.select("word", "cnt", word_id.alias("word_id")), "vocabulary")
+    ranked = write_table(started.select("word", "cnt", word_id.alias("word_id")), "vocabulary")
+    drop_table(ordered)
+    return ranked
 
 
 def cap_vocabulary(ranked: DataFrame, max_size: int, min_count: int) -> DataFrame:

@@ -35,7 +35,7 @@ from lexivec.operators.vocabulary import (
 from lexivec.plans.kernel import INIT_BLOCK, Learner, initial_block, learning_rate
 from lexivec.settings import TrainSettings
 from lexivec.sources.dictionary import read_dictionary
-from lexivec.sources.shared_tables import write_table
+from lexivec.sources.shared_tables import drop_table, write_table
 
 # All weights of one learner together stay below this many floats.
 MAX_WEIGHT_CELLS = 2**31 - 1
@@ -317,16 +317,23 @@ def train(tokens: DataFrame, settings: TrainSettings) -> Trained:
     if settings.sample > 0:
         keep = write_table(keep_probability(vocab, settings.sample), "keep")
 
-    weights, metrics = None, None
+    weights, metrics, scratch = None, None, [vocab, sentences]
     for epoch in range(1, settings.max_iter + 1):
         averaged = run_epoch(sentences, weights, keep, side, settings, words, total, learners, epoch)
+        scratch.append(averaged)
         measured = metrics_table(averaged, epoch)
         metrics = measured if metrics is None else metrics.unionByName(measured)
         changed = averaged.filter(F.col("kind") != METRIC).select("kind", "row_id", "vector")
         if weights is not None:
             older = weights.join(changed, ["kind", "row_id"], "left_anti")
             changed = write_table(changed.unionByName(older), "weights")
+            scratch.append(changed)
         weights = changed
     model = model_table(vocab, weights, settings)
+    if metrics is not None:
+        metrics = write_table(metrics, "metrics")
+    # The model and its metrics are tables of their own now.
     side.unpersist()
+    for table in scratch if keep is None else [*scratch, keep]:
+        drop_table(table)
     return Trained(model, metrics)

@@ -6,6 +6,7 @@ stage sees one fixed version of the rows.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,3 +39,16 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Deletes the files behind a table made by ``write_table``, when nothing reads it any more.
+    Anything else in or outside the shared folder is left alone."""
+    spark = table.sparkSession
+    folders = {name.rsplit("/", 1)[0] for name in table.inputFiles()}
+    home = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        inside = path.getParent().toUri().getPath() == home
+        if inside and re.search(r"-[0-9a-f]{32}$", path.getName()):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

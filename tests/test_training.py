@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexivec.plans import kernel, training
 from lexivec.settings import TrainSettings
+from lexivec.sources import shared_tables
 
 SMALL = TrainSettings(vector_size=12, window_size=3, hs=False, negative=3, sample=0.0, min_count=1,
                       num_partitions=2, seed=9)
@@ -38,6 +39,23 @@ def test_epochs_learn_and_repeat(corpus):
     assert first.metrics.count() == 6
 
 
+def test_training_leaves_only_its_results(corpus, spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared_tables, "shared_dir", lambda spark: str(tmp_path))
+    (tmp_path / "other-0123456789abcdef0123456789abcdef").mkdir()
+    settings = TrainSettings(**{**SMALL.__dict__, "max_iter": 3, "sample": 1e-3})
+    trained = training.train(corpus, settings)
+    left = sorted(p.name.split("-")[0] for p in tmp_path.iterdir())
+    assert left == ["metrics", "model", "other"]
+    assert trained.model.count() == 24 and trained.metrics.count() == 6
+
+
+def test_drop_table_spares_foreign_files(spark, tmp_path):
+    path = str(tmp_path / "mine-0123456789abcdef0123456789abcdef")
+    spark.range(3).write.parquet(path)
+    shared_tables.drop_table(spark.read.parquet(path))
+    assert spark.read.parquet(path).count() == 3
+
+
 def test_more_learners_than_sentences(corpus, spark):
     few = spark.createDataFrame([(["a", "b", "c"],)] * 3, "tokens array<string>")
     settings = TrainSettings(**{**SMALL.__dict__, "num_partitions": 8, "max_iter": 2})
