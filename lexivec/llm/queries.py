@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import string
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexivec.llm import licenses, url_filter
+from lexivec.llm import bpe, licenses, packing, url_filter
 from lexivec.llm.common import read
 
 LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
@@ -44,5 +46,30 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf, "documents"), *licenses.license_tables(spark))
 
 
-QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("op") and callable(fn)}
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+BPE_DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+                            T.StructField("decoded_sha256", T.StringType())])
+
+
+def bpe_digests(ids, coder):
+    values = ids.tolist()
+    return (len(values), hashlib.sha256(",".join(map(str, values)).encode()).hexdigest(),
+            hashlib.sha256(coder.decode(values).encode()).hexdigest())
+
+
+def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return bpe.encode_texts(docs, tokenizer_path("byte_bpe_50k.json"), finish=bpe_digests, made=BPE_DIGESTS)
+
+
+def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {name: fn for name, fn in list(globals().items()) if name[:2] == "op" and callable(fn)}
 ORACLE = {"op1_url_filter": OP1_SQL}
