@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexivec.llm import bpe, licenses, packing, url_filter
+from lexivec.llm import bpe, class_lm, licenses, metric_search, packing, url_filter
 from lexivec.llm.common import read
 
 LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
@@ -46,6 +46,29 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf, "documents"), *licenses.license_tables(spark))
 
 
+def op3_class_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return class_lm.score_documents(read(spark, sf, "documents"))
+
+
+def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return metric_search.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP5_SQL = """
+WITH scaled AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM scaled q JOIN scaled c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score
+  FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -72,4 +95,4 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {name: fn for name, fn in list(globals().items()) if name[:2] == "op" and callable(fn)}
-ORACLE = {"op1_url_filter": OP1_SQL}
+ORACLE = {"op1_url_filter": OP1_SQL, "op5_top_k": OP5_SQL}
