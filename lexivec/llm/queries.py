@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexivec.llm import bpe, class_lm, licenses, metric_search, packing, url_filter
+from lexivec.llm import bpe, class_lm, licenses, metric_search, packing, site_quality, surrogates, url_filter
 from lexivec.llm.common import read
 
 LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
@@ -90,6 +90,19 @@ def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_texts(docs, tokenizer_path("byte_bpe_50k.json"), finish=bpe_digests, made=BPE_DIGESTS)
 
 
+def op7_site_quality(spark: SparkSession, sf: str) -> DataFrame:
+    judged = site_quality.judge_quality(read(spark, sf, "documents"), read(spark, sf, "labels"))
+    return judged.select("doc_id", "evidence", "host_rate", "path_rate", "quality", "keep")
+
+
+SURROGATE_KEY = "lexivec"
+
+
+def op8_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return surrogates.replace_personal_data(docs, SURROGATE_KEY)
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
 
