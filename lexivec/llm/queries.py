@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexivec.llm import bpe, class_lm, licenses, metric_search, packing, site_quality, surrogates, url_filter
+from lexivec.llm import bpe, class_lm, licenses, metric_search, packing, shingle_join, site_quality, surrogates, url_filter
 from lexivec.llm.common import read
 
 LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
@@ -50,6 +50,10 @@ def op3_class_lm(spark: SparkSession, sf: str) -> DataFrame:
     return class_lm.score_documents(read(spark, sf, "documents"))
 
 
+def op4_shingle_join(spark: SparkSession, sf: str) -> DataFrame:
+    return shingle_join.near_duplicates(read(spark, sf, "documents")).drop("node")
+
+
 def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return metric_search.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
 
