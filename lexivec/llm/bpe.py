@@ -63,7 +63,7 @@ def join_encodings(coder: ByteEncoder, left: tuple[bytes, np.ndarray], right: tu
             j += 1
         stop = int(b_ends[j - 1]) if j else 0
         text = (a[start:] + b[:stop]).decode("utf-8")
-        window = np.asarray(coder.encode(text), dtype=np.uint32)
+        window = coder.encode(text).astype(np.uint32)
         if i == 0 and j == len(b_ids):
             return a + b, window
         ends = np.cumsum([len(coder.bytes[t]) for t in window])
@@ -122,7 +122,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", finish: Finish
             for at in range(0, max(batch.num_rows, 1), 256):
                 some = batch.slice(at, 256)
                 texts = some.column(body).to_pylist()
-                out = columns([np.asarray(coder.encode(t), np.uint32) for t in texts])
+                out = columns(coder.encode_many(texts))
                 names = [*(f.name for f in fields), *(f.name for f in made)]
                 yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in fields), *out], names=names)
 
@@ -138,7 +138,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", finish: Finish
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
-                found = [np.asarray(coder.encode(t), np.uint32).tobytes() for t in some.column(body).to_pylist()]
+                found = [x.astype(np.uint32).tobytes() for x in coder.encode_many(some.column(body).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [*some.columns, pa.array(found, pa.binary())], names=[*some.schema.names, ids])
 

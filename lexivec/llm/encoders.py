@@ -6,55 +6,70 @@ library for each distinct piece once.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable
 from itertools import chain
 
-CACHE_PIECES = 1 << 19
+import numpy as np
+
+CACHE_PIECES = 1 << 20
 CACHED_CHARS = 64  # longer pieces are rarely seen again
 
 _encoders: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
 class PieceEncoder:
-    """``cut`` splits a text into the pieces that are encoded one by one; ``lead`` is put before
-    every piece but the first (the separator that ``cut`` takes away)."""
+    """``cut`` splits a text into pieces that are encoded one by one; ids are kept as packed numbers."""
 
-    def __init__(self, path: str, lead: str):
+    def __init__(self, path: str):
+        # Spark runs a worker per core; threads inside it would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.lead = lead
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.cache: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[list[int]]:
-        if not texts:
-            return []
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, self.kind).tobytes() for ids in self.library(texts)]
 
     def cut(self, text: str) -> list[str]:
         raise NotImplementedError
 
-    def encode(self, text: str) -> list[int]:
-        first, *rest = self.cut(text)
+    def new_pieces(self, pieces: list[str]) -> list[bytes]:
+        return self.packed(pieces)
+
+    def first_pieces(self, pieces: list[str]) -> list[bytes]:
+        return [self.cache[p] for p in pieces]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. The library is asked once for all pieces that are new."""
+        cut = [self.cut(t) for t in texts]
         cache = self.cache
-        new = [p for p in dict.fromkeys(rest) if p not in cache]
-        found = dict(zip(new, map(tuple, self.library([self.lead + p for p in new]))))
-        own = self.library([first])[0]
-        if found:
-            if len(cache) + len(found) > CACHE_PIECES:
-                cache.clear()
-                # Pieces of this text that were cached before are asked for again.
-                old = [p for p in dict.fromkeys(rest) if p not in found]
-                found |= zip(old, map(tuple, self.library([self.lead + p for p in old])))
-            cache.update((p, ids) for p, ids in found.items() if len(p) <= CACHED_CHARS)
-            lookup = {**found} if any(len(p) > CACHED_CHARS for p in found) else cache
-            if lookup is not cache:
-                return own + list(chain.from_iterable(cache[p] if p in cache else lookup[p] for p in rest))
-        own.extend(chain.from_iterable(map(cache.__getitem__, rest)))
-        return own
+        new = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in cache]
+        if len(cache) + len(new) > CACHE_PIECES:
+            cache.clear()
+            new = list(dict.fromkeys(chain.from_iterable(cut)))
+        cache.update(zip(new, self.new_pieces(new)))
+        firsts = self.first_pieces([pieces[0] for pieces in cut])
+        out = []
+        for first, pieces in zip(firsts, cut):
+            found = list(map(cache.__getitem__, pieces))
+            found[0] = first
+            out.append(np.frombuffer(b"".join(found), self.kind))
+        for p in new:
+            if len(p) > CACHED_CHARS:
+                del cache[p]
+        return out
 
 
 class ByteEncoder(PieceEncoder):
@@ -64,7 +79,7 @@ class ByteEncoder(PieceEncoder):
     CUT = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
 
     def __init__(self, path: str):
-        super().__init__(path, " ")
+        super().__init__(path)
         self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         back = {c: b for b, c in enumerate(byte_signs())}
@@ -73,10 +88,31 @@ class ByteEncoder(PieceEncoder):
             self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         for content, i in self.special.items():
             self.bytes[i] = content
+        self.sizes = np.array([len(b) for b in self.bytes])
 
     def cut(self, text: str) -> list[str]:
         return self.CUT.split(text)
 
+    def new_pieces(self, pieces: list[str]) -> list[bytes]:
+        """All behind a space, encoded as one text; the bytes that the ids stand for tell them apart."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at:at + 4096]
+            # Only pieces with a plain sign at either end are cut apart at the spaces put between them.
+            if all(p and "!" <= p[0] <= "~" and "!" <= p[-1] <= "~" for p in some):
+                ids = np.array(self.library([" " + " ".join(some)])[0], self.kind)
+                ends = np.cumsum(self.sizes[ids])
+                stops = np.searchsorted(ends, np.cumsum([len(p.encode()) + 1 for p in some])) + 1
+                data, width = ids.tobytes(), self.kind.itemsize
+                starts = [0, *(stops[:-1] * width).tolist()]
+                out += [data[i:j] for i, j in zip(starts, (stops * width).tolist())]
+            else:
+                out += self.packed([" " + p for p in some])
+        return out
+
+    def first_pieces(self, pieces: list[str]) -> list[bytes]:
+        return self.packed(pieces)
+
     def raw(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -87,12 +123,13 @@ class ByteEncoder(PieceEncoder):
 class WordEncoder(PieceEncoder):
     """BPE whose words never cross white space and which drops it."""
 
-    def __init__(self, path: str):
-        super().__init__(path, "")
+    TAIL = re.compile("(?<=[a-z])[,.](?=[ \\n])")
 
     def cut(self, text: str) -> list[str]:
-        parts = text.replace("\n", " ").split(" ")
-        return ["", *parts] if "" not in parts else ["", *filter(None, parts)]
+        if "<|" not in text:  # else lower-casing might spell a special token
+            text = text.encode().lower().decode()
+        parts = self.TAIL.sub(r" \g<0>", text).replace("\n", " ").split(" ")
+        return list(filter(None, parts)) or [""] if "" in parts else parts
 
 
 def byte_signs() -> list[str]:

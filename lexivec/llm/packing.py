@@ -25,7 +25,8 @@ from lexivec.sources.shared_tables import write_table
 ROUNDS = 60
 STEP = 0.1
 NEAR_BEST = 0.02
-BUCKET_PIECES = 1 << 16
+BUCKET_PIECES = 1 << 13
+BATCH_TEXTS = 256
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -43,13 +44,14 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int,
         coder = encoder(WordEncoder, path)
         for batch in batches:
             out: list[tuple] = []
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = coder.encode(body)
-                ids.append(end_id)
-                packed = np.asarray(ids, dtype="<u4")
-                for n, at in enumerate(range(0, len(packed), capacity)):
-                    some = packed[at:at + capacity]
-                    out.append((doc, n, at, len(some), zlib.crc32(some.tobytes()), some.astype(np.int32)))
+            docs_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first in range(0, len(texts), BATCH_TEXTS):
+                some_ids = coder.encode_many(texts[first:first + BATCH_TEXTS])
+                for doc, ids in zip(docs_of[first:], some_ids):
+                    packed = np.append(ids.astype("<u4"), np.uint32(end_id))
+                    for n, at in enumerate(range(0, len(packed), capacity)):
+                        some = packed[at:at + capacity]
+                        out.append((doc, n, at, len(some), zlib.crc32(some.tobytes()), some.astype(np.int32) if with_ids else None))
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             if with_ids:
