@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexivec.llm import bpe, class_lm, licenses, metric_search, packing, shingle_join, site_quality, surrogates, url_filter
+from lexivec.llm import bpe, class_lm, licenses, metric_search, packing, shingle_join, site_quality, surrogates, url_filter, winnowing
 from lexivec.llm.common import read
 
 LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
@@ -46,12 +46,23 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf, "documents"), *licenses.license_tables(spark))
 
 
+def op2_winnowing(spark: SparkSession, sf: str) -> DataFrame:
+    rows = winnowing.edited_fingerprints(read(spark, sf, "documents"))
+    rows = rows.withColumn("own", winnowing.hashes(F.col("fingerprint")))
+    return rows.select(
+        F.col("id").alias("doc_id"), F.col("chars").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"), winnowing.written(F.col("fingerprint")).alias("fingerprint"),
+        winnowing.written(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        winnowing.likeness(F.col("own"), winnowing.hashes(F.col("edited_fingerprint"))).alias("near_edited"),
+        winnowing.likeness(F.col("own"), F.col("next_hashes")).alias("near_next"))
+
+
 def op3_class_lm(spark: SparkSession, sf: str) -> DataFrame:
     return class_lm.score_documents(read(spark, sf, "documents"))
 
 
 def op4_shingle_join(spark: SparkSession, sf: str) -> DataFrame:
-    return shingle_join.near_duplicates(read(spark, sf, "documents")).drop("node")
+    return shingle_join.near_duplicates(read(spark, sf, "documents")).drop("node", "component")
 
 
 def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:

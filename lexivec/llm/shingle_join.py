@@ -18,8 +18,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from lexivec.llm.common import small
+from lexivec.llm.common import fresh, small
 from lexivec.sources.shared_tables import drop_table, write_table
 
 WORDS = 5
@@ -363,7 +365,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                     group_entries: int = GROUP_ENTRIES, broadcast_ids: int = BROADCAST_IDS,
                     often_in_batch: int = OFTEN_IN_BATCH, hot_entries: int = HOT_ENTRIES,
                     triple_share: float = TRIPLE_SHARE) -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id and node.
+    """One row per row of ``docs``: key, n_shingles, component_id, node and component.
 
     Words are runs of signs other than ASCII white space with A-Z lower-cased. A document's set holds its distinct
     shingles of ``words`` words; of a shorter text, all its words as one. Two documents are linked when
@@ -428,8 +430,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     first = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first_id"))
     first = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = first.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    placed_ids = first.select("node", "component").join(lowest, "component").select("node", "component_id")
+    placed_ids = first.select("node", "component").join(lowest, "component").select("node", "component", "component_id")
     out = rows.join(placed_ids, "node", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"),
                       F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-                      "node")
+                      "node", "component")
+
+
+def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
+                  broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does: the one with the smallest key
+    (null last), of several such rows one. Documents without words are alone and stay.
+
+    What goes is anti-joined by key, so texts move only if that table is large; rows whose key is repeated
+    are told apart by their sets.
+    """
+    found = write_table(near_duplicates(docs, key, text, words, percent), "found").select(
+        F.col(f"`{key}`").alias("id"), "node", "component")
+    first = found.filter("component IS NOT NULL").groupBy("component").agg(F.min_by(
+        F.struct("id", "node"), F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
+    stay = first.select(F.col("first.id").alias("stay_id"), F.col("first.node").alias("stay_node"))
+    times = found.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    repeated = write_table(times.filter("times > 1 OR id IS NULL").select("id"), "repeated")
+    gone = found.filter("node IS NOT NULL").join(
+        stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("node") == F.col("stay_node")), "left_anti")
+    gone = write_table(gone.select("id").unionByName(repeated).distinct(), "gone")
+
+    def listed(ids: DataFrame) -> DataFrame:
+        ids = ids.select(F.col("id").alias("listed_id"))
+        return F.broadcast(ids) if small(ids, broadcast_ids) else ids
+
+    same = docs[f"`{key}`"].eqNullSafe(F.col("listed_id"))
+    once = docs.join(listed(gone), same, "left_anti")
+    if repeated.isEmpty():
+        return once
+    again = docs.join(listed(repeated), same, "left_semi")
+    node, number = fresh(docs, "node", "number")
+    schema = T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [node_of(shingle_set(t, words)) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=schema.names)
+
+    again = again.mapInArrow(mark, schema)
+    empty = again.filter(F.col(node).isNull())
+    full = again.join(stay, F.col(f"`{key}`").eqNullSafe(F.col("stay_id")) & (F.col(node) == F.col("stay_node")), "left_semi")
+    full = full.withColumn(number, F.row_number().over(
+        Window.partitionBy(f"`{key}`", node).orderBy(text))).filter(F.col(number) == 1)
+    return once.unionByName(empty.drop(node)).unionByName(full.drop(node, number))

@@ -70,7 +70,7 @@ def test_odd_rows(spark):
             (2, "ONE\ttwo"), (4, "two one"), (None, "x y z"), (5, "a b c d e"), (6, "a b c d e f " * 4000)]
     docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, node int, n long")
     got = sj.near_duplicates(docs)
-    assert got.columns == ["doc_id", "n_shingles", "component_id", "node"]
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "node", "component"]
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == brute(rows)
     assert sj.near_duplicates(docs.limit(0)).count() == 0
 
@@ -109,3 +109,15 @@ def test_components_of_chains(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (200, 100), (55, 55)]
     got = {r.node: r.component for r in sj.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert len({got[k] for k in range(41)}) == 1 and got[100] == got[101] == got[200] and len(set(got.values())) == 2
+
+
+def test_one_per_group(spark):
+    same = "a b c d e f g h i"
+    rows = [(7, same), (7, same), (3, same.upper()), (None, same), (9, None), (8, ""), (8, " "), (1, "one two"), (2, "One two"),
+            (5, "p q r s t u"), (5, "v w x y z"), (5, "v w x y z"), (None, "left alone here"), (None, "left alone here")]
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, node int")
+    got = sj.one_per_group(docs)
+    assert got.columns == docs.columns
+    want = [(3, same.upper()), (9, None), (8, ""), (8, " "), (1, "one two"), (5, "p q r s t u"), (5, "v w x y z"), (None, "left alone here")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+    assert sj.one_per_group(docs.limit(0)).count() == 0
