@@ -1,0 +1,89 @@
+"""The text model, the shrinkage by brute force, and odd rows."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from lexivec.llm import site_quality as q
+
+
+def rows(n=400, seed=1):
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        host = rng.choice(["a", "a", "b", None])
+        bad = rng.random() < {"a": 0.1, "b": 0.9, None: 0.3}[host]
+        words = [rng.choice(["alpha", "beta", "gamma", "of", "the", f"w{rng.randrange(500)}"]) for _ in range(30)]
+        text = " ".join(w + rng.choice(["$$$", "%%%"]) for w in words) if bad else " ".join(words) + "."
+        out.append((k, text, host, rng.choice(["x", "y", None]), int(not bad)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    data = rows()
+    docs = spark.createDataFrame([r[:4] for r in data], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(r[0], r[4], None) for r in data if r[0] % 2], "doc_id long, quality int, evidence string")
+    return data, docs, labels
+
+
+@pytest.mark.parametrize("limit", [1 << 18, 0])
+def test_judged(tables, limit):
+    data, docs, labels = tables
+    got = {r.doc_id: r for r in q.judge_quality(docs, labels, broadcast_sites=limit).collect()}
+    assert len(got) == len(data)
+    right = [(got[k].keep, good) for k, *_, good in data if k % 2 == 0]
+    assert sum(keep == bool(good) for keep, good in right) >= 0.98 * len(right)
+    for r in got.values():
+        assert r.quality == pytest.approx(1 / (1 + math.exp(-(r.evidence + math.log(r.path_rate / (1 - r.path_rate))))), abs=1e-9)
+
+
+def test_site_rates_by_brute_force(spark, tables):
+    data, docs, labels = tables
+    got = q.judge_quality(docs, labels).collect()
+    sample = np.array([q.text_features(t) for k, t, *_ in data if k % 2])
+    model = q.fit_text_model(sample, np.array([g for k, *_, g in data if k % 2], float))
+    chance = {r.doc_id: 1 / (1 + math.exp(-(model.evidence(np.array([q.text_features(r.text)]))[0] + model.base))) for r in got}
+    rate = (sum(chance.values()) + 0.5) / (len(got) + 1)
+    host, path = {}, {}
+    for r in got:
+        for table, key in ((host, r.source), (path, (r.source, r.lang))):
+            n, s = table.get(key, (0, 0.0))
+            table[key] = n + 1, s + chance[r.doc_id]
+
+    def prior(groups, centre):
+        spread = sum(n * (s / n - c) ** 2 for (n, s), c in zip(groups, centre) if n > 1)
+        base = sum(c * (1 - c) for (n, _), c in zip(groups, centre) if n > 1)
+        chance_ = sum((n - 1) * 0 + c * (1 - c) for (n, _), c in zip(groups, centre) if n > 1)
+        scale = sum((n - 1) * c * (1 - c) for (n, _), c in zip(groups, centre) if n > 1)
+        return float(np.clip(scale / (spread - chance_) - 1, 1, 1e6)) if spread > base and scale > 0 else 1e6
+
+    hw = prior(list(host.values()), [rate] * len(host))
+    centre = {k: (s + hw * rate) / (n + hw) for k, (n, s) in host.items()}
+    pw = prior(list(path.values()), [centre[k[0]] for k in path])
+    for r in got:
+        own = chance[r.doc_id]
+        n, s = host[r.source]
+        h = (s - own + hw * rate) / (n - 1 + hw)
+        n, s = path[r.source, r.lang]
+        assert r.host_rate == pytest.approx(h, rel=1e-6)
+        assert r.path_rate == pytest.approx((s - own + pw * h) / (n - 1 + pw), rel=1e-6)
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, None, None, 1, True), (1, None, None, None, 1, True), (None, "", "s", "l", 2, False),
+                                  (2, "x " * 100_000, "s", None, 3, None), (3, "fine words here.", "s", "l", 4, None)],
+                                 "doc_id long, text string, source string, lang string, n int, keep boolean")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = q.judge_quality(docs, none)
+    assert got.count() == 5 and got.filter("keep").count() == 5
+    one = spark.createDataFrame([(3, 1), (3, 1), (None, 0), (2, None), (77, 0)], "doc_id long, quality int")
+    assert q.judge_quality(docs, one).count() == 5
+    assert q.judge_quality(docs.limit(0), one).count() == 0
+
+
+def test_model_of_one_kind_of_label():
+    model = q.fit_text_model(np.array([q.text_features("a b c")] * 4), np.ones(4))
+    assert np.isfinite(model.evidence(np.array([q.text_features("$$$ %%%")]))).all()
