@@ -7,6 +7,8 @@ GRAM + WINDOW - 1 words in a row share a chosen hash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,15 +88,21 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """Of distinct rows (id, version, chars): each with the id, version and chars of the row before it in descending
-    order of id (null last), then version; before the first comes the last. The order is a range sort."""
+    """Of distinct rows (id, version, chars): the key of each (own_...), and key and chars of the row before it
+    (before_...) in descending order of id (null last), then version; before the first comes the last. The order is
+    a range sort."""
     ordered = write_in_order(keys, F.desc_nulls_last("id"), "version", label="order")
     ranked = with_total_before(ordered, F.lit(1), "before").withColumn("rank", F.col("before") + F.col("row"))
     total = keys.sparkSession.createDataFrame([(ordered.count(),)], "total long")
     ranked = ranked.crossJoin(F.broadcast(total))  # one row
-    ahead = ranked.select(F.pmod(F.col("rank") + 1, "total").alias("rank"), F.col("id").alias("before_id"),
-                          F.col("version").alias("before_version"), F.col("chars").alias("before_chars"))
-    return ranked.select("rank", "id", "version", "chars").join(ahead, "rank").drop("rank")
+    ahead = ranked.select(F.pmod(F.col("rank") + 1, "total").alias("rank"), *[
+        c.alias(f"before_{name}") for name, c in joinable().items()], F.col("chars").alias("before_chars"))
+    return ranked.select("rank", *[c.alias(f"own_{name}") for name, c in joinable().items()]).join(ahead, "rank").drop("rank")
+
+
+def joinable() -> dict[str, Column]:
+    """``id`` and ``version`` as columns without nulls, so that joins and groups share one partitioning."""
+    return {"id": F.coalesce("id", F.lit(0)), "missing": F.col("id").isNull(), "version": F.col("version")}
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,15 +120,18 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     rows = rows.withColumn("version", F.xxhash64("text"))
     order = neighbours(rows.select("id", "version", F.length("text").alias("chars")).distinct())
     base = with_fingerprint(rows, "text", "fingerprint")
-    met = base.join(order.select(F.col("id").alias("o_id"), F.col("version").alias("o_version"), "before_id",
-                                 "before_version", "before_chars"),
-                    F.col("id").eqNullSafe(F.col("o_id")) & (F.col("version") == F.col("o_version")))
+    own, before = [f"own_{name}" for name in joinable()], [f"before_{name}" for name in joinable()]
+    base = base.withColumns({f"key_{name}": c for name, c in joinable().items()})
+
+    def keyed(names: list[str]) -> Column:
+        return reduce(Column.__and__, (F.col(f"key_{key}") == F.col(c) for key, c in zip(joinable(), names)))
+
+    met = base.join(order, keyed(own))
     heads = met.select(
-        "before_id", "before_version", F.substr("text", F.lit(1), F.floor(F.col("before_chars") / 3).cast("int")).alias("head"),
+        *before, F.substr("text", F.lit(1), F.floor(F.col("before_chars") / 3).cast("int")).alias("head"),
         hashes(F.col("fingerprint")).alias("next_hashes"))
-    heads = heads.groupBy("before_id", "before_version").agg(
-        F.first("head").alias("head"), F.first("next_hashes").alias("next_hashes"))
-    joined = base.join(heads, F.col("id").eqNullSafe(F.col("before_id")) & (F.col("version") == F.col("before_version")))
+    heads = heads.groupBy(*before).agg(F.first("head").alias("head"), F.first("next_hashes").alias("next_hashes"))
+    joined = base.join(heads, keyed(before))
     chars = F.length("text")
     joined = joined.select("id", chars.alias("chars"), "fingerprint", "next_hashes", F.concat(
         F.substr("text", F.lit(1), chars - F.floor(chars / 3).cast("int")), "head").alias("edited"))
