@@ -69,6 +69,38 @@ def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return metric_search.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _parts(column: str) -> str:
+    return (f"list_filter(list_transform(regexp_split_to_array(translate({column}, {LOWER}), {_quoted(licenses.BREAKS)}), "
+            f"lambda x: trim(regexp_replace(x, {_quoted(licenses.SYMBOLS)}, ' ', 'g'))), lambda x: x <> '')")
+
+
+OP10_SQL = f"""
+WITH given(sentence_id, sentence) AS (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licenses.SENTENCES.items())}),
+known AS (SELECT sentence_id, {_parts("sentence")} AS k FROM given),
+rules(license, ids) AS (VALUES {", ".join(f"({_quoted(n)}, {ids})" for n, ids in licenses.RULES)}),
+docs AS (SELECT row_number() OVER () AS d, doc_id, {_parts("text")} AS p FROM (SELECT DISTINCT doc_id, text FROM documents)),
+sentences AS (SELECT d, doc_id, p, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM docs),
+spots AS (
+  SELECT d, doc_id, sentence_id, i - 1 AS start, i - 1 + len(k) AS stop
+  FROM sentences JOIN known ON s = k[1] AND p[i:i + len(k) - 1] = k),
+chains AS (
+  SELECT a.d, a.doc_id, license, ids, a.start AS f,
+    CASE len(ids) WHEN 1 THEN a.stop WHEN 2 THEN b.stop WHEN 3 THEN c.stop END - 1 AS l
+  FROM rules JOIN spots a ON a.sentence_id = ids[1]
+  LEFT JOIN spots b ON b.d = a.d AND b.sentence_id = ids[2] AND b.start = a.stop
+  LEFT JOIN spots c ON c.d = b.d AND c.sentence_id = ids[3] AND c.start = b.stop)
+SELECT DISTINCT d, doc_id, license, array_to_string(ids, ' ') AS sentence_ids, f::INTEGER AS first_sentence,
+  l::INTEGER AS last_sentence
+FROM chains x
+WHERE l IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM chains o WHERE o.d = x.d AND o.f <= x.f AND o.l >= x.l AND o.l - o.f > x.l - x.f)
+"""
+OP10_SQL = f"SELECT * EXCLUDE (d) FROM ({OP10_SQL})"  # rules have at most three sentences
+
 OP5_SQL = """
 WITH scaled AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
@@ -123,4 +155,4 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {name: fn for name, fn in list(globals().items()) if name[:2] == "op" and callable(fn)}
-ORACLE = {"op1_url_filter": OP1_SQL, "op5_top_k": OP5_SQL}
+ORACLE = {"op1_url_filter": OP1_SQL, "op5_top_k": OP5_SQL, "op10_license_scan": OP10_SQL}
