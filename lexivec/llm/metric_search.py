@@ -7,7 +7,6 @@ best of all trees are merged.
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ from pyspark.sql.window import Window
 from lexivec.sources.shared_tables import write_table
 
 BLOCK_VECTORS = 8192
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048
 LEAF = 128
 FANOUT = 64
 SLACK = 1e-9  # relative; bounds are in floating point, scores are whole numbers
@@ -45,7 +44,6 @@ class Tree:
         if len(ids):
             order = np.concatenate(self.order)
             self.ids, self.points, self.parent = ids[order], points[order], self.parent[order]
-        self.squares = (self.points.astype(np.float64) ** 2).sum(axis=1)
         del self.order
 
     def _build(self, values: np.ndarray, spots: np.ndarray, center: np.ndarray) -> int:
@@ -57,6 +55,7 @@ class Tree:
         self.largest.append(float((own ** 2).sum(axis=1).max()))
         self.pages.append(())
         if len(spots) <= LEAF:
+            spots, away = spots[np.argsort(away, kind="stable")], np.sort(away)
             self.parent[spots] = away
             self.order.append(spots)
             self.pages[node] = (True, self.filled, self.filled + len(spots))
@@ -71,52 +70,102 @@ class Tree:
             (centers ** 2).sum(axis=1))
         return node
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the ``k`` best, ties to smaller ids, without id ``own``."""
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if self.root is None:
-            return best_ids, best
-        q = query.astype(np.float64)
-        square = float(q @ q)
-        norm = square ** 0.5
-        least = -np.inf
-        # Products are exact in floating point while they stay below 2^53; beyond, integers are used.
-        exact = norm * max(self.largest) ** 0.5 < 2**52
-        away = float(np.sqrt(((self.center[self.root] - q) ** 2).sum()))
-        heap = [(-np.inf, self.root, away)]
-        while heap:
-            bound, node, away = heapq.heappop(heap)
-            if -bound < least:
-                break
-            page = self.pages[node]
-            if page[0]:
-                lo, hi = page[1:]
-                # The stored distance to the routing object rules points out without a product.
-                near = np.abs(away - self.parent[lo:hi])
-                most = (square + self.squares[lo:hi] - near * near) / 2
-                spots = lo + np.flatnonzero(_up(most, square + self.squares[lo:hi]) >= least)
-                rows = self.points[spots]
-                scores = (rows.astype(np.float64) @ q).astype(np.int64) if exact else rows.astype(np.int64) @ query
-                good = (scores >= least) & (self.ids[spots] != own)
-                if good.any():
-                    best_ids = np.concatenate([best_ids, self.ids[spots[good]]])
-                    best = np.concatenate([best, scores[good]])
-                    top = np.lexsort((best_ids, -best))[:k]
-                    best_ids, best = best_ids[top], best[top]
-                    if len(best) == k:
-                        least = best[-1]
-                continue
-            _, children, centers, parent, radius, largest, squares = page
-            near = np.maximum(0, np.abs(away - parent) - radius)
-            open_ = np.flatnonzero(_up((square + largest - near * near) / 2, square + largest) >= least)
-            products = centers[open_] @ q
-            apart = np.sqrt(np.maximum(0, square + squares[open_] - 2 * products))
-            near = np.maximum(0, apart - radius[open_])
-            most = np.minimum((square + largest[open_] - near * near) / 2, products + norm * radius[open_])
-            most = _up(most, square + largest[open_] + squares[open_])
-            for at in np.flatnonzero(most >= least):
-                heapq.heappush(heap, (-float(most[at]), children[open_[at]], float(apart[at])))
-        return best_ids, best
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the query, id and score of the ``k`` best of each query, ties to smaller ids, without its
+        ``own`` id.
+
+        Best first for all queries at once: in each round every query opens the page with its highest bound, and
+        queries that open the same page share its products. A query is done when no bound reaches its
+        ``k``-th score.
+        """
+        if self.root is None or not len(queries):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        values = queries.astype(np.float64)
+        square = (values ** 2).sum(axis=1)
+        norm = np.sqrt(square)
+        most = float(norm.max()) * max(self.largest) ** 0.5 + 1
+        # Products are exact in floating point while they stay below 2^52; beyond, integers are used.
+        exact = most < 2**52
+        # Score and id in one number: score * count - rank of the id.
+        count = len(self.ids)
+        kind = np.int64 if most * count < 2**62 else object
+        none = -(2**62) if kind is np.int64 else -(2**130)
+        by_id = np.argsort(self.ids, kind="stable")
+        rank = np.empty(count, np.int64)
+        rank[by_id] = np.arange(count)
+        top = np.full((len(queries), k), none, dtype=kind)
+        least = np.full(len(queries), -np.inf)
+        bound = np.full((len(queries), len(self.center)), -np.inf)
+        away = np.zeros(bound.shape)
+        bound[:, self.root] = np.inf
+        away[:, self.root] = np.sqrt(((values - self.center[self.root]) ** 2).sum(axis=1))
+        live = np.arange(len(queries))
+        while len(live):
+            node = bound[live].argmax(axis=1)
+            highest = bound[live, node]
+            open_ = (highest >= least[live]) & (highest > -np.inf)
+            live, node = live[open_], node[open_]
+            order = np.argsort(node, kind="stable")
+            cuts = np.flatnonzero(np.diff(node[order])) + 1
+            for group in np.split(order, cuts) if len(order) else []:
+                at, page = live[group], int(node[group[0]])
+                bound[at, page] = -np.inf
+                if self.pages[page][0]:
+                    self._leaf(page, at, values, queries, square, away, least, top, own, rank, exact, k, none)
+                else:
+                    self._inner(page, at, values, square, norm, away, least, bound)
+        place, spot = np.nonzero(top != none)
+        found = top[place, spot]
+        score = -(-found // count)
+        return place, self.ids[by_id[(score * count - found).astype(np.int64)]], score.astype(np.int64)
+
+    def _leaf(self, page, at, values, queries, square, away, least, top, own, rank, exact, k, none) -> None:
+        lo, hi = self.pages[page][1:]
+        # Points are sorted by their stored distance to the routing object. A point that could reach a query's k-th
+        # score has one that differs from the query's by at most `reach`; the others need no product.
+        scale = square[at] + self.largest[page]
+        with np.errstate(invalid="ignore", over="ignore"):
+            reach = np.sqrt(np.maximum(0, scale - 2 * least[at] + 4 * SLACK * scale)) + SLACK * (1 + away[at, page])
+        first = lo + int(np.searchsorted(self.parent[lo:hi], (away[at, page] - reach).min(), "left"))
+        last = lo + int(np.searchsorted(self.parent[lo:hi], (away[at, page] + reach).max(), "right"))
+        if first >= last:
+            return
+        points = self.points[first:last]
+        if exact:
+            scores = (values[at] @ points.astype(np.float64).T).astype(np.int64)
+        else:
+            scores = queries[at].astype(np.int64) @ points.astype(np.int64).T
+        keys = scores.astype(top.dtype) * len(self.ids) - rank[first:last]
+        keys[own[at][:, None] == self.ids[None, first:last]] = none
+        every = np.concatenate([top[at], keys], axis=1)
+        if top.dtype == object:
+            every.sort(axis=1)
+        else:
+            every.partition(every.shape[1] - k, axis=1)
+        best = every[:, every.shape[1] - k:]
+        top[at] = best
+        worst = best.min(axis=1)
+        full = worst != none
+        least[at[full]] = (-(-worst[full] // len(self.ids))).astype(np.float64)
+
+    def _inner(self, page, at, values, square, norm, away, least, bound) -> None:
+        _, children, centers, parent, radius, largest, squares = self.pages[page]
+        # The stored distances to this page's routing object bound every child without a product.
+        near = np.maximum(0, np.abs(away[at, page][:, None] - parent) - radius)
+        total = square[at][:, None] + largest
+        needed = _up((total - near * near) / 2, total) >= least[at][:, None]
+        used = np.flatnonzero(needed.any(axis=0))
+        if not len(used):
+            return
+        products = values[at] @ centers[used].T
+        apart = np.sqrt(np.maximum(0, square[at][:, None] + squares[used] - 2 * products))
+        near = np.maximum(0, apart - radius[used])
+        total = total[:, used]
+        highest = np.minimum((total - near * near) / 2, products + norm[at][:, None] * radius[used])
+        highest = _up(highest, total + squares[used])
+        spots = np.asarray(children)[used]
+        away[np.ix_(at, spots)] = apart
+        bound[np.ix_(at, spots)] = np.where(needed[:, used], highest, -np.inf)
 
 
 def _up(bound: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -222,13 +271,9 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64,
                 tree: Tree = pickle.loads(batch.column("tree")[at].as_py())
                 ids = np.frombuffer(batch.column("asked_ids")[at].as_py(), np.int64)
                 matrix = _same_width(pickle.loads(batch.column("asked_points")[at].as_py()), tree.points.shape[1])
-                found = [tree.search(q, int(i), k) for i, q in zip(ids, matrix)]
-                sizes = [len(x) for x, _ in found]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(ids, sizes)),
-                    pa.array(np.repeat(np.arange(len(ids)), sizes)),
-                    pa.array(np.concatenate([x for x, _ in found])),
-                    pa.array(np.concatenate([s for _, s in found]))],
+                place, near, score = tree.search(matrix, ids, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[place]), pa.array(place), pa.array(near), pa.array(score)],
                     names=["query_id", "place", "vec_id", "score"])
 
     # `place` tells queries apart that share an id; a query block has one order in all pairs.
