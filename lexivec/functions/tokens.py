@@ -7,6 +7,6 @@ from pyspark.sql import functions as F
 
 
 def word_tokens(text: Column | str) -> Column:
-    """Lower-cased runs of ASCII letters and digits, in order."""
-    parts = F.split(F.lower(F.col(text) if isinstance(text, str) else text), "[^a-z0-9]+")
+    """Lower-cased runs of letters, marks and digits of any script, in order."""
+    parts = F.split(F.lower(F.col(text) if isinstance(text, str) else text), r"[^\p{L}\p{M}\p{N}]+")
     return F.filter(parts, lambda t: t != "")

@@ -78,6 +78,15 @@ def encode_corpus(tokens: DataFrame, vocab: DataFrame,
     return encode_by_join(keyed, "row", vocab, limit).select("ids")
 
 
+def encode_keyed(tokens: DataFrame, key: str, vocab: DataFrame,
+                 limit: int = IN_PLACE_LIMIT_BYTES) -> DataFrame:
+    """``key, ids`` of rows with a unique ``key``, by whichever form the vocabulary size allows. Sentences
+    without a known word are left out."""
+    if table_bytes(vocab) <= limit:
+        return encode_in_place(tokens, vocab).select(key, "ids").filter(F.size("ids") > 0)
+    return encode_by_join(tokens, key, vocab, limit)
+
+
 def chunk_arrays(ids: Column | str, max_length: int) -> Column:
     """Splits an array into arrays of at most ``max_length``; none for an empty one."""
     ids = F.col(ids) if isinstance(ids, str) else ids

@@ -36,13 +36,13 @@ from lexivec.plans.kernel import INIT_BLOCK, Learner, initial_block, learning_ra
 from lexivec.settings import TrainSettings
 from lexivec.sources.dictionary import read_dictionary
 from lexivec.sources.shared_tables import drop_table, write_table
+from lexivec.sources.sorted_tables import with_total_before, write_in_order
 
-# All weights of one learner together stay below this many floats.
-MAX_WEIGHT_CELLS = 2**31 - 1
-# The per-word arrays every learner gets by broadcast, about 100 bytes a word, stay below 2 GiB.
-MAX_WORDS = 2**31 // 100
-# With num_partitions=0 a learner gets at least this many words.
-WORDS_PER_LEARNER = 100_000
+FLOAT_BYTES = 4
+# Per-word arrays of a learner, measured on half a million words: the Huffman paths take most.
+SIDE_BYTES = 200
+# Examples are mixed within pieces of so many words, however the rows arrive.
+PIECE_WORDS = 10_000
 OUTPUT_ROWS = 4096
 
 MODIFIED_SCHEMA = ("kind string, row_id bigint, vector array<float>, words bigint, "
@@ -79,15 +79,14 @@ def learn_vocabulary(tokens: DataFrame, settings: TrainSettings) -> DataFrame:
 def check_weight_size(words: int, settings: TrainSettings) -> None:
     if words == 0:
         raise ValueError("the vocabulary is empty: lower min_count or raise max_vocab_size")
-    if words > MAX_WORDS:
-        raise ValueError(f"{words} words are more than {MAX_WORDS}: raise min_count or set "
-                         "max_vocab_size")
     outputs = int(settings.hs) + int(settings.negative > 0)
     cells = words * (settings.vector_size + outputs * settings.output_size)
-    if cells > MAX_WEIGHT_CELLS:
+    needed = (cells * FLOAT_BYTES + words * SIDE_BYTES) >> 20
+    if needed > settings.learner_memory_mb:
         raise ValueError(
-            f"{words} words need {cells} weights per learner, more than {MAX_WEIGHT_CELLS}: "
-            "raise min_count, set max_vocab_size or lower vector_size")
+            f"{words} words need {needed} MB of weights per learner, more than "
+            f"{settings.learner_memory_mb}: raise min_count or learner_memory_mb, set max_vocab_size or "
+            "lower vector_size")
 
 
 def side_tables(vocab: DataFrame, settings: TrainSettings) -> SideTables:
@@ -100,10 +99,18 @@ def side_tables(vocab: DataFrame, settings: TrainSettings) -> SideTables:
 
 
 def encoded_sentences(tokens: DataFrame, vocab: DataFrame, settings: TrainSettings) -> DataFrame:
-    """``sentence, ids``, written once; every epoch reads it. Encoding needs no shuffle."""
-    chunks = sentence_chunks(encode_corpus(tokens, vocab), settings.max_sentence_length)
-    rows = chunks.select(F.monotonically_increasing_id().alias("sentence"), "ids")
-    return write_table(rows, "sentences")
+    """``sentence, ids``, written once; every epoch reads it.
+
+    A sentence's number is its rank by a hash of its ids and the ids. It depends on the set of
+    sentences only, not on files, cores or how they were encoded; equal sentences are interchangeable
+    and still have numbers of their own.
+    """
+    chunks = sentence_chunks(encode_corpus(tokens, vocab), settings.max_sentence_length).select("ids")
+    ordered = write_in_order(chunks, F.xxhash64("ids"), "ids", label="ordered")
+    ranked = with_total_before(ordered, F.lit(1), "start")
+    rows = write_table(ranked.select((F.col("start") + F.col("row")).alias("sentence"), "ids"), "sentences")
+    drop_table(ordered)
+    return rows
 
 
 def shuffle_sentences(sentences: DataFrame, learners: int, seed: int) -> DataFrame:
@@ -201,6 +208,16 @@ def learner_task(settings: TrainSettings, words: int, total: int, learners: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         started = time.time()
         learner, number, seen = None, 0, 0
+        waiting: list[pa.RecordBatch] = []
+
+        def train(rows: pa.Table) -> int:
+            context = rows["ctx"].combine_chunks()
+            sizes = int_array(context.value_lengths())
+            rate = learning_rate(settings, learners, epoch, seen + np.arange(len(sizes)), total)
+            center, n_left, radius = (int_array(rows[c].combine_chunks()) for c in ("center", "n_left", "radius"))
+            learner.train(center, n_left, radius, int_array(context.flatten()), sizes, rate.astype(np.float32))
+            return len(sizes)
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -212,15 +229,15 @@ def learner_task(settings: TrainSettings, words: int, total: int, learners: int,
             if pc.any(is_weight).as_py():
                 load_weights(learner, batch.filter(is_weight), settings.vector_size)
                 batch = batch.filter(pc.invert(is_weight))
-            context = batch["ctx"]
-            sizes = int_array(context.value_lengths())
-            rate = learning_rate(settings, learners, epoch, seen + np.arange(len(sizes)), total)
-            learner.train(int_array(batch["center"]), int_array(batch["n_left"]),
-                          int_array(batch["radius"]), int_array(context.flatten()), sizes,
-                          rate.astype(np.float32))
-            seen += len(sizes)
+            waiting.append(batch.select(["center", "n_left", "radius", "ctx"]))
+            while sum(b.num_rows for b in waiting) >= PIECE_WORDS:
+                rows = pa.Table.from_batches(waiting)
+                seen += train(rows.slice(0, PIECE_WORDS))
+                waiting = rows.slice(PIECE_WORDS).to_batches()
         if learner is None:
             return
+        if waiting:
+            seen += train(pa.Table.from_batches(waiting))
         for kind in learner.weights:
             if kind == "in" or epoch < settings.max_iter:
                 yield from modified_rows(learner, kind, settings.vector_size)
@@ -245,10 +262,13 @@ def run_epoch(sentences: DataFrame, weights: DataFrame | None, keep: DataFrame |
         f"epoch-{epoch}")
 
 
-def metrics_table(averaged: DataFrame, epoch: int) -> DataFrame:
+def metrics_table(averaged: DataFrame, epoch: int, epochs: int) -> DataFrame:
+    """Per learner: share of the training done after the epoch, words, examples, loss, last rate, seconds and
+    words a second."""
     return averaged.filter(F.col("kind") == METRIC).select(
         F.lit(epoch).alias("epoch"), F.col("row_id").cast("int").alias("learner"),
-        "words", "examples", "loss", "alpha", "seconds")
+        F.lit(epoch / epochs).alias("progress"), "words", "examples", "loss", "alpha", "seconds",
+        (F.col("words") / F.greatest("seconds", F.lit(1e-9))).alias("words_per_second"))
 
 
 def fill_initial(missing: DataFrame, settings: TrainSettings) -> DataFrame:
@@ -294,34 +314,40 @@ def model_table(vocab: DataFrame, weights: DataFrame | None, settings: TrainSett
         l2_norm(F.col("vector")).alias("norm")), "model")
 
 
-def choose_learners(spark: SparkSession, total: int, settings: TrainSettings) -> int:
-    if settings.num_partitions:
-        return settings.num_partitions
-    return max(1, min(spark.sparkContext.defaultParallelism, total // WORDS_PER_LEARNER))
-
-
 def train(tokens: DataFrame, settings: TrainSettings) -> Trained:
-    """Learns word vectors from the ``tokens`` column."""
-    spark = tokens.sparkSession
+    """Learns word vectors from the ``tokens`` column. The result depends on the rows, the settings
+    and the seed only. Scratch tables go also when training fails."""
+    scratch: list[DataFrame] = []
+    try:
+        return _train(tokens, settings, scratch)
+    finally:
+        for table in scratch:
+            drop_table(table)
+
+
+def _train(tokens: DataFrame, settings: TrainSettings, scratch: list[DataFrame]) -> Trained:
+    spark, learners = tokens.sparkSession, settings.num_partitions
     vocab = learn_vocabulary(tokens, settings)
+    scratch.append(vocab)
     words = vocab.count()
     check_weight_size(words, settings)
     sentences = encoded_sentences(tokens, vocab, settings)
+    scratch.append(sentences)
     if settings.custom_dic:
         total = sentences.agg(F.sum(F.size("ids")).alias("total")).first()["total"] or 0
     else:
         total = train_word_total(vocab).first()["total"]
-    learners = choose_learners(spark, total, settings)
     side = spark.sparkContext.broadcast(side_tables(vocab, settings))
     keep = None
     if settings.sample > 0:
         keep = write_table(keep_probability(vocab, settings.sample), "keep")
+        scratch.append(keep)
 
-    weights, metrics, scratch = None, None, [vocab, sentences]
+    weights, metrics = None, None
     for epoch in range(1, settings.max_iter + 1):
         averaged = run_epoch(sentences, weights, keep, side, settings, words, total, learners, epoch)
         scratch.append(averaged)
-        measured = metrics_table(averaged, epoch)
+        measured = metrics_table(averaged, epoch, settings.max_iter)
         metrics = measured if metrics is None else metrics.unionByName(measured)
         changed = averaged.filter(F.col("kind") != METRIC).select("kind", "row_id", "vector")
         if weights is not None:
@@ -334,6 +360,4 @@ def train(tokens: DataFrame, settings: TrainSettings) -> Trained:
         metrics = write_table(metrics, "metrics")
     # The model and its metrics are tables of their own now.
     side.unpersist()
-    for table in scratch if keep is None else [*scratch, keep]:
-        drop_table(table)
     return Trained(model, metrics)

@@ -23,7 +23,7 @@ from lexivec.sources.corpus import (
 )
 from lexivec.sources.dictionary import read_dictionary, write_dictionary
 from lexivec.sources.shared_tables import new_path
-from lexivec.streaming.documents import drain, stream_transform
+from lexivec.streaming.documents import drain_transformed, table_stream
 
 ENTRY_DATA = "/root/testdata/sf0.001"
 
@@ -65,8 +65,7 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, sf: str, vocab: DataFrame) -> DataFrame:
-    rows = encoding.encode_in_place(tokens_of(spark, sf), vocab)
-    return rows.select("doc_id", "ids")
+    return encoding.encode_keyed(tokens_of(spark, sf), "doc_id", vocab)
 
 
 def sentences(spark: SparkSession, sf: str, vocab: DataFrame, length: int = MAX_LENGTH) -> DataFrame:
@@ -97,6 +96,11 @@ def elements(rows: DataFrame, *keys: str, vector: str = "vector") -> DataFrame:
     return out.withColumn("value", r6(F.col("value").cast("double")))
 
 
+def finite(vector: str) -> Column:
+    """Whether all elements are numbers of a size that training can have reached."""
+    return F.forall(vector, lambda x: F.abs(x) < 1e3)  # false or null for infinities and NaN
+
+
 def most_frequent(model: DataFrame) -> str:
     return model.filter("word_id = 0").first()["word"]
 
@@ -226,8 +230,10 @@ def q_modified_rows(spark, sf):
     side = spark.sparkContext.broadcast(training.side_tables(vocab, settings))
     averaged = training.run_epoch(rows, None, voc.keep_probability(vocab, SAMPLE), side, settings,
                                   vocab.count(), total, settings.num_partitions, 1)
-    return averaged.filter("kind != 'metric'").select(
-        "kind", "row_id", F.size("vector").alias("n"), r6(F.col("vector")[0]).alias("first"))
+    return averaged.filter("kind != 'metric'").groupBy("kind").agg(
+        F.min((F.col("row_id") >= 0) & (F.col("row_id") < vocab.count())).alias("in_range"),
+        F.min(F.size("vector")).alias("low_size"), F.max(F.size("vector")).alias("high_size"),
+        F.min(finite("vector")).alias("finite"))
 
 
 # Ranking and limits
@@ -344,15 +350,17 @@ def q_training_examples_concat(spark, sf):
 def q_init_vectors(spark, sf):
     words = vocabulary(spark, sf).count()
     return training.init_vectors(spark, words, TRAINING).select(
-        "word_id", F.size("vector").alias("n"), F.array_max("vector").alias("high"),
-        F.array_min("vector").alias("low"))
+        "word_id", F.size("vector").alias("n"), *[F.round(f("vector").cast("double"), 8).alias(name) for f, name in
+                                                  ((F.array_max, "high"), (F.array_min, "low"))])
 
 
 def q_shuffle_sentences(spark, sf):
     rows = training.encoded_sentences(tokens_of(spark, sf), vocabulary(spark, sf), TRAINING)
     spread = training.shuffle_sentences(rows, TRAINING.num_partitions, SEED)
-    return spread.groupBy("learner").agg(
-        F.count(F.lit(1)).alias("sentences"), F.sum(F.size("ids")).alias("words"))
+    return spread.agg(
+        F.count(F.lit(1)).alias("sentences"), F.sum(F.size("ids")).alias("words"),
+        F.count_distinct("sentence").alias("numbers"), F.max("sentence").alias("last"),
+        F.count_distinct("learner").alias("learners"))
 
 
 # Training
@@ -360,7 +368,13 @@ def q_shuffle_sentences(spark, sf):
 
 def trained(spark, sf, **changes) -> DataFrame:
     result = training.train(tokens_of(spark, sf), replace(TRAINING, **changes))
-    return result.model.select("word", "word_id", "count", r6(F.col("norm")).alias("norm"))
+    return checked_model(result.model)
+
+
+def checked_model(model: DataFrame) -> DataFrame:
+    """What is determined of a trained model, and whether its numbers are sound."""
+    return model.select("word", "word_id", "count", F.size("vector").alias("n"), (
+        finite("vector") & (F.col("norm") > 0)).alias("sound"))
 
 
 def training_query(**changes):
@@ -395,24 +409,36 @@ def q_learning_rate_schedule(spark, sf):
 
 def q_fit_epochs(spark, sf):
     result = training.train(tokens_of(spark, sf), replace(TRAINING, hs=False, max_iter=2))
-    return result.model.select("word", "word_id", "count", r6(F.col("norm")).alias("norm"))
+    losses = {r["epoch"]: r["loss"] for r in result.metrics.groupBy("epoch").agg(
+        (F.sum(F.col("loss") * F.col("examples")) / F.sum("examples")).alias("loss")).collect()}
+    return checked_model(result.model).withColumn("learned", F.lit(losses[2] < losses[1]))
 
 
 def q_training_metrics(spark, sf):
     result = training.train(tokens_of(spark, sf), replace(TRAINING, hs=False, max_iter=2))
-    return result.metrics
+    # Wall-clock columns and losses differ from run to run or are not known in advance.
+    return result.metrics.groupBy("epoch", "progress").agg(
+        F.count("learner").alias("learners"), F.sum("words").alias("words"),
+        F.min((F.col("loss") > 0) & (F.col("alpha") > 0) & (F.col("words_per_second") > 0)).alias("sound"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Trains on the documents and lists the neighbours of the 20 most frequent words."""
+    """Trains on the documents and lists the neighbours of every word."""
     estimator = WordVectors(inputCol="tokens", outputCol="features", vectorSize=32, hs=False,
-                            maxIter=2, seed=SEED)
+                            maxIter=2, numPartitions=8, seed=SEED)
     model = estimator.fit(tokens_of(spark, sf))
-    asked = model.table.filter("word_id < 20").select(
+    asked = model.table.select(
         F.col("word").alias("query"), "vector", F.col("word").alias("exclude"))
     return similarities(model.findSynonymsBatch(asked, TOP))
 
 
+def q_flagship_counts(spark, sf):
+    return flagship(spark, sf).groupBy("query").agg(
+        F.count("word").alias("found"), F.max("rank").alias("last"),
+        F.min(F.abs("similarity") <= 1.000001).alias("sound"),
+        F.max((F.col("word") == F.col("query")).cast("int")).alias("itself"))
+
+
 # Serving
 
 
@@ -447,11 +473,9 @@ def q_transform_documents(spark, sf):
 
 
 def q_stream_transform_documents(spark, sf):
-    schema = table(spark, sf, "documents").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf))
-    tokens = corpus_tokens(stream, "text", "doc_id")
-    out = stream_transform(tokens, stand_in(spark, sf), "tokens", "vector")
-    return elements(drain(out.select("doc_id", "vector"), "stream"), "doc_id")
+    tokens = corpus_tokens(table_stream(spark, f"{sf}/documents.parquet"), "text", "doc_id")
+    out = drain_transformed(tokens, stand_in(spark, sf), "tokens", "vector", "stream")
+    return elements(out.select("doc_id", "vector"), "doc_id")
 
 
 def q_model_from_table(spark, sf):
@@ -465,7 +489,7 @@ def q_model_from_table(spark, sf):
 
 
 QUERIES = {
-    **{name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_")},
+    **{name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and name != "q_flagship_counts"},
     "train_skipgram_hs": training_query(cbow=0, hs=True, negative=0),
     "train_skipgram_neg": training_query(cbow=0, hs=False),
     "train_cbow_hs": training_query(cbow=1, hs=True, negative=0),
@@ -473,5 +497,5 @@ QUERIES = {
     "train_concat_hs": training_query(cbow=2, hs=True, negative=0, vector_size=16),
     "train_concat_neg": training_query(cbow=2, hs=False, vector_size=16),
     "train_combined": training_query(cbow=1, hs=True),
-    "flagship_fit": flagship,
+    "flagship_fit": q_flagship_counts,
 }

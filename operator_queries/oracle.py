@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from lexivec.plans.kernel import INIT_RANGE, INIT_STEPS
 from operator_queries import (
     CAP, EPOCH, LEARNERS, MAX_LENGTH, MIN_COUNT, NEGATIVE, SAMPLE, SEED, SHORT_LENGTH,
     SMALL_BUFFER, TOP, TRAINING, WINDOW,
 )
 
+WORD_BREAK = r"[^\p{L}\p{M}\p{N}]+"
+
 # Building blocks: each name is a table expression, listed with what it builds on.
 PARTS = {
-    "tok": ((), """
-        select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'),
+    "tok": ((), f"""
+        select doc_id, list_filter(regexp_split_to_array(lower(text), '{WORD_BREAK}'),
                                    lambda x: x <> '') as tokens from documents"""),
     "words": (("tok",), """
         select doc_id, unnest(tokens) as word,
@@ -118,7 +121,19 @@ def negative_draws(rows: str, keys: str, extra: str = "") -> str:
         join cells iv on iv.cell = floor(e.u * 16384)::bigint and e.u >= iv.lo and e.u < iv.hi"""
 
 
-MODEL_ROWS = "select word, word_id, count, dim, value from"
+TRAINED = """
+    select word, word_id, cnt as count, {size}::integer as n, true as sound{more} from vocab"""
+
+
+def init_hash(place: str) -> str:
+    out = f"({place}) % {INIT_RANGE}"
+    for factor, shift in INIT_STEPS:
+        out = f"({out}) * {factor} % {INIT_RANGE}"
+        out = f"list_transform([{out}], lambda x: xor(x, x >> {shift}))[1]"
+    return out
+
+
+INIT_HASH = init_hash("p")
 
 ORACLE = {
     "corpus_tokens": sql(
@@ -126,7 +141,7 @@ ORACLE = {
     "dictionary_source": sql(f"""
         select word, count(*) as cnt from (
           select word from words union all
-          select unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'),
+          select unnest(list_filter(regexp_split_to_array(lower(text), '{WORD_BREAK}'),
                                     lambda x: x <> '')) from conversations)
         group by word having count(*) >= {MIN_COUNT}""", "words"),
     "model_save": sql(elements("word, word_id, count", "model"), "model"),
@@ -225,6 +240,32 @@ ORACLE = {
                        rows between unbounded preceding and 1 preceding), 0)::bigint as words_before
               from (select doc_id, chunk, count(*) as n from spots group by doc_id, chunk))
         cross join total""", "spots", "total"),
+    "modified_rows": f"""
+        select kind, true as in_range, {TRAINING.vector_size}::integer as low_size,
+               {TRAINING.vector_size}::integer as high_size, true as finite
+        from (values ('in'), ('neg')) t(kind)""",
+    "init_vectors": sql(f"""
+        select word_id, count(*)::integer as n, round(max(v)::float::double, 8) as high,
+               round(min(v)::float::double, 8) as low
+        from (select word_id, ({INIT_HASH} / {float(INIT_RANGE)} - 0.5) / {TRAINING.vector_size} as v
+              from (select word_id, word_id::bigint * {TRAINING.vector_size} + dim + {SEED} as p from vocab
+                    cross join (select unnest(range({TRAINING.vector_size})) as dim) d))
+        group by word_id""", "vocab"),
+    "shuffle_sentences": sql(f"""
+        select count(*) as sentences, sum(n)::bigint as words, count(*) as numbers, count(*) - 1 as last,
+               {TRAINING.num_partitions}::bigint as learners
+        from (select count(*) as n from enc group by doc_id, rn // {MAX_LENGTH})""", "enc"),
+    "training_metrics": sql(f"""
+        select e::integer as epoch, e / 2.0::double as progress, {TRAINING.num_partitions}::bigint as learners,
+               t::bigint as words, true as sound
+        from total cross join (values (1), (2)) x(e)""", "total"),
+    "fit_epochs": sql(TRAINED.format(size=TRAINING.vector_size, more=", true as learned"), "vocab"),
+    "flagship_fit": sql(f"""
+        select word as query, least({TOP}, n - 1)::bigint as found, least({TOP}, n - 1)::integer as last,
+               true as sound, 0::integer as itself
+        from vocab cross join (select count(*) as n from vocab)""", "vocab"),
+    **{f"train_{name}": sql(TRAINED.format(size=16 if "concat" in name else TRAINING.vector_size, more=""), "vocab")
+       for name in ("skipgram_hs", "skipgram_neg", "cbow_hs", "cbow_neg", "concat_hs", "concat_neg", "combined")},
     "get_vectors": sql(elements("word", "model"), "model"),
     "get_vocab": sql("select word, count from model", "model"),
     "find_synonyms_word": sql(f"""

@@ -10,7 +10,7 @@ from lexivec import WordVectors, WordVectorsModel
 from lexivec.operators import documents, models, neighbours
 from lexivec.sources import model_store
 from lexivec.sources.corpus import check_token_column
-from lexivec.streaming.documents import drain, stream_transform
+from lexivec.streaming.documents import drain, drain_transformed, stream_transform, table_stream
 
 VECTORS = {"a": [1.0, 0.0], "b": [0.0, 2.0], "c": [1.0, 1.0], "d": [-1.0, 0.0], "zero": [0.0, 0.0]}
 
@@ -80,6 +80,20 @@ def test_stream(spark, model, tmp_path):
         stream_transform(rows, model, "tokens", "v")
 
 
+@pytest.mark.parametrize("files", [1, 5])
+@pytest.mark.parametrize("limit", [documents.IN_PLACE_LIMIT_BYTES, 0])
+def test_stream_of_any_table_and_model(spark, model, tmp_path, files, limit):
+    rows = spark.createDataFrame([(i, ["a", "b"]) for i in range(40)], "id bigint, tokens array<string>")
+    rows.repartition(files).write.parquet(str(tmp_path / "in.parquet"))
+    path = str(tmp_path / "in.parquet")
+    if files == 1:
+        (part,) = (tmp_path / "in.parquet").glob("part-*")
+        path = str(tmp_path / "one.parquet")
+        (tmp_path / "one.parquet").write_bytes(part.read_bytes())
+    got = drain_transformed(table_stream(spark, path), model, "tokens", "v", "stream", limit).collect()
+    assert sorted(r["id"] for r in got) == list(range(40)) and all(r["v"] == [0.5, 1.0] for r in got)
+
+
 def test_save_and_load(spark, model, tmp_path):
     path = str(tmp_path / "m")
     model_store.save_model(model, path)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexivec.operators import encoding
 from lexivec.plans import kernel, training
 from lexivec.settings import TrainSettings
 from lexivec.sources import shared_tables
@@ -96,10 +97,38 @@ def test_empty_vocabulary_raises(corpus):
         training.train(corpus, TrainSettings(**{**SMALL.__dict__, "min_count": 10**6}))
 
 
-def test_size_guard_counts_the_concatenated_width():
-    training.check_weight_size(5_000_000, TrainSettings(vector_size=100))
+def test_size_guard_is_memory_of_a_learner():
+    training.check_weight_size(21_000_000, TrainSettings(vector_size=100))
+    small = TrainSettings(vector_size=100, learner_memory_mb=1000)
+    training.check_weight_size(500_000, small)
     with pytest.raises(ValueError, match="weights per learner"):
-        training.check_weight_size(5_000_000, TrainSettings(vector_size=100, cbow=2))
+        training.check_weight_size(5_000_000, small)
+    with pytest.raises(ValueError, match="weights per learner"):
+        training.check_weight_size(500_000, TrainSettings(vector_size=100, cbow=2, learner_memory_mb=1000))
+
+
+def test_same_rows_give_the_same_vectors_however_they_lie(corpus, spark, monkeypatch):
+    """Files, partitions, Arrow batches and the encoder do not matter."""
+    settings = TrainSettings(**{**SMALL.__dict__, "max_iter": 2, "sample": 1e-2, "hs": True})
+    first = vectors(training.train(corpus.repartition(1), settings).model)
+    spread = vectors(training.train(corpus.repartition(7).orderBy(F.rand(3)), settings).model)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        batched = vectors(training.train(corpus, settings).model)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(training, "encode_corpus", lambda t, v: encoding.encode_corpus(t, v, 0))
+    joined = vectors(training.train(corpus, settings).model)
+    for other in (spread, batched, joined):
+        assert other.keys() == first.keys() and all((first[w] == other[w]).all() for w in first)
+
+
+def test_failed_training_leaves_nothing(corpus, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared_tables, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(training, "model_table", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        training.train(corpus, TrainSettings(**{**SMALL.__dict__, "sample": 1e-3}))
+    assert not list(tmp_path.iterdir())
 
 
 def test_average_is_over_the_learners_that_changed_a_row(spark):

@@ -7,7 +7,8 @@ from lexivec.functions.draws import md5_draw, to_unit
 from lexivec.operators import vocabulary as voc
 from lexivec.operators import lookup
 from lexivec.operators.lookup import lookup_join
-from lexivec.sources.dictionary import read_dictionary
+from lexivec.functions.tokens import word_tokens
+from lexivec.sources.dictionary import read_dictionary, write_dictionary
 
 
 def vocab_of(spark, counts):
@@ -99,3 +100,15 @@ def test_salted_lookup_equals_broadcast(spark, how, monkeypatch):
     plain = lookup_join(rows, table, "word", ("pos",), how).select("pos", "word", "tag")
     salted = lookup_join(rows, table, "word", ("pos",), how, limit=0).select("pos", "word", "tag")
     assert sorted(plain.collect(), key=str) == sorted(salted.collect(), key=str)
+
+
+def test_tokens_of_any_script_stay_whole(spark):
+    row = spark.createDataFrame([("Für ÉA, e\u0301t\u0301 名前! x1_y\u0308",)], "text string")
+    got = row.select(word_tokens("text").alias("t")).first()["t"]
+    assert got == ["für", "éa", "e\u0301t\u0301", "名前", "x1", "y\u0308"]
+
+
+def test_dictionary_counts_beyond_32_bits(spark, tmp_path):
+    path = str(tmp_path / "dic")
+    write_dictionary(spark.createDataFrame([("a", 3_000_000_000)], "word string, cnt long"), path)
+    assert [tuple(r) for r in read_dictionary(spark, path).collect()] == [("a", 3_000_000_000)]
