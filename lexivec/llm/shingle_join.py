@@ -35,6 +35,9 @@ GROUP_ENTRIES = 500_000
 HOT_ENTRIES = 64  # documents of a batch with the same signature that are not sent to one place
 BROADCAST_IDS = 1 << 20
 
+# Rare shingles are ordered by their hash; up to this one all of them belong to the prefix.
+REACH = np.uint64(int(0.22 * 2**64))
+
 # Odd multipliers of a polynomial hash and of its mixing.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                     0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], dtype=np.uint64)
@@ -145,8 +148,9 @@ def levels(n: int, percent: int) -> list[int]:
     return [own, own - 1] if least < 1 << own else [own]
 
 
-def signatures(shingles: np.ndarray, frequent: Frequent, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set and the room of each: how many shingles can be common with another set whose first
+def signatures(shingles: np.ndarray, frequent: Frequent, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Signatures of a set, the room of each, and how many rare shingles up to ``REACH`` it has; every prefix
+    holds all of those. The room is how many shingles can be common with another set whose first
     common signature, in the global order, is this.
 
     Two similar sets share at least ceil(percent% of the larger) shingles, so each has at most
@@ -160,8 +164,10 @@ def signatures(shingles: np.ndarray, frequent: Frequent, percent: int) -> tuple[
     need = n - -(-n * percent // 100) + 1
     counts = frequent.of(shingles)
     rare = shingles[counts == 0]
+    low = int(np.searchsorted(rare, REACH, "right"))
     if len(rare) >= need:
-        return rare[:need], n - np.arange(need)
+        rare = rare[:max(need, low)]
+        return rare, n - np.arange(len(rare)), low
     listed = np.flatnonzero(counts)
     listed = listed[np.lexsort((shingles[listed], counts[listed]))]
     common, triple = shingles[listed], counts[listed] >= frequent.triple
@@ -194,7 +200,7 @@ def signatures(shingles: np.ndarray, frequent: Frequent, percent: int) -> tuple[
                 total = total * FACTORS[0] + mixed(parts[:, k] + FACTORS[k])
             sigs.append(mixed(total))
             rooms.append(np.minimum(np.array(left), n))
-    return np.concatenate(sigs), np.concatenate(rooms)
+    return np.concatenate(sigs), np.concatenate(rooms), low
 
 
 def enough(n_a, n_b, common, percent: int):
@@ -202,6 +208,7 @@ def enough(n_a, n_b, common, percent: int):
     return common * (100 + percent) >= percent * (n_a + n_b)
 
 
+HEADS = -(1 << 62)  # parts below this tell of each set how many rare shingles up to REACH it has
 MARK = 2**32 - 1  # in place of a room: other parts hold sets of this signature as well
 POSTING = "part long, sigs binary, nodes binary, sizes binary, rooms binary"
 
@@ -221,7 +228,7 @@ def postings(docs: DataFrame, frequent: Frequent, groups: int, words: int, perce
             sigs = np.concatenate([f[0] for f in found.values()])
             lengths = [len(f[0]) for f in found.values()]
             nodes = np.repeat(np.fromiter(found, np.int64, len(found)), lengths)
-            n = np.repeat(np.array([f[2] for f in found.values()], np.uint32), lengths)
+            n = np.repeat(np.array([f[3] for f in found.values()], np.uint32), lengths)
             rooms = np.concatenate([f[1] for f in found.values()]).astype(np.uint32)
             order = np.argsort(sigs, kind="stable")
             sigs, nodes, n, rooms = sigs[order], nodes[order], n[order], rooms[order]
@@ -241,9 +248,12 @@ def postings(docs: DataFrame, frequent: Frequent, groups: int, words: int, perce
             # Within a range the rest of a signature fits 32 bits well enough: a chance match is only a candidate.
             short = (sigs // np.uint64(groups)).astype(np.uint32)
             pieces = [np.split(x, cuts[1:]) for x in (short[spots], nodes[spots], n[spots], rooms)]
+            # One more part of its own for the sets themselves.
+            heads = (np.zeros(0, np.uint32), np.fromiter(found, np.int64, len(found)), np.zeros(0, np.uint32),
+                     np.array([f[2] for f in found.values()], np.uint32))
             return pa.RecordBatch.from_arrays(
-                [pa.array(part[cuts]),
-                 *(pa.array([x.tobytes() for x in column], pa.binary()) for column in pieces)],
+                [pa.array(np.append(part[cuts], HEADS - TaskContext.get().partitionId())),
+                 *(pa.array([x.tobytes() for x in [*column, head]], pa.binary()) for column, head in zip(pieces, heads))],
                 names=["part", "sigs", "nodes", "sizes", "rooms"])
 
         for _, shingles, node in read_sets(batches, words):
@@ -259,46 +269,100 @@ def postings(docs: DataFrame, frequent: Frequent, groups: int, words: int, perce
     return docs.mapInArrow(work, POSTING)
 
 
-def candidates(packed: DataFrame, groups: int, percent: int) -> DataFrame:
-    """(sig, node, n, room, star, star_n, star_room): the signatures that several sets hold, where sizes and
-    places leave it possible that two of them are similar. ``star`` is the set that the others of its part meet first."""
+def could_match(group_starts: np.ndarray, group: np.ndarray, n: np.ndarray, rooms: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets, ordered by signature and size, could be similar to another of their signature.
+
+    Of larger sets the next one asks least, of smaller ones the smallest that can be similar at all; the
+    most room in the signature is taken for the other's.
+    """
+    common = np.minimum(np.minimum(rooms, np.maximum.reduceat(rooms, group_starts)[group]), n)
+    same = group[1:] == group[:-1]
+    larger = np.append(np.where(same, n[1:], -1), -1)
+    smaller = np.maximum(n[group_starts][group], -(-n * percent // 100))
+    follows = np.append(False, same)
+    possible = (larger >= 0) & enough(n, larger, common, percent)
+    return possible | follows & enough(n, smaller, np.minimum(common, smaller), percent)
+
+
+def grouped(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and group numbers of runs in sorted ``sigs``."""
+    starts = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))[:len(sigs)]
+    lengths = np.diff(np.append(starts, len(sigs)))
+    return starts, lengths, np.repeat(np.arange(len(starts)), lengths)
+
+
+SHARED = "part long, sig long, node long, n long, room long, elsewhere boolean"
+
+
+def shared_signatures(packed: DataFrame, groups: int, percent: int) -> DataFrame:
+    """Rows (part, sig, node, n, room, elsewhere) of signatures that several sets hold, where sizes and places leave it
+    possible that two of them are similar; ``elsewhere`` if other parts hold sets of it. Two more kinds
+    have no n: how many rare shingles up to ``REACH`` a set has (no sig, elsewhere true), and how many of the
+    part's signatures it shares with others (no sig, elsewhere false), both as room."""
+    names = SHARED.replace(",", "").split()[::2]
+
+    def table_of(part, sigs, nodes, n, rooms, elsewhere) -> pa.Table:
+        count = len(nodes)
+        none = pa.nulls(count, pa.int64())
+        return pa.table([pa.array(np.full(count, part, np.int64)), none if sigs is None else pa.array(sigs), pa.array(nodes),
+                         none if n is None else pa.array(n), pa.array(rooms.astype(np.int64)),
+                         pa.array(np.broadcast_to(elsewhere, count))], names=names)
 
     def work(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
         sigs, nodes, n, rooms = (
             np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()])
             for c, kind in (("sigs", np.uint32), ("nodes", np.int64), ("sizes", np.uint32), ("rooms", np.uint32)))
+        if part <= HEADS:
+            return table_of(part, None, nodes, None, rooms, True)
         n, rooms = n.astype(np.int64), rooms.astype(np.int64)
         order = np.lexsort((rooms, nodes, n, sigs))
         sigs, nodes, n, rooms = (x[order] for x in (sigs, nodes, n, rooms))
         keep = np.append(True, (sigs[1:] != sigs[:-1]) | (nodes[1:] != nodes[:-1]) | (rooms[1:] == MARK))
         sigs, nodes, n, rooms = (x[keep] for x in (sigs, nodes, n, rooms))
-        starts = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))
-        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(sigs))))
-        # A set stays if it could be similar to one of the sizes here, given the most room of the signature. Of
-        # larger sets the next one asks least, of smaller ones the smallest that can be similar at all.
-        most = np.maximum.reduceat(rooms, starts)[group]
-        common = np.minimum(np.minimum(rooms, most), n)
-        same = group[1:] == group[:-1]
-        larger = np.append(np.where(same, n[1:], -1), -1)
-        smaller = np.maximum(n[starts][group], -(-n * percent // 100))
-        follows = np.append(False, same)
-        possible = (larger >= 0) & enough(n, larger, common, percent)
-        possible |= follows & enough(n, smaller, np.minimum(common, smaller), percent)
-        # With sets of the signature elsewhere all stay.
-        elsewhere = (most == MARK) | (part < 0)
-        possible = (possible | elsewhere) & (rooms != MARK)
+        starts, lengths, group = grouped(sigs)
+        elsewhere = (np.maximum.reduceat(rooms, starts)[group] == MARK) | (part < 0)
+        common = (lengths[group] > 1) | elsewhere
+        met, times = np.unique(nodes[common & (rooms != MARK)], return_counts=True)
+        possible = (could_match(starts, group, n, rooms, percent) | elsewhere) & (rooms != MARK)
         sigs, nodes, n, rooms, elsewhere = (x[possible] for x in (sigs, nodes, n, rooms, elsewhere))
-        starts = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))[:len(sigs)]
-        lengths = np.diff(np.append(starts, len(sigs)))
-        stay = np.repeat(lengths > 1, lengths) | elsewhere
-        middle = np.repeat(starts + lengths // 2, lengths)
         full = sigs.astype(np.int64) * groups + (part if part >= 0 else (-1 - part) % groups)
-        columns = [full, nodes, n, rooms, nodes[middle], n[middle], rooms[middle]]
+        return pa.concat_tables([table_of(part, full, nodes, n, rooms, elsewhere),
+                                 table_of(part, None, met, None, times, False)])
+
+    return packed.groupBy("part").applyInArrow(work, SHARED)
+
+
+def candidates(shared: DataFrame, percent: int) -> DataFrame:
+    """(sig, node, n, room, star, star_n, star_room) of signatures by which two sets could still be similar.
+
+    All prefixes hold all rare shingles up to ``REACH``. One of those that is no other set's signature is therefore in no
+    other set, and what a set can have in common is its size less those. Counting every signature that is
+    shared makes them fewer, never more. ``star`` is the set that the others of its signature and part meet first.
+    """
+    counts = shared.filter("sig IS NULL").groupBy("node").agg(
+        F.max(F.when(F.col("elsewhere"), F.col("room"))).alias("single"),
+        F.coalesce(F.sum(F.when(~F.col("elsewhere"), F.col("room"))), F.lit(0)).alias("met"))
+    lacked = counts.select("node", F.greatest(F.col("single") - F.col("met"), F.lit(0)).alias("lacked")).filter("lacked > 0")
+    rows = shared.filter("sig IS NOT NULL").join(lacked, "node", "left")
+    rows = rows.withColumn("room", F.least("room", F.col("n") - F.coalesce("lacked", F.lit(0)))).drop("lacked")
+
+    def work(table: pa.Table) -> pa.Table:
+        sigs, nodes, n, rooms, elsewhere = (table[c].to_numpy() for c in ("sig", "node", "n", "room", "elsewhere"))
+        elsewhere = elsewhere.astype(bool)
+        order = np.lexsort((nodes, n, sigs))
+        sigs, nodes, n, rooms, elsewhere = (x[order] for x in (sigs, nodes, n, rooms, elsewhere))
+        starts, _, group = grouped(sigs)
+        possible = could_match(starts, group, n, rooms, percent) | elsewhere
+        sigs, nodes, n, rooms, elsewhere = (x[possible] for x in (sigs, nodes, n, rooms, elsewhere))
+        starts, lengths, group = grouped(sigs)
+        stay = (lengths[group] > 1) | elsewhere
+        middle = (starts + lengths // 2)[group]
+        columns = [sigs, nodes, n, rooms, nodes[middle], n[middle], rooms[middle]]
         return pa.table([pa.array(c[stay]) for c in columns],
                         names=["sig", "node", "n", "room", "star", "star_n", "star_room"])
 
-    return packed.groupBy("part").applyInArrow(
+    return rows.groupBy("part").applyInArrow(
         work, "sig long, node long, n long, room long, star long, star_n long, star_room long")
 
 
@@ -385,8 +449,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     frequent = Frequent(often["id"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64),
                         max(3.0, triple_share * count))
     groups = max(1, -(-total // (4 * group_entries)))
-    shared = write_table(candidates(
-        postings(given, frequent, groups, words, percent, batch_shingles, hot_entries), groups, percent), "shared")
+    met = write_table(shared_signatures(
+        postings(given, frequent, groups, words, percent, batch_shingles, hot_entries), groups, percent), "met")
+    shared = write_table(candidates(met, percent), "shared")
+    drop_table(met)
     nodes = shared.select("node").distinct()
 
     # The sets of all nodes that met another, from one document each.
@@ -397,13 +463,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     asked = given.join(ids, given["id"].eqNullSafe(ids["id"]), "left_semi")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            found = {node: shingles.tobytes() for _, shingles, node in read_sets(iter([batch]), words) if node is not None}
+            found = {node: shingles.tobytes() for _, shingles, node in read_sets(iter([batch]), words)
+                     if node is not None and node not in done}
+            done.update(found)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())],
                                              names=["node", "shingles"])
 
-    sets = asked.mapInArrow(whole, "node long, shingles binary").join(wanted.select("node"), "node", "left_semi")
-    sets = write_table(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    # A set may come once from each of several tasks if its key is repeated; a pair is then verified twice.
+    sets = write_table(asked.mapInArrow(whole, "node long, shingles binary"), "sets")
 
     stars = possible_pairs(shared.select(
         F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"),
@@ -424,8 +493,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                        F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"))
     meet = one.join(two, (F.col("sig") == F.col("sig_b")) & (F.col("c_a") < F.col("c_b"))
                     & enough(F.col("n_a"), F.col("n_b"), F.least("room_a", "room_b"), percent))
-    more = write_table(verified(possible_pairs(meet, percent), sets, percent), "links")
-    labels = components(links.unionByName(more))
+    pairs = write_table(possible_pairs(meet, percent), "pairs")
+    if not pairs.isEmpty():
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        some = sets.join(F.broadcast(involved) if small(involved, broadcast_ids) else involved, "node", "left_semi")
+        links = links.unionByName(write_table(verified(pairs, some, percent), "links"))
+        labels = components(links)
 
     first = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first_id"))
     first = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

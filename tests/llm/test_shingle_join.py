@@ -54,7 +54,7 @@ def corpus(seed, n=220):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_components(spark, seed):
     # Settings that bring every branch out on small data.
     rows = corpus(seed)
@@ -91,7 +91,7 @@ def test_similar_sets_share_a_possible_signature(percent, monkeypatch):
         if not len(b) or 100 * both < percent * (len(a) + len(b) - both):
             continue
         tried += 1
-        (sa, pa), (sb, pb) = sj.signatures(a, frequent, percent), sj.signatures(b, frequent, percent)
+        (sa, pa, _), (sb, pb, _) = sj.signatures(a, frequent, percent), sj.signatures(b, frequent, percent)
         room_a, room_b = dict(zip(sa.tolist(), pa.tolist())), dict(zip(sb.tolist(), pb.tolist()))
         assert any(sj.enough(len(a), len(b), min(room_a[s], room_b[s]), percent) for s in room_a.keys() & room_b)
     assert tried > 100
@@ -101,7 +101,7 @@ def test_combinations_stay_linear():
     """A long text of frequent shingles only has a few signatures per shingle."""
     pool = np.unique(np.random.default_rng(1).integers(1, 2**63, 20_000).astype(np.uint64))
     for count in (50, 500):
-        sigs, _ = sj.signatures(pool, sj.Frequent(pool, np.full(len(pool), count), 100.0), 75)
+        sigs, _, _ = sj.signatures(pool, sj.Frequent(pool, np.full(len(pool), count), 100.0), 75)
         assert len(sigs) < 8 * len(pool)
 
 
