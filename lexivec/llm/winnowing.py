@@ -121,7 +121,8 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     order = neighbours(rows.select("id", "version", F.length("text").alias("chars")).distinct())
     base = with_fingerprint(rows, "text", "fingerprint")
     own, before = [f"own_{name}" for name in joinable()], [f"before_{name}" for name in joinable()]
-    base = base.withColumns({f"key_{name}": c for name, c in joinable().items()})
+    # Both joins below read the same columns, so that Spark shuffles them once.
+    base = base.select(*[c.alias(f"key_{name}") for name, c in joinable().items()], "text", "fingerprint")
 
     def keyed(names: list[str]) -> Column:
         return reduce(Column.__and__, (F.col(f"key_{key}") == F.col(c) for key, c in zip(joinable(), names)))
@@ -133,6 +134,6 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     heads = heads.groupBy(*before).agg(F.first("head").alias("head"), F.first("next_hashes").alias("next_hashes"))
     joined = base.join(heads, keyed(before))
     chars = F.length("text")
-    joined = joined.select("id", chars.alias("chars"), "fingerprint", "next_hashes", F.concat(
+    joined = joined.select(F.when(~F.col("key_missing"), F.col("key_id")).alias("id"), chars.alias("chars"), "fingerprint", "next_hashes", F.concat(
         F.substr("text", F.lit(1), chars - F.floor(chars / 3).cast("int")), "head").alias("edited"))
     return with_fingerprint(joined, "edited", "edited_fingerprint")
