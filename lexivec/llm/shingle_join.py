@@ -26,7 +26,7 @@ from lexivec.sources.shared_tables import drop_table, write_table
 
 WORDS = 5
 PERCENT = 75
-BATCH_SHINGLES = 4_000_000
+BATCH_SHINGLES = 2_000_000
 LISTED = 1 << 20  # frequent shingles known to every task, at most
 OFTEN_IN_BATCH = 4  # sets of a batch that make a shingle a candidate for the list
 TRIPLE_SHARE = 0.01  # share of the documents from which three shingles are combined
@@ -47,7 +47,7 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 class WordHashes(dict):
     """Hash of each word, remembered."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -374,20 +374,14 @@ def possible_pairs(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar. Sets come to their pairs by two joins."""
+    """The pairs whose sets are similar. Sets come to their pairs by two joins and are compared row by row, so a
+    task holds two sets at a time, however long."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                good.append(enough(len(x), len(y), int((both[1:] == both[:-1]).sum()), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long")
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return both.filter(enough(F.size("set_a"), F.size("set_b"), common, percent)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -465,14 +459,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            found = {node: shingles.tobytes() for _, shingles, node in read_sets(iter([batch]), words)
+            found = {node: shingles.view(np.int64) for _, shingles, node in read_sets(iter([batch]), words)
                      if node is not None and node not in done}
             done.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))],
                                              names=["node", "shingles"])
 
     # A set may come once from each of several tasks if its key is repeated; a pair is then verified twice.
-    sets = write_table(asked.mapInArrow(whole, "node long, shingles binary"), "sets")
+    sets = write_table(asked.mapInArrow(whole, "node long, shingles array<long>"), "sets")
 
     stars = possible_pairs(shared.select(
         F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"),
