@@ -5,7 +5,6 @@ import math
 import random
 
 import numpy as np
-import pytest
 
 from lexivec.llm import class_lm as lm
 
