@@ -26,12 +26,12 @@ from lexivec.sources.shared_tables import drop_table, write_table
 
 WORDS = 5
 PERCENT = 75
-BATCH_SHINGLES = 2_000_000
+BATCH_SHINGLES = 1_000_000
 LISTED = 1 << 20  # frequent shingles known to every task, at most
 OFTEN_IN_BATCH = 4  # sets of a batch that make a shingle a candidate for the list
 TRIPLE_SHARE = 0.01  # share of the documents from which three shingles are combined
 SMALL_LEVEL = 5  # documents below 2^5 shingles are indexed by single shingles only
-GROUP_ENTRIES = 500_000
+GROUP_ENTRIES = 100_000
 HOT_ENTRIES = 64  # documents of a batch with the same signature that are not sent to one place
 BROADCAST_IDS = 1 << 20
 
@@ -47,7 +47,7 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 class WordHashes(dict):
     """Hash of each word, remembered."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
