@@ -20,10 +20,16 @@ from pyspark.sql import functions as F
 
 from lexivec.llm.common import fresh
 from lexivec.sources.shared_tables import drop_table, write_table
+from lexivec.sources.sorted_tables import with_total_before, write_in_order
 
 CLASSES = 64
-FREQUENT = 1e-5  # share of the tokens from which a word is clustered: at most 1 / FREQUENT words
+CLUSTERED = 2  # occurrences from which a word is clustered
+FREQUENT = 0.0  # share of the tokens that a clustered word needs besides
 HALF_SWEEPS = 6
+BROADCAST_WORDS = 1 << 21  # classes of more words meet the bigrams in a shuffled join
+RANGE_WORDS = 1 << 14  # words whose moves one task finds together
+COMBINED = 1 << 20  # bigrams added up at once
+TOGETHER = 256  # words whose gains are computed at once
 CHUNK_TOKENS = 4_000_000
 BACKOFF = 50.0  # weight of the classes' own frequencies in the transitions
 END = b"\n"  # never a word
@@ -114,107 +120,188 @@ def best_class(table: np.ndarray, own: int, after: np.ndarray, before: np.ndarra
     return own if gain[own] >= gain[best] - 1e-9 else best
 
 
-def frequent_bigrams(chunks: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(a, b, n): how often b follows a in training documents. Words are numbers in the sorted ``frequent``
-    hashes; all others share the number after the last. The end token precedes a first word."""
-    sent, others = chunks.sparkSession.sparkContext.broadcast(frequent), len(frequent)
+def best_classes(table: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray,
+                 movable: int) -> np.ndarray:
+    """``best_class`` of many words, each against the same table; a row of ``after`` and ``before`` per word."""
+    every = np.arange(len(own))
+    gain = np.zeros((len(own), movable))
+    for counts, others, cells in ((after, before, table[:movable].T), (before, after, table[:, :movable])):
+        word, cell = np.nonzero(counts)
+        if not len(word):
+            continue
+        n = counts[word, cell]
+        rest = cells[cell]
+        rest[np.arange(len(word)), own[word]] -= n
+        same = np.flatnonzero(cell == own[word])
+        rest[same] -= others[word[same], :movable]
+        rest = np.maximum(rest, 0)
+        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        gain[word[starts]] += np.add.reduceat(_plogp(rest + n[:, None]) - _plogp(rest), starts)
+    # A word that follows itself is taken from its own cell twice; the cell stays at 0 as in best_class.
+    lacking = np.maximum(after[every, own] + before[every, own] - table[own, own], 0)
+    for totals, counts, others in ((table.sum(axis=1), after, before), (table.sum(axis=0), before, after)):
+        n = counts.sum(axis=1)
+        sums = totals[:movable] - others[:, :movable]
+        sums[every, own] += lacking - n
+        gain -= _plogp(sums + n[:, None]) - _plogp(sums)
+    best = gain.argmax(axis=1)
+    return np.where(gain[every, own] >= gain[every, best] - 1e-9, own, best)
+
+
+def numbered_bigrams(chunks: DataFrame, ranked: DataFrame, others: int) -> DataFrame:
+    """(a, b, n): how often b follows a in training documents. Words are their number ``w`` in ``ranked``
+    (words, w); all others share the number ``others``. The end token precedes a first word."""
+
+    def count(chunk: pa.Table, reply: pa.Table) -> pa.Table:
+        pairs, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        if chunk.num_rows:
+            row = {c: chunk[c].combine_chunks()[0] for c in chunk.column_names}
+            held = row["held"].values.to_numpy(zero_copy_only=False)
+            flat = np.frombuffer(row["tokens"].as_buffer(), np.uint32)
+            numbers = np.full(int(flat.max()) + 1, others, np.int32 if others < 1 << 31 else np.int64)
+            numbers[reply["spot"].to_numpy()] = reply["w"].to_numpy()
+            flat = numbers[flat[~np.repeat(held, row["sizes"].values.to_numpy())]]
+            if len(flat):
+                # Every document closes with the end token.
+                keys = np.roll(flat, 1).astype(np.int64)
+                keys *= others + 1
+                keys += flat
+                del flat
+                keys.sort()
+                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                pairs, n = keys[starts], np.diff(starts, append=len(keys))
+                del keys
+        return pa.table([pa.array(pairs // (others + 1)), pa.array(pairs % (others + 1)), pa.array(n)],
+                        names=["a", "b", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for batch in batches:
-            for at in range(batch.num_rows):
-                words = batch.column("words")[at].values.to_numpy()
-                sizes = batch.column("sizes")[at].values.to_numpy()
-                held = batch.column("held")[at].values.to_numpy(zero_copy_only=False)
-                numbers = numbered(words, known)
-                flat = numbers[np.frombuffer(batch.column("tokens")[at].as_py(), np.uint32)]
-                flat = flat[~np.repeat(held, sizes)]
-                if not len(flat):
-                    continue
-                end = numbered(np.array([word_hash(END)]), known)
-                keys = np.concatenate([end, flat[:-1]]) * np.int64(others + 1) + flat
-                pairs, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs // (others + 1)), pa.array(pairs % (others + 1)), pa.array(n)],
-                    names=["a", "b", "n"])
-
-    rows = chunks.select("sizes", "held", "tokens", "words").mapInArrow(count, "a long, b long, n long")
+    asked = chunks.select("chunk", F.posexplode("words").alias("spot", "words"))
+    replies = asked.join(ranked.select("words", "w"), "words").select(F.col("chunk").alias("for_chunk"), "spot", "w")
+    left = chunks.select("chunk", "held", "sizes", "tokens")
+    rows = left.groupBy("chunk").cogroup(replies.groupBy("for_chunk")).applyInArrow(count, "a long, b long, n long")
     return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def numbered(words: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """The place of each word in the sorted ``known``; ``len(known)`` for others."""
-    if not len(known):
-        return np.zeros(len(words), np.int64)
-    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-    return np.where(known[at] == words, at, len(known))
+def classed_bigrams(bigrams: DataFrame, groups: DataFrame, words: int, classes: int,
+                    broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """(a, b, n, ca, cb): bigrams with both classes from ``groups`` (w, class); ``classes`` for other words."""
+    out = bigrams
+    for word in ("a", "b"):
+        known = groups.select(F.col("w").alias(word), F.col("class").alias(f"c{word}"))
+        out = out.join(F.broadcast(known) if words <= broadcast_words else known, word, "left")
+    return out.select("a", "b", "n", *(F.coalesce(c, F.lit(classes)).cast("int").alias(c) for c in ("ca", "cb")))
 
 
-def class_table(bigrams: DataFrame, classes: np.ndarray, size: int) -> np.ndarray:
+def class_counts(classed: DataFrame, size: int) -> np.ndarray:
     """Counts of class after class; ``size`` squared numbers come to the driver."""
-    sent = bigrams.sparkSession.sparkContext.broadcast(classes)
+    table = np.zeros((size, size))
+    for row in classed.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
+        table[row["ca"], row["cb"]] = row["n"]
+    return table
+
+
+def class_table(bigrams: DataFrame, classes: np.ndarray, size: int) -> np.ndarray:
+    """``class_counts`` of words whose classes are an array, the last for all others."""
+    groups = class_rows(bigrams, classes[:-1])
+    return class_counts(classed_bigrams(bigrams, groups, len(classes) - 1, int(classes[-1])), size)
+
+
+def class_rows(bigrams: DataFrame, classes: np.ndarray) -> DataFrame:
+    return bigrams.sparkSession.createDataFrame(list(enumerate(classes.tolist())), "w long, class int")
+
+
+def _added(w: np.ndarray, own: np.ndarray, cell: np.ndarray, n: np.ndarray, cells: int) -> tuple[np.ndarray, ...]:
+    """Equal (w, cell) as one, in order."""
+    keys, first, place = np.unique(w * cells + cell, return_index=True, return_inverse=True)
+    return keys // cells, own[first], keys % cells, np.bincount(place, weights=n).astype(np.int64)
+
+
+def better_classes(classed: DataFrame, table: np.ndarray, words: int, classes: int, turn: int) -> DataFrame:
+    """(w, best): the words whose turn it is and that another class suits better.
+
+    A partition adds up its bigrams per word and neighbouring class; the sums of a range of words travel as one row.
+    """
+    size = classes + 1
+    ranges = -(-words // RANGE_WORDS)
+    sent = classed.sparkSession.sparkContext.broadcast(table)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            w, own, cell, n = _added(*(np.concatenate(x) for x in zip(*held)), 2 * size)
+            order = np.argsort(w % ranges, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff((w % ranges)[order]) != 0])
+            ends = pa.array(np.r_[starts, len(order)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[order].astype(t)))
+                     for x, t in ((w, np.int64), (own, np.int32), (cell, np.int32), (n, np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array((w % ranges)[order][starts]), *lists],
+                                              names=["range", "w", "own", "cell", "n"])
+
+        held, rows = [], 0
         for batch in batches:
-            a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
-            total += np.bincount(sent.value[a] * size + sent.value[b], weights=n, minlength=size * size)
-        spots = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(spots), pa.array(total[spots].astype(np.int64))], names=["cell", "n"])
+            a, b, n, ca, cb = (batch.column(c).to_numpy() for c in ("a", "b", "n", "ca", "cb"))
+            for w, own, cell in ((a, ca, cb), (b, cb, ca + size)):
+                moves = (w < words) & (w % 2 == turn % 2)
+                if moves.any():
+                    held.append((w[moves], own[moves], cell[moves], n[moves]))
+                    rows += int(moves.sum())
+            if rows >= COMBINED:
+                yield flush()
+                held, rows = [], 0
+        if held:
+            yield flush()
 
-    table = np.zeros(size * size)
-    for row in bigrams.mapInArrow(add, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        table[row["cell"]] = row["n"]
-    return table.reshape(size, size)
+    def move(rows: pa.Table) -> pa.Table:
+        w, own, cell, n = _added(*(rows[c].combine_chunks().flatten().to_numpy() for c in ("w", "own", "cell", "n")), 2 * size)
+        found, first, place = np.unique(w, return_index=True, return_inverse=True)
+        best = np.empty(len(found), np.int64)
+        for at in range(0, len(found), TOGETHER):
+            some = slice(*np.searchsorted(place, (at, at + TOGETHER)))
+            seen = np.zeros((min(TOGETHER, len(found) - at), 2 * size))
+            seen[place[some] - at, cell[some]] = n[some]
+            best[at:at + TOGETHER] = best_classes(
+                sent.value, own[first[at:at + TOGETHER]], seen[:, :size], seen[:, size:], classes)
+        moved = best != own[first]
+        return pa.table([pa.array(found[moved]), pa.array(best[moved].astype(np.int32))], names=["w", "best"])
+
+    packed = classed.mapInArrow(pack, "range long, w array<long>, own array<int>, cell array<int>, n array<long>")
+    return packed.groupBy("range").applyInArrow(move, "w long, best int")
+
+
+def exchange_words(bigrams: DataFrame, dealt: DataFrame, words: int, classes: int = CLASSES,
+                   half_sweeps: int = HALF_SWEEPS) -> tuple[DataFrame, np.ndarray]:
+    """Exchange clustering from the classes ``dealt`` (w, class): the written classes and the class table.
+
+    In a half sweep every second word, by turns, moves to the class that raises the likelihood most while
+    the others stand still; a half sweep that lowers it is undone and ends the clustering. Words that
+    are not in ``dealt`` keep one class of their own. Only class tables reach the driver.
+    """
+    size = classes + 1
+    groups = write_table(dealt, "classes")
+    classed = classed_bigrams(bigrams, groups, words, classes)
+    table = class_counts(classed, size)
+    for turn in range(half_sweeps if words else 0):
+        moves = better_classes(classed, table, words, classes, turn)
+        proposal = write_table(groups.join(moves, "w", "left").select(
+            "w", F.coalesce("best", "class").alias("class")), "classes")
+        after = classed_bigrams(bigrams, proposal, words, classes)
+        changed = class_counts(after, size)
+        if objective(changed) < objective(table):
+            drop_table(proposal)
+            break
+        drop_table(groups)
+        groups, classed, table = proposal, after, changed
+    return groups, table
 
 
 def exchange(bigrams: DataFrame, counts: np.ndarray, classes: int = CLASSES,
              half_sweeps: int = HALF_SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Exchange clustering: the class of each frequent word (and, last, of all others) and the class table.
-
-    Words start dealt out by frequency. In a half sweep every second word, by turns, moves to the class
-    that raises the likelihood most while the others stand still; a half sweep that lowers it is
-    undone and ends the clustering. Infrequent words keep one class of their own.
-    """
+    """``exchange_words`` of few words, dealt out by frequency: the class of each and, last, of all others."""
     words = len(counts)
-    size = classes + 1
     current = np.full(words + 1, classes, np.int64)
     current[np.argsort(-counts, kind="stable")] = np.arange(words) % classes
-    table = class_table(bigrams, current, size)
-    if not words:
-        return current, table
-    both = bigrams.select(F.col("a").alias("w"), F.lit(0).alias("side"), F.col("b").alias("other"), "n").unionByName(
-        bigrams.select(F.col("b").alias("w"), F.lit(1).alias("side"), F.col("a").alias("other"), "n"))
-    contexts = write_table(both.filter(F.col("w") < words).groupBy("w").agg(
-        F.collect_list(F.struct("side", "other", "n")).alias("seen")), "contexts")
-    for turn in range(half_sweeps):
-        sent = bigrams.sparkSession.sparkContext.broadcast((current, table))
-
-        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            group, counted = sent.value
-            for batch in batches:
-                moved = []
-                for at in range(batch.num_rows):
-                    w = batch.column("w")[at].as_py()
-                    if w % 2 != turn % 2:
-                        continue
-                    side, other, n = (x.to_numpy() for x in batch.column("seen")[at].values.flatten())
-                    after, before = (np.bincount(group[other[side == s]], weights=n[side == s], minlength=size)
-                                     for s in (0, 1))
-                    best = best_class(counted, int(group[w]), after, before, classes)
-                    if best != group[w]:
-                        moved.append((w, best))
-                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in moved], pa.int64()),
-                                                  pa.array([m[1] for m in moved], pa.int64())], names=["w", "best"])
-
-        proposal = current.copy()
-        for row in contexts.mapInArrow(move, "w long, best long").collect():  # at most 1 / FREQUENT rows
-            proposal[row["w"]] = row["best"]
-        changed = class_table(bigrams, proposal, size)
-        if objective(changed) < objective(table):
-            break
-        current, table = proposal, changed
-    drop_table(contexts)
+    groups, table = exchange_words(bigrams, class_rows(bigrams, current[:-1]), words, classes, half_sweeps)
+    for row in groups.collect():
+        current[row["w"]] = row["class"]
+    drop_table(groups)
     return current, table
 
 
@@ -261,38 +348,31 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, key: str = "
     end token. Null and empty texts are the end token alone. Repeated rows are learned from and
     scored each; other columns are not read. Without training documents every token is unknown and scores 0.
 
-    All counts cover all training documents. Words with at least ``frequent_share`` of the tokens are clustered
-    (their number is bounded by its inverse, so they are broadcast); the others form one class.
+    All counts cover all training documents. Words that occur at least ``CLUSTERED`` times and have at least
+    ``frequent_share`` of the tokens are clustered; the others form one class.
     """
     chunks = write_table(text_chunks(docs, folds, fold, key, text, chunk_tokens), "chunks")
     local = chunks.select(F.inline(F.arrays_zip("words", "train")))
-    vocabulary = write_table(local.groupBy("words").agg(F.sum("train").alias("n")).filter("n > 0"), "vocabulary")
-    tokens, once, twice = vocabulary.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    common = vocabulary.filter(F.col("n") >= max(2.0, frequent_share * tokens))
-    rows = sorted((r["words"], r["n"]) for r in common.collect())  # at most 1 / frequent_share
-    frequent = np.array([r[0] for r in rows], dtype=np.int64)
-    counts = np.array([r[1] for r in rows], dtype=np.int64)
-    bigrams = write_table(frequent_bigrams(chunks, frequent), "bigrams")
-    assigned, table = exchange(bigrams, counts, classes, half_sweeps)
+    vocabulary = write_in_order(local.groupBy("words").agg(F.sum("train").alias("n")).filter("n > 0"),
+                                F.desc("n"), "words", label="vocabulary")
+    types, tokens, once, twice = vocabulary.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    common = F.col("n") >= max(float(CLUSTERED), frequent_share * tokens)
+    words = vocabulary.filter(common).count()
+    ranked = with_total_before(vocabulary, F.lit(1), "before").select(
+        "words", "n", (F.col("before") + F.col("row")).alias("w"))
+    bigrams = write_table(numbered_bigrams(chunks, ranked.filter(common), words), "bigrams")
+    dealt = ranked.filter(common).select("w", (F.col("w") % classes).cast("int").alias("class"))
+    groups, table = exchange_words(bigrams, dealt, words, classes, half_sweeps)
     drop_table(bigrams)
-    size = classes + 1
-    members = np.bincount(assigned[:-1], minlength=size)
-    in_class = np.bincount(assigned[:-1], weights=counts, minlength=size)
-    types = vocabulary.count()
-    members[classes] += types - len(frequent)
-    in_class[classes] += tokens - counts.sum()
+    found = F.broadcast(groups) if words <= BROADCAST_WORDS else groups
+    known = ranked.join(found, "w", "left").select(
+        "words", "n", F.coalesce("class", F.lit(classes)).cast("int").alias("class"))
+    members, in_class = np.zeros(classes + 1, np.int64), np.zeros(classes + 1, np.int64)
+    for row in known.groupBy("class").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("n")).collect():
+        members[row["class"]], in_class[row["class"]] = row["types"], row["n"]
     model = smoothed(table, members, in_class, members, once, twice)
-    sent = docs.sparkSession.sparkContext.broadcast((model, assigned, frequent))
-
-    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, group, known = sent.value
-        for batch in batches:
-            found = group[numbered(batch.column("words").to_numpy(), known)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found.astype(np.int32))], names=["words", "n", "class"])
-
-    known = vocabulary.mapInArrow(classify, "words long, n long, class int")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     asked = chunks.select("chunk", F.posexplode("words").alias("spot", "words"))
     replies = asked.join(known, "words").select(F.col("chunk").alias("for_chunk"), "spot", "n", "class")
     (out,) = fresh(docs.select(), key)
@@ -300,7 +380,7 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, key: str = "
               "base_score double, score double")
 
     def score(chunk: pa.Table, reply: pa.Table) -> pa.Table:
-        model, _, _ = sent.value
+        model = sent.value
         names = [out, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if not chunk.num_rows:
             return pa.table({n: [] for n in names})

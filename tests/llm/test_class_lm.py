@@ -85,3 +85,40 @@ def test_nothing_to_learn_from(spark):
     (row,) = lm.score_documents(only).collect()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (True, 3, 0, 0, 0.0, 0.0)
     assert lm.score_documents(only.limit(0)).count() == 0
+
+
+def test_words_of_small_share_are_clustered(spark, monkeypatch):
+    # Two occurrences among 400,000 are a share far below 1e-5.
+    common = " ".join(f"c{k % 50}" for k in range(400))
+    rows = [(k, common) for k in range(1200)] + [(2000 + k, f"r{k % 80} once{k}") for k in range(160)]
+    counts = collections.Counter(w for d, t in rows if not lm.held_out(d, 7, 2) for w in [*t.split(), lm.END])
+    seen, smoothed = [], lm.smoothed
+    monkeypatch.setattr(lm, "smoothed", lambda *given: seen.append(given[2:4]) or smoothed(*given))
+    lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), classes=4)
+    ((in_class, members),) = seen
+    once = sum(n == 1 for n in counts.values())
+    assert sum(n == 2 for n in counts.values()) > 20 and (members[-1], in_class[-1]) == (once, once)
+    assert (sum(members), sum(in_class)) == (len(counts), sum(counts.values()))
+
+
+def test_moves_of_many_words_are_those_of_one():
+    rng = np.random.default_rng(5)
+    size, movable, words = 7, 6, 60
+    after, before = (rng.integers(0, 4, (words, size)) * rng.integers(0, 2, (words, size)) for _ in range(2))
+    own = rng.integers(0, movable, words)
+    table = rng.integers(0, 60, (size, size)).astype(float)
+    for w in range(words):
+        table[own[w]] += after[w]
+        table[:, own[w]] += before[w]
+    table[0, 0] = 3
+    got = lm.best_classes(table, own, after.astype(float), before.astype(float), movable)
+    assert got.tolist() == [lm.best_class(table, int(o), a.astype(float), b.astype(float), movable)
+                            for o, a, b in zip(own, after, before)]
+
+
+def test_classes_of_many_words_meet_bigrams_in_a_shuffled_join(spark):
+    bigrams = spark.createDataFrame([(0, 1, 2), (1, 9, 3), (9, 0, 4)], "a long, b long, n long")
+    groups = spark.createDataFrame([(0, 0), (1, 1)], "w long, class int")
+    for most in (0, 10):
+        got = lm.classed_bigrams(bigrams, groups, 2, 2, broadcast_words=most)
+        assert sorted(map(tuple, got.collect())) == [(0, 1, 2, 0, 1), (1, 9, 3, 1, 2), (9, 0, 4, 2, 0)]
