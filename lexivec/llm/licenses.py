@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexivec.llm.common import ascii_lower, small
 
 BROADCAST_SENTENCES = 1 << 18
+LISTED_BEGINNINGS = 1 << 16  # beginnings of known sentences in a plan; with more, every line may begin one
 
 # Sentences of public licenses and notices, with the identifier of each.
 SENTENCES = {
@@ -55,6 +56,8 @@ RULES = [
 
 # A sentence ends at a line break, or at end marks with any symbols after them and white space.
 BREAKS = r"\n|[.!?:;]+[^\p{L}\p{N}\s]*\s"
+# The same without single line breaks: those, with any symbols around them, may stand inside a sentence.
+ENDS = r"\n[^\p{L}\p{N}\n]*\n|[.!?:;]+[^\p{L}\p{N}\s]*\s"
 SYMBOLS = r"[^\p{L}\p{N}]+"
 
 
@@ -66,6 +69,14 @@ def sentence_parts(text: Column) -> Column:
     return F.filter(clean, lambda s: s != "")
 
 
+def wrapped_lines(text: Column) -> Column:
+    """The parts of ``sentence_parts`` with the number of their paragraph piece: (piece, line). Lines with the
+    same number have neither an end mark nor a blank line between them."""
+    lines = F.transform(F.split(ascii_lower(text), ENDS), lambda s, i: F.transform(
+        F.split(s, "\n"), lambda x: F.struct(i.alias("piece"), F.trim(F.regexp_replace(x, SYMBOLS, " ")).alias("line"))))
+    return F.filter(F.flatten(lines), lambda x: x.line != "")
+
+
 def license_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """The sentences (sentence_id, sentence) and rules (license, sentence_ids) of this module."""
     sentences = spark.createDataFrame(list(SENTENCES.items()), "sentence_id string, sentence string")
@@ -74,18 +85,59 @@ def license_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def known_parts(sentences: DataFrame) -> DataFrame:
-    """(sentence_id, part, parts, sentence): a known sentence may hold several parts."""
-    split = sentences.dropna().select("sentence_id", sentence_parts(F.col("sentence")).alias("all"))
+    """(sentence_id, part, parts, sentence): a known sentence may hold several parts. Line breaks are white space."""
+    whole = F.regexp_replace("sentence", r"\s+", " ")
+    split = sentences.dropna().select("sentence_id", sentence_parts(whole).alias("all"))
     return split.filter(F.size("all") > 0).select(
         "sentence_id", F.size("all").alias("parts"), F.posexplode("all").alias("part", "known"))
 
 
+def beginnings(parts: DataFrame, most: int = LISTED_BEGINNINGS) -> list[str] | None:
+    """The first words, one or more, of the known parts; None if they are too many to list."""
+    words = F.split("known", " ")
+    # Counted by words before the beginnings are made.
+    if parts.agg(F.coalesce(F.sum(F.size(words)), F.lit(0))).first()[0] > most:
+        return None
+    first = F.transform(words, lambda _, i: F.array_join(F.slice(words, 1, i + 1), " "))
+    return [r["first"] for r in parts.select(F.explode(first).alias("first")).distinct().collect()]
+
+
+def candidates(rows: DataFrame, parts: DataFrame, *keep: str, listed: int = LISTED_BEGINNINGS) -> DataFrame:
+    """(*keep, pos, stop, known) of the text ``t``: each line and end-marked part by its number, and the joined
+    consecutive lines from ``pos`` to before ``stop`` that a known part may be wrapped into."""
+    longest, words = parts.agg(F.coalesce(F.max(F.length("known")), F.lit(0)),
+                               F.coalesce(F.max(F.size(F.split("known", " "))), F.lit(0))).first()
+    # Exploded, so that the lines are made once and not for every use of them.
+    rows = rows.select(*keep, F.explode(F.array(wrapped_lines(F.col("t")))).alias("lines")).filter(F.size("lines") > 0)
+    lines = F.col("lines")
+    spots = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), (i + 1).alias("stop"), x.line.alias("known")))
+    if words > 1:
+        first = beginnings(parts, listed)
+
+        def begun(x: Column, i: Column) -> Column:
+            on = F.get(lines, i + 1).piece == x.piece
+            return on if first is None else on & x.line.isin(first)
+
+        def ends(i: Column) -> Column:  # no more lines than the longest known part has words
+            return F.filter(F.sequence(i + 2, F.least(i + words, F.size(lines))),
+                            lambda end: F.get(lines, end - 1).piece == F.get(lines, i).piece)
+
+        starts = F.filter(F.transform(lines, lambda x, i: F.when(begun(x, i), i)), lambda i: i.isNotNull())
+        joined = F.transform(starts, lambda i: F.transform(ends(i), lambda end: F.struct(
+            i.alias("pos"), end.alias("stop"),
+            F.array_join(F.transform(F.slice(lines, i + 1, end - i), lambda x: x.line), " ").alias("known"))))
+        spots = F.concat(spots, F.filter(F.flatten(joined), lambda s: F.length(s.known) <= longest))
+    return rows.select(*keep, F.inline(spots))
+
+
 def scan_licenses(docs: DataFrame, sentences: DataFrame, rules: DataFrame,
                   key: str = "doc_id", text: str = "text",
-                  broadcast_sentences: int = BROADCAST_SENTENCES) -> DataFrame:
+                  broadcast_sentences: int = BROADCAST_SENTENCES, listed: int = LISTED_BEGINNINGS) -> DataFrame:
     """One row per license found: key, license, sentence_ids, first and last sentence (from 0).
 
-    Sentences are normalised on both sides and compared whole. A rule fits where its identifiers
+    Sentences are normalised on both sides and compared whole; every line counts as one, and a known sentence may
+    also be wrapped over consecutive lines, with symbols such as comment marks around the breaks, but without a
+    blank line inside. A rule fits where its identifiers
     follow each other without another sentence between them. A match inside a longer one is
     left out. Null and empty texts hold nothing. Rows with equal key and text are reported
     once. Other columns of ``docs`` are not read.
@@ -95,17 +147,24 @@ def scan_licenses(docs: DataFrame, sentences: DataFrame, rules: DataFrame,
     shuffled is what was recognised.
     """
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    rows = rows.select("k", F.xxhash64("t").alias("version"), F.length("t").alias("chars"),
-                       F.posexplode(sentence_parts(F.col("t"))).alias("pos", "known"))
+    rows = rows.select("k", F.xxhash64("t").alias("version"), F.length("t").alias("chars"), "t")
     parts = known_parts(sentences)
+    rows = candidates(rows, parts, "k", "version", "chars", listed=listed)
     lookup = F.broadcast(parts) if small(parts, broadcast_sentences, "known") else parts
     seen = rows.join(lookup, "known")
     doc = ("k", "version", "chars")
-    # The parts of one sentence stand in a row: same start, all of them.
-    whole = (seen.groupBy(*doc, "sentence_id", "parts", (F.col("pos") - F.col("part")).alias("start"))
-             .agg(F.count_distinct("part").alias("n")).filter("n = parts"))
-    spots = whole.groupBy(*doc).agg(F.sort_array(F.collect_set(F.struct(
-        "start", (F.col("start") + F.col("parts")).alias("stop"), "sentence_id"))).alias("spots"))
+    # The parts of one sentence stand in a row: each begins where the one before stops.
+    at = seen.groupBy(*doc, "sentence_id", "parts").agg(F.collect_set(F.struct("part", "pos", "stop")).alias("at"))
+
+    def end(first: Column) -> Column:
+        return F.when(F.col("parts") == 1, first.stop).otherwise(F.aggregate(
+            F.sequence(F.lit(1), F.col("parts") - 1), first.stop,
+            lambda stop, part: F.coalesce(F.get(F.transform(F.filter(
+                F.col("at"), lambda x: (x.pos == stop) & (x.part == part)), lambda x: x.stop), F.lit(0)), F.lit(-1))))
+
+    whole = at.select(*doc, F.explode(F.transform(F.filter("at", lambda x: x.part == 0), lambda x: F.struct(
+        x.pos.alias("start"), end(x).alias("stop"), "sentence_id"))).alias("s")).filter("s.stop >= 0")
+    spots = whole.groupBy(*doc).agg(F.sort_array(F.collect_set("s")).alias("spots"))
     ordered = rules.dropna().filter(F.size("sentence_ids") > 0)
     first = ordered.select("license", "sentence_ids", F.col("sentence_ids")[0].alias("first_id"))
     if small(first, broadcast_sentences):
