@@ -52,7 +52,7 @@ PATTERN = re.compile(
     rf"|(?P<titled>\b(?:{_TITLED})\.? {_NAME}(?: {_NAME})?)"
     rf"|(?P<named>\b(?:{'|'.join(GENDER)}) {_NAME})")
 # One of these stands in or before every match; texts without any need no search.
-HINT = re.compile(rf"[0-9@]|\b(?:{_TITLED}|{'|'.join(GENDER)})\b|[A-F]{{32}}|[a-f]{{32}}")
+HINT = re.compile(rf"[\d@]|\b(?:{_TITLED}|{'|'.join(GENDER)})\b|[A-F]{{32}}|[a-f]{{32}}|AKIA")
 
 
 class Permutation:
@@ -148,7 +148,7 @@ def luhn(digits: str) -> bool:
 def number(key: bytes, kind: str, text: str, first: int, fits: Callable[[str], bool] = lambda _: True) -> str:
     """The digits from place ``first`` on move; a number that does not begin with 0 keeps that."""
     spots = [i for i, c in enumerate(text) if c.isdigit()][first:]
-    lead = text[spots[0]] != "0"
+    lead = int(text[spots[0]]) != 0
     radices = [9 if k == 0 and lead else 10 for k in range(len(spots))]
     values = [int(text[i]) - (k == 0 and lead) for k, i in enumerate(spots)]
 

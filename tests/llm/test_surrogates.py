@@ -89,3 +89,13 @@ def test_no_value_is_left_in_the_table(spark, sf):
     texts = [r.text for r in s.replace_personal_data(docs, "k").select("text").collect()]
     assert not any(v in t for t in texts for v in values)
     assert docs.select(F.sum(F.length("text"))).first()[0] == sum(map(len, texts))
+
+
+@pytest.mark.parametrize("value", [
+    "AKIA" + "QWERTYUIOPASDFGH", "٤١١١ ١١١١ ١١١١ ١١١١", "+٤٩ (٣٠) ٥٥٥-٠١٢٣", "١٢٣-٤٥-٦٧٨٩", "٠٢٣-٤٥-٦٧٨٩", "a" * 32, "F" * 40,
+    "a.b@example.org", "10.0.0.1", "Frau Weber", "Mr. Weber", "Alice Weber"])
+def test_every_match_has_a_hint(value):
+    text = f"about {value} here"
+    assert s.PATTERN.search(text)[0] == value and s.HINT.search(text)
+    new, spans = s.Replacer(KEY).replace(text)
+    assert len(spans) == 1 and value not in new
