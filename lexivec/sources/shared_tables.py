@@ -9,9 +9,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -33,14 +37,40 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Runs ``df`` once, writes it to the shared folder and returns the written rows."""
+@contextmanager
+def _shuffles_dropped(spark: SparkSession, when: bool) -> Iterator[None]:
+    """What is run inside leaves no shuffle files behind."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    if when:
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def write_table(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """Runs ``df`` once, writes it to the shared folder and returns the written rows. With ``release``
+    the shuffle files of the run go as soon as the table is written."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    with _shuffles_dropped(spark, release):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, key: str, buckets: int, label: str, *order: str) -> DataFrame:
+    """As ``write_table``, with the rows of a key in one bucket (sorted by ``order``, if any): joins and groups by ``key``
+    read the buckets and do not shuffle these rows again. Shuffle files go when the table is written."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = re.sub(r"\W", "_", path.rsplit("/", 1)[1])
+    writer = df.write.bucketBy(buckets, key).option("path", path)
+    with _shuffles_dropped(spark, True):
+        (writer.sortBy(*order) if order else writer).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_table(table: DataFrame) -> None:
     """Deletes the files behind a table made by ``write_table``, when nothing reads it any more.
     Anything else in or outside the shared folder is left alone."""
