@@ -14,7 +14,7 @@ from lexivec.llm.queries import ORACLE, QUERIES  # noqa: E402
 
 def test_all_are_registered():
     names = set(contract.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} and set(QUERIES) | {"pipeline"} <= names
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} and set(QUERIES) | {"pipeline"} <= names
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
