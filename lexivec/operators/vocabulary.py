@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivec.operators.count_runs import NEGATIVE_POWER
 from lexivec.sources.corpus import explode_tokens
 from lexivec.sources.shared_tables import drop_table, write_table
 from lexivec.sources.sorted_tables import with_total_before, write_in_order
 
-# Fixed value: negative words are drawn in proportion to count ** NEGATIVE_POWER.
-NEGATIVE_POWER = 0.75
 # Rows per window partition of the two-level running sum.
 BLOCK_ROWS = 65536
 

@@ -14,6 +14,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+AUTO_BUCKETS = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -68,7 +69,20 @@ def write_bucketed(df: DataFrame, key: str, buckets: int, label: str, *order: st
     writer = df.write.bucketBy(buckets, key).option("path", path)
     with _shuffles_dropped(spark, True):
         (writer.sortBy(*order) if order else writer).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry only: the files were given a place of their own
+    return table
+
+
+@contextmanager
+def unshuffled_buckets(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside read bucketed tables bucket by bucket, whatever stands between scan and group."""
+    before = spark.conf.get(AUTO_BUCKETS)
+    spark.conf.set(AUTO_BUCKETS, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(AUTO_BUCKETS, before)
 
 
 def drop_table(table: DataFrame) -> None:

@@ -13,6 +13,7 @@ from lexivec.functions.tokens import word_tokens
 from lexivec.operators import contexts, documents, encoding, huffman, models, negatives, neighbours
 from lexivec.operators import vocabulary as voc
 from lexivec.operators.averaging import parameter_average
+from lexivec.operators.count_runs import count_runs
 from lexivec.operators.lookup import lookup_join
 from lexivec.plans import training
 from lexivec.plans.schedule import learning_rate_schedule
@@ -37,12 +38,22 @@ MAX_LENGTH = 1000
 SHORT_LENGTH = 100
 CAP = 1000
 TOP = 5
-LEARNERS = 4
 SMALL_BUFFER = 16 << 10
 KEYS = ("doc_id", "chunk")
 SPOT = ("doc_id", "chunk", "pos")
 PAIR = ("doc_id", "chunk", "pos", "off")
 TRAINING = TrainSettings(vector_size=32, num_partitions=8, seed=SEED)
+# At this rate an epoch is a sum over its examples, whatever their order: SQL can take it as well.
+SLOW = replace(TRAINING, vector_size=4, step_size=2.0**-30, max_iter=2)
+OBJECTIVES = {
+    "skipgram_hs": dict(cbow=0, hs=True, negative=0),
+    "skipgram_neg": dict(cbow=0, hs=False),
+    "cbow_hs": dict(cbow=1, hs=True, negative=0),
+    "cbow_neg": dict(cbow=1, hs=False),
+    "concat_hs": dict(cbow=2, hs=True, negative=0, vector_size=2),
+    "concat_neg": dict(cbow=2, hs=False, vector_size=2),
+    "combined": dict(cbow=1, hs=True),
+}
 
 
 def r6(x: Column) -> Column:
@@ -222,18 +233,23 @@ def q_vector_norms(spark, sf):
     return stand_in(spark, sf).select("word", r6(F.col("norm")).alias("norm"))
 
 
-def q_modified_rows(spark, sf):
-    settings = replace(TRAINING, hs=False, max_iter=2)
-    vocab = training.learn_vocabulary(tokens_of(spark, sf), settings)
-    rows = training.encoded_sentences(tokens_of(spark, sf), vocab, settings)
-    total = voc.train_word_total(vocab).first()["total"]
+def first_epoch(spark, sf, settings: TrainSettings) -> DataFrame:
+    """The blocks of weights that one epoch over all documents leaves."""
+    tokens = tokens_of(spark, sf)
+    vocab = training.learn_vocabulary(tokens, settings)
     side = spark.sparkContext.broadcast(training.side_tables(vocab, settings))
-    averaged = training.run_epoch(rows, None, voc.keep_probability(vocab, SAMPLE), side, settings,
-                                  vocab.count(), total, settings.num_partitions, 1)
-    return averaged.filter("kind != 'metric'").groupBy("kind").agg(
-        F.min((F.col("row_id") >= 0) & (F.col("row_id") < vocab.count())).alias("in_range"),
-        F.min(F.size("vector")).alias("low_size"), F.max(F.size("vector")).alias("high_size"),
-        F.min(finite("vector")).alias("finite"))
+    placed = training.placed_sentences(
+        training.encoded_sentences(tokens, vocab, settings), settings.num_partitions, settings.seed)
+    total = voc.train_word_total(vocab).first()["total"]
+    return training.run_epoch(placed, None, side, settings, total, settings.num_partitions, 1)
+
+
+def q_modified_rows(spark, sf):
+    settings = replace(TRAINING, cbow=1, hs=False, max_iter=2)
+    blocks = first_epoch(spark, sf, settings)
+    rows = [training.weight_rows(blocks, kind, settings.vector_size).select(F.lit(kind).alias("kind"), "row_id")
+            for kind in ("in", "neg")]
+    return rows[0].unionByName(rows[1])
 
 
 # Ranking and limits
@@ -356,21 +372,13 @@ def q_init_vectors(spark, sf):
 
 def q_shuffle_sentences(spark, sf):
     rows = training.encoded_sentences(tokens_of(spark, sf), vocabulary(spark, sf), TRAINING)
-    spread = training.shuffle_sentences(rows, TRAINING.num_partitions, SEED)
-    return spread.agg(
-        F.count(F.lit(1)).alias("sentences"), F.sum(F.size("ids")).alias("words"),
-        F.count_distinct("sentence").alias("numbers"), F.max("sentence").alias("last"),
-        F.count_distinct("learner").alias("learners"))
+    placed = training.placed_sentences(rows, TRAINING.num_partitions, SEED)
+    return placed.select("sentence", "learner", "turn", F.size("ids").alias("n"), F.col("ids")[0].alias("first"))
 
 
 # Training
 
 
-def trained(spark, sf, **changes) -> DataFrame:
-    result = training.train(tokens_of(spark, sf), replace(TRAINING, **changes))
-    return checked_model(result.model)
-
-
 def checked_model(model: DataFrame) -> DataFrame:
     """What is determined of a trained model, and whether its numbers are sound."""
     return model.select("word", "word_id", "count", F.size("vector").alias("n"), (
@@ -378,12 +386,24 @@ def checked_model(model: DataFrame) -> DataFrame:
 
 
 def training_query(**changes):
-    return lambda spark, sf: trained(spark, sf, **changes)
+    """Per output weight what an epoch has added to it, in units of the starting rate."""
+    settings = replace(SLOW, **changes)
+
+    def run(spark, sf):
+        blocks = first_epoch(spark, sf, settings)
+        kinds = ["hs"] * settings.hs + ["neg"] * (settings.negative > 0)
+        rows = [training.weight_rows(blocks, k, settings.output_size).select(F.lit(k).alias("kind"), "row_id", F.posexplode("vector").alias("dim", "v"))
+                for k in kinds]
+        value = F.col("v").cast("double") / settings.step_size
+        out = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+        return out.select("kind", "row_id", "dim", F.when(F.abs(value) < 0.05, F.lit(0.0)).otherwise(F.round(value, 1)).alias("value"))
+
+    return run
 
 
 def q_hs_training_rows(spark, sf):
     vocab = vocabulary(spark, sf)
-    codes = huffman.huffman_codes(spark, huffman.huffman_paths(huffman.vocabulary_counts(vocab)))
+    codes = huffman.huffman_codes(vocab, huffman.huffman_tree(count_runs(vocab)))
     rows = huffman.hs_training_rows(pairs(spark, sf, vocab), codes, PAIR)
     return rows.groupBy("node", "label").agg(
         F.count(F.lit(1)).alias("n"), F.sum("context").alias("contexts"))
@@ -399,12 +419,13 @@ def q_neg_training_rows(spark, sf):
 
 
 def q_learning_rate_schedule(spark, sf):
+    """The rate each sentence starts with in the second of two epochs."""
     vocab = vocabulary(spark, sf)
-    rows = sentences(spark, sf, vocab).withColumn(
-        "learner", F.pmod("doc_id", F.lit(LEARNERS)).cast("int"))
+    placed = training.shuffle_sentences(
+        training.encoded_sentences(tokens_of(spark, sf), vocab, TRAINING), TRAINING.num_partitions, SEED)
     total = voc.train_word_total(vocab).first()["total"]
-    out = learning_rate_schedule(rows, KEYS, TRAINING.step_size, LEARNERS, 1, 1, total)
-    return out.select("learner", *KEYS, "words_before", F.round("alpha", 9).alias("alpha"))
+    out = learning_rate_schedule(placed, ("turn", "sentence"), TRAINING.step_size, TRAINING.num_partitions, 2, 2, total)
+    return out.select("learner", "sentence", "words_before", F.round("alpha", 9).alias("alpha"))
 
 
 def q_fit_epochs(spark, sf):
@@ -415,11 +436,12 @@ def q_fit_epochs(spark, sf):
 
 
 def q_training_metrics(spark, sf):
-    result = training.train(tokens_of(spark, sf), replace(TRAINING, hs=False, max_iter=2))
-    # Wall-clock columns and losses differ from run to run or are not known in advance.
-    return result.metrics.groupBy("epoch", "progress").agg(
-        F.count("learner").alias("learners"), F.sum("words").alias("words"),
-        F.min((F.col("loss") > 0) & (F.col("alpha") > 0) & (F.col("words_per_second") > 0)).alias("sound"))
+    result = training.train(tokens_of(spark, sf), replace(TRAINING, cbow=1, hs=False, max_iter=2))
+    notes = result.progress.groupBy("epoch", "learner").agg(
+        F.max("words").alias("noted"), F.min((F.col("words_per_second") > 0) & (F.col("loss") > 0)).alias("sound"))
+    # Seconds and losses differ from run to run or are not known in advance.
+    return result.metrics.join(notes, ["epoch", "learner"]).select(
+        "epoch", "learner", "progress", "words", "examples", "noted", F.round("alpha", 9).alias("alpha"), "sound")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -490,12 +512,6 @@ def q_model_from_table(spark, sf):
 
 QUERIES = {
     **{name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and name != "q_flagship_counts"},
-    "train_skipgram_hs": training_query(cbow=0, hs=True, negative=0),
-    "train_skipgram_neg": training_query(cbow=0, hs=False),
-    "train_cbow_hs": training_query(cbow=1, hs=True, negative=0),
-    "train_cbow_neg": training_query(cbow=1, hs=False),
-    "train_concat_hs": training_query(cbow=2, hs=True, negative=0, vector_size=16),
-    "train_concat_neg": training_query(cbow=2, hs=False, vector_size=16),
-    "train_combined": training_query(cbow=1, hs=True),
+    **{f"train_{name}": training_query(**changes) for name, changes in OBJECTIVES.items()},
     "flagship_fit": q_flagship_counts,
 }

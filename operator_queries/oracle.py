@@ -2,14 +2,55 @@
 
 from __future__ import annotations
 
-from lexivec.plans.kernel import INIT_RANGE, INIT_STEPS
+from lexivec.functions.place_draws import RANGE, STEPS
 from operator_queries import (
-    CAP, EPOCH, LEARNERS, MAX_LENGTH, MIN_COUNT, NEGATIVE, SAMPLE, SEED, SHORT_LENGTH,
+    CAP, EPOCH, MAX_LENGTH, MIN_COUNT, NEGATIVE, OBJECTIVES, SAMPLE, SEED, SHORT_LENGTH, SLOW,
     SMALL_BUFFER, TOP, TRAINING, WINDOW,
 )
 
 WORD_BREAK = r"[^\p{L}\p{M}\p{N}]+"
 
+LEARNERS = TRAINING.num_partitions
+
+
+def hashed(place: str) -> str:
+    """The hash behind starting vectors and the trainer's draws, of an integer expression."""
+    out = f"({place}) % {RANGE}"
+    for factor, shift in STEPS:
+        out = f"({out}) * {factor} % {RANGE}"
+        out = f"list_transform([{out}], lambda x: xor(x, x >> {shift}))[1]"
+    return out
+
+
+def unit(number: str) -> str:
+    """The draw of that number for a row with ``key``, in [0, 1)."""
+    both = f"list_transform([{hashed(f'key + {number}')}], lambda h: (h << 21) + ({hashed('h + 1')} >> 10))[1]"
+    return f"({both} / {float(1 << 52)})"
+
+
+def placed_draw(purpose: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', '{SEED}', '0', sentence, '{purpose}')), 1, 13))::bigint"
+
+
+def windows(epoch: int) -> str:
+    """The trainer's centers of an epoch with their radius, if they are kept."""
+    key = hashed(f"({hashed(f'({hashed(f'sentence + {SEED}')}) + {epoch}')}) + pos")
+    return f"""
+        select * from (
+          select k.*, {WINDOW} - floor({unit('0')} * {WINDOW})::bigint as r, {unit('1')} as u
+          from (select p.doc_id, p.chunk, p.sentence, p.learner, s.pos, s.center, {key} as key,
+                       greatest(1 - {float(LEARNERS)} * (p.words_before + s.pos) / (2 * t + 1), 1e-4) as rate
+                from spots s join placed p using (doc_id, chunk) cross join total) k) w
+        join keep on keep.word_id = w.center where w.u <= keep.keep"""
+
+
+def window_pairs(name: str) -> str:
+    return f"""
+        select c.learner, c.sentence, c.pos, c.center, c.key, c.rate, c.r, x.pos - c.pos as off, x.center as context
+        from {name} c join spots x on x.doc_id = c.doc_id and x.chunk = c.chunk and x.pos <> c.pos
+         and x.pos between c.pos - c.r and c.pos + c.r"""
+
+
 # Building blocks: each name is a table expression, listed with what it builds on.
 PARTS = {
     "tok": ((), f"""
@@ -59,6 +100,50 @@ PARTS = {
         select doc_id, chunk, pos, center, r as radius,
                string_agg(context, ' ' order by off) as ctx
         from pairs group by all"""),
+    "sents": (("enc",), f"""
+        select doc_id, chunk, n, first, row_number() over (order by md5(ids), ids) - 1 as sentence
+        from (select doc_id, (rn // {MAX_LENGTH})::integer as chunk, count(*) as n,
+                     string_agg(word_id, ' ' order by rn) as ids, arg_min(word_id, rn) as first
+              from enc group by doc_id, rn // {MAX_LENGTH})"""),
+    "placed": (("sents",), f"""
+        select *, (sum(n) over (partition by learner order by turn, sentence) - n)::bigint as words_before
+        from (select *, ({placed_draw('learner')} % {LEARNERS})::integer as learner, {placed_draw('turn')} as turn
+              from sents)"""),
+    "windows": (("spots", "placed", "total", "keep"), windows(1)),
+    "windows2": (("spots", "placed", "total", "keep"), windows(2)),
+    "wpairs": (("windows", "spots"), window_pairs("windows")),
+    "wpairs2": (("windows2", "spots"), window_pairs("windows2")),
+    # Huffman: runs of equal counts are merged, see lexivec/operators/huffman.py.
+    "hist": (("vocab",), """
+        select list(cnt order by cnt desc) as w, list(n order by cnt desc) as s, list(past order by cnt desc) as past,
+               max(past) as v
+        from (select cnt, count(*) as n, max(word_id) + 1 as past from vocab group by cnt)"""),
+    "merged": (("hist",), """
+        with recursive step(lft, queue, turn, unpaired, inner_first, leaf, size, began) as (
+          select len(w)::bigint, []::struct(w bigint, f bigint, n bigint)[], 0::bigint, 0::bigint, -1::bigint, -1::bigint,
+                 0::bigint, 0::bigint from hist
+          union all
+          select case when inner_ then lft else lft - 1 end,
+                 rest || (case when turn % 2 = 1 then [{'w': unpaired + rw, 'f': turn // 2, 'n': 1::bigint}] else [] end)
+                   || (case when rn - turn % 2 > 1
+                       then [{'w': 2 * rw, 'f': (turn + turn % 2) // 2, 'n': (rn - turn % 2) // 2}] else [] end),
+                 turn + rn, rw, case when inner_ then q.f else -1 end, case when inner_ then -1 else lft end, rn, turn
+          from (select lft, turn, unpaired, inner_, queue[1] as q, case when inner_ then queue[2:] else queue end as rest,
+                       case when inner_ then queue[1].w else hist.w[lft] end as rw,
+                       case when inner_ then queue[1].n else hist.s[lft] end as rn
+                from (select step.*, len(queue) > 0 and (lft = 0 or queue[1].w <= hist.w[greatest(lft, 1)]) as inner_
+                      from step cross join hist where turn < 2 * hist.v - 2) cross join hist))
+        select inner_first, leaf, size, began from step where size > 0"""),
+    "paths": (("merged", "hist", "vocab"), """
+        with recursive climb(word_id, node, bit) as (
+          select word_id, turn // 2, turn % 2
+          from (select v.word_id, m.began + hist.past[m.leaf] - 1 - v.word_id as turn
+                from vocab v cross join hist join merged m on m.leaf > 0 and hist.w[greatest(m.leaf, 1)] = v.cnt)
+          union all
+          select word_id, turn // 2, turn % 2
+          from (select c.word_id, m.began + c.node - m.inner_first as turn
+                from climb c join merged m on m.inner_first >= 0 and c.node between m.inner_first and m.inner_first + m.size - 1))
+        select * from climb"""),
     "model": (("vocab",), """
         select word, word_id, cnt as count, embedding::double[] as vector,
                sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as norm
@@ -125,15 +210,59 @@ TRAINED = """
     select word, word_id, cnt as count, {size}::integer as n, true as sound{more} from vocab"""
 
 
-def init_hash(place: str) -> str:
-    out = f"({place}) % {INIT_RANGE}"
-    for factor, shift in INIT_STEPS:
-        out = f"({out}) * {factor} % {INIT_RANGE}"
-        out = f"list_transform([{out}], lambda x: xor(x, x >> {shift}))[1]"
-    return out
+INIT_HASH = hashed("p")
+
+
+def added(cbow: int = 0, hs: bool = False, negative: int = NEGATIVE, vector_size: int = SLOW.vector_size) -> str:
+    """What the first epoch adds to the output weights at a vanishing rate: every target's label less one half, times the
+    hidden vector made of starting vectors; the mean of the learners that met the target."""
+    center = "learner, sentence, pos, center, key, rate"
+    examples = f"(select distinct {center}, 2 as first from wpairs)" if cbow else (
+        f"(select {center}, off, context, 2 + (off + {WINDOW}) * {NEGATIVE} as first from wpairs)")
+    targets = []
+    if hs:
+        targets.append(f"""select x.*, 'hs' as kind, p.node as target, 0.5 - p.bit as g
+                           from {examples} x join paths p on p.word_id = x.center""")
+    if negative:
+        targets.append(f"select x.*, 'neg' as kind, x.center as target, 0.5 as g from {examples} x")
+        targets.append(f"""
+            select e.* exclude (u), 'neg' as kind, iv.word_id as target, -0.5 as g
+            from (select * exclude (u0, p, lo), case when u0 >= lo then u0 + p else u0 end as u
+                  from (select x.*, c.p, c.lo, {unit('first + d')} * (1 - c.p) as u0
+                        from {examples} x join dist c on c.word_id = x.center
+                        cross join (select unnest(range({NEGATIVE})) as d) k)) e
+            join cells iv on iv.cell = floor(e.u * 16384)::bigint and e.u >= iv.lo and e.u < iv.hi""")
+    every = " union all ".join(targets)
+    slot, share = "0", "1"
+    if cbow:
+        every = f"""select t.*, w.off, w.context, w.r, count(*) over (partition by t.sentence, t.pos, t.kind, t.target, t.copy) as n
+                    from (select *, row_number() over (partition by sentence, pos, kind, target) as copy from ({every})) t
+                    join wpairs w using (sentence, pos)"""
+        slot, share = ("off + r", "1") if cbow == 2 else ("0", "n")
+    width = vector_size * (2 * WINDOW + 1 if cbow == 2 else 1)
+    start = f"""(select word_id, dim, ({hashed("p")} / {float(RANGE)} - 0.5) / {vector_size} as x
+                 from (select word_id, dim, word_id::bigint * {vector_size} + dim + {SEED} as p
+                       from vocab cross join (select unnest(range({vector_size})) as dim)))"""
+    value = "case when abs(value) < 0.05 then 0.0 else round(value, 1) end"
+    return f"""
+        select kind, row_id, dim, {value} as value from (
+          select m.kind, m.target::bigint as row_id, d.dim::integer as dim, coalesce(f.total, 0.0) / m.learners as value
+          from (select kind, target, count(distinct learner) as learners from sums group by kind, target) m
+          cross join (select unnest(range({width})) as dim) d
+          left join (select kind, target, slot * {vector_size} + dim as dim, sum(g * x) as total
+                     from sums join {start} v on v.word_id = sums.context
+                     group by kind, target, slot * {vector_size} + dim) f
+            on f.kind = m.kind and f.target = m.target and f.dim = d.dim)""", f"""
+        select kind, learner, target, {slot} as slot, context, sum(g * rate / {share}) as g
+        from ({every}) group by all"""
+
 
+def added_sql(**objective) -> str:
+    body, sums = added(**objective)
+    needed = ["wpairs", "vocab"] + ["paths"] * bool(objective.get("hs")) + ["cells"] * (objective.get("negative", NEGATIVE) > 0)
+    with_parts = sql("", *needed)
+    return f"{with_parts.rstrip()},\nsums as materialized ({sums})\n{body}"
 
-INIT_HASH = init_hash("p")
 
 ORACLE = {
     "corpus_tokens": sql(
@@ -223,6 +352,12 @@ ORACLE = {
         select doc_id, chunk, (off + r)::integer as slot, count(*) as n,
                sum(context)::bigint as contexts, sum(center::bigint * pos)::bigint as spots
         from pairs group by doc_id, chunk, off + r""", "pairs"),
+    "hs_training_rows": sql("""
+        select node, label, sum(n)::bigint as n, sum(contexts)::bigint as contexts
+        from (select p.node::integer as node, (1 - p.bit)::integer as label, n, contexts
+              from (select center, count(*) as n, sum(context) as contexts from pairs group by center) c
+              join paths p on p.word_id = c.center)
+        group by node, label""", "pairs", "paths"),
     "neg_training_rows": sql(f"""
         select target, label, count(*) as n, sum(context)::bigint as contexts,
                sum(center)::bigint as centers
@@ -232,40 +367,46 @@ ORACLE = {
               from ({negative_draws("pairs", "doc_id, chunk, pos, off")}))
         group by target, label""", "pairs", "cells"),
     "learning_rate_schedule": sql(f"""
-        select learner, doc_id, chunk, words_before,
-               round(greatest({TRAINING.step_size} * (1 - {float(LEARNERS)} * words_before / (t + 1)),
+        select learner, sentence, words_before,
+               round(greatest({TRAINING.step_size} * (1 - ({float(LEARNERS)} * words_before + t) / (2 * t + 1)),
                               {TRAINING.step_size} * 1e-4), 9) as alpha
-        from (select (doc_id % {LEARNERS})::integer as learner, doc_id, chunk,
-                     coalesce(sum(n) over (partition by doc_id % {LEARNERS} order by doc_id, chunk
-                       rows between unbounded preceding and 1 preceding), 0)::bigint as words_before
-              from (select doc_id, chunk, count(*) as n from spots group by doc_id, chunk))
-        cross join total""", "spots", "total"),
-    "modified_rows": f"""
-        select kind, true as in_range, {TRAINING.vector_size}::integer as low_size,
-               {TRAINING.vector_size}::integer as high_size, true as finite
-        from (values ('in'), ('neg')) t(kind)""",
+        from placed cross join total""", "placed", "total"),
+    "modified_rows": sql(f"""
+        select distinct 'in' as kind, context::bigint as row_id from wpairs
+        union all
+        select distinct 'neg', target::bigint from (
+          select center as target from wpairs
+          union all
+          select iv.word_id
+          from (select case when u0 >= lo then u0 + p else u0 end as u
+                from (select c.p, c.lo, {unit('2 + d')} * (1 - c.p) as u0
+                      from (select distinct center, key, sentence, pos from wpairs) x join dist c on c.word_id = x.center
+                      cross join (select unnest(range({NEGATIVE})) as d) k)) e
+          join cells iv on iv.cell = floor(e.u * 16384)::bigint and e.u >= iv.lo and e.u < iv.hi)""", "wpairs", "cells"),
     "init_vectors": sql(f"""
         select word_id, count(*)::integer as n, round(max(v)::float::double, 8) as high,
                round(min(v)::float::double, 8) as low
-        from (select word_id, ({INIT_HASH} / {float(INIT_RANGE)} - 0.5) / {TRAINING.vector_size} as v
+        from (select word_id, ({INIT_HASH} / {float(RANGE)} - 0.5) / {TRAINING.vector_size} as v
               from (select word_id, word_id::bigint * {TRAINING.vector_size} + dim + {SEED} as p from vocab
                     cross join (select unnest(range({TRAINING.vector_size})) as dim) d))
         group by word_id""", "vocab"),
-    "shuffle_sentences": sql(f"""
-        select count(*) as sentences, sum(n)::bigint as words, count(*) as numbers, count(*) - 1 as last,
-               {TRAINING.num_partitions}::bigint as learners
-        from (select count(*) as n from enc group by doc_id, rn // {MAX_LENGTH})""", "enc"),
+    "shuffle_sentences": sql(
+        "select sentence, learner, turn, n::integer as n, first::integer as first from placed", "placed"),
     "training_metrics": sql(f"""
-        select e::integer as epoch, e / 2.0::double as progress, {TRAINING.num_partitions}::bigint as learners,
-               t::bigint as words, true as sound
-        from total cross join (values (1), (2)) x(e)""", "total"),
+        select e.epoch::integer as epoch, learner, e.epoch / 2.0::double as progress, sum(n)::bigint as words,
+               any_value(case e.epoch when 1 then x1 else x2 end)::bigint as examples, sum(n)::bigint as noted,
+               round(greatest({TRAINING.step_size} * (1 - ({float(LEARNERS)} * sum(n) + (e.epoch - 1) * any_value(t)) / (2 * any_value(t) + 1)),
+                              {TRAINING.step_size} * 1e-4), 9) as alpha, true as sound
+        from placed join (select learner, count(distinct (sentence, pos)) as x1 from wpairs group by learner) a using (learner)
+        join (select learner, count(distinct (sentence, pos)) as x2 from wpairs2 group by learner) b using (learner)
+        cross join total cross join (values (1), (2)) e(epoch)
+        group by e.epoch, learner""", "placed", "wpairs", "wpairs2", "total"),
     "fit_epochs": sql(TRAINED.format(size=TRAINING.vector_size, more=", true as learned"), "vocab"),
     "flagship_fit": sql(f"""
         select word as query, least({TOP}, n - 1)::bigint as found, least({TOP}, n - 1)::integer as last,
                true as sound, 0::integer as itself
         from vocab cross join (select count(*) as n from vocab)""", "vocab"),
-    **{f"train_{name}": sql(TRAINED.format(size=16 if "concat" in name else TRAINING.vector_size, more=""), "vocab")
-       for name in ("skipgram_hs", "skipgram_neg", "cbow_hs", "cbow_neg", "concat_hs", "concat_neg", "combined")},
+    **{f"train_{name}": added_sql(**objective) for name, objective in OBJECTIVES.items()},
     "get_vectors": sql(elements("word", "model"), "model"),
     "get_vocab": sql("select word, count from model", "model"),
     "find_synonyms_word": sql(f"""

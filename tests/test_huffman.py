@@ -5,6 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexivec.operators import huffman
+from lexivec.operators.count_runs import NegativeLine, count_runs, runs_of
 from lexivec.operators.huffman import huffman_paths
 
 
@@ -44,3 +46,72 @@ def test_prefix_free_and_cheapest(counts):
         cost += merged
         heapq.heappush(heap, merged)
     assert sum(n * len(c) for n, c in zip(counts, codes)) == cost
+
+
+def merged_word_by_word(counts):
+    """Codes and points by the plain rule: two queues, one node at a time."""
+    words = len(counts)
+    weight, parent, bit = list(counts), {}, {}
+    leaf, inner = words - 1, words
+    for made in range(words, 2 * words - 1):
+        total = 0
+        for second in (0, 1):
+            if leaf >= 0 and (inner >= made or weight[leaf] < weight[inner]):
+                node, leaf = leaf, leaf - 1
+            else:
+                node, inner = inner, inner + 1
+            parent[node], bit[node] = made, second
+            total += weight[node]
+        weight.append(total)
+    out = []
+    for node in range(words):
+        code, point = [], []
+        while node in parent:
+            code.insert(0, bit[node])
+            node = parent[node]
+            point.insert(0, node - words)
+        out.append((code, point))
+    return out
+
+
+def by_runs(counts):
+    paths = huffman_paths(np.array(counts))
+    return [(paths.codes[a:b].tolist(), paths.points[a:b].tolist()) for a, b in zip(paths.starts, paths.starts[1:])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 12) | st.integers(0, 1000), min_size=1, max_size=80))
+def test_runs_merge_as_single_words_do(counts):
+    counts = sorted(counts, reverse=True)
+    assert by_runs(counts) == merged_word_by_word(counts)
+
+
+def test_long_runs():
+    counts = [9000] + [7] * 301 + [3] * 1000 + [1] * 4099
+    assert by_runs(counts) == merged_word_by_word(counts)
+    tree = huffman.huffman_tree(runs_of(np.array(counts)))
+    assert len(tree.inner_firsts) < 100  # the work follows the runs, not the 5,401 words
+
+
+def test_codes_of_a_vocabulary_table(spark):
+    counts = sorted((n * n % 17 + 1 for n in range(200)), reverse=True)
+    vocab = spark.createDataFrame(list(enumerate(counts)), "word_id int, cnt bigint").repartition(5)
+    runs = count_runs(vocab)
+    assert (runs.count_of(np.arange(200)) == counts).all() and runs.words == 200
+    rows = huffman.huffman_codes(vocab, huffman.huffman_tree(runs)).orderBy("word_id").collect()
+    assert [(r["code"], r["point"]) for r in rows] == merged_word_by_word(counts)
+    assert all(r["code_len"] == len(r["code"]) for r in rows)
+    none = huffman.huffman_codes(vocab.filter("false"), huffman.huffman_tree(count_runs(vocab.filter("false"))))
+    assert none.count() == 0
+
+
+def test_negative_line_is_the_distribution():
+    counts = np.array([50, 9, 9, 9, 4, 1, 1])
+    line, p = NegativeLine(runs_of(counts)), counts ** 0.75 / (counts ** 0.75).sum()
+    u = (np.arange(20_000) + 0.5) / 20_000
+    assert np.allclose(np.bincount(line.word_at(u), minlength=7) / 20_000, p, atol=2e-4)
+    assert (line.word_at(u) == np.searchsorted(np.cumsum(p), u, side="right")).all()
+    for center in range(7):
+        drawn = line.others(u[None, :], np.array([center]))[0]
+        want = np.where(np.arange(7) == center, 0, p) / (1 - p[center])
+        assert np.allclose(np.bincount(drawn, minlength=7) / 20_000, want, atol=2e-4)

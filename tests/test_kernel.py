@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from lexivec.operators.huffman import huffman_paths
+from lexivec.operators.count_runs import NegativeLine, runs_of
+from lexivec.operators.huffman import huffman_tree
 from lexivec.plans import kernel
 from lexivec.settings import TrainSettings
 
@@ -11,10 +12,9 @@ OBJECTIVES = {"hs": {"hs": True, "negative": 0}, "neg": {"hs": False, "negative"
 
 def learner_for(counts, **changes):
     settings = TrainSettings(**{"vector_size": 6, "window_size": 2, **changes})
-    mass = counts ** 0.75
-    return kernel.Learner(settings, len(counts),
-                          np.cumsum(mass) / mass.sum() if settings.negative else None,
-                          huffman_paths(counts) if settings.hs else None, np.random.default_rng(5))
+    runs = runs_of(counts)
+    return kernel.Learner(settings, len(counts), NegativeLine(runs) if settings.negative else None,
+                          huffman_tree(runs) if settings.hs else None, np.random.default_rng(5))
 
 
 @pytest.mark.parametrize("rows, repeats", [(30, 400), (400, 400), (30, 5), (2000, 300)])
@@ -67,7 +67,7 @@ def test_one_step_follows_the_gradient(cbow, objective):
         fixed = learner.path(center)
     else:
         fixed = kernel.Targets(np.array([[3, 0, 2, 5, 1, 4]]), np.array([[1, 0, 0, 0, 0, 0]]))
-        learner.negatives = lambda centers: fixed
+        learner.negatives = lambda centers, *place: fixed
     targets, labels = fixed.index[0], np.broadcast_to(fixed.label, fixed.index.shape)[0]
     before_in, before_out = learner.vectors.astype(float), output.astype(float)
 
@@ -103,7 +103,7 @@ def test_one_step_follows_the_gradient(cbow, objective):
 def test_negatives_never_hit_the_center():
     learner = learner_for(np.array([1000, 3, 2, 1]), hs=False)
     centers = np.repeat(np.arange(4), 500)
-    drawn = learner.negatives(centers).index
+    drawn = learner.negatives(centers, np.arange(2000).astype(np.uint64), np.zeros(2000, np.int64)).index
     assert (drawn[:, 0] == centers).all() and (drawn[:, 1:] != centers[:, None]).all()
 
 
