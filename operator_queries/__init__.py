@@ -45,6 +45,8 @@ PAIR = ("doc_id", "chunk", "pos", "off")
 TRAINING = TrainSettings(vector_size=32, num_partitions=8, seed=SEED)
 # At this rate an epoch is a sum over its examples, whatever their order: SQL can take it as well.
 SLOW = replace(TRAINING, vector_size=4, step_size=2.0**-30, max_iter=2)
+# The trainer adds in single precision.
+DIGITS = 2
 OBJECTIVES = {
     "skipgram_hs": dict(cbow=0, hs=True, negative=0),
     "skipgram_neg": dict(cbow=0, hs=False),
@@ -392,11 +394,12 @@ def training_query(**changes):
     def run(spark, sf):
         blocks = first_epoch(spark, sf, settings)
         kinds = ["hs"] * settings.hs + ["neg"] * (settings.negative > 0)
-        rows = [training.weight_rows(blocks, k, settings.output_size).select(F.lit(k).alias("kind"), "row_id", F.posexplode("vector").alias("dim", "v"))
-                for k in kinds]
+        rows = [training.weight_rows(blocks, k, settings.output_size).select(
+            F.lit(k).alias("kind"), "row_id", F.posexplode("vector").alias("dim", "v")) for k in kinds]
         value = F.col("v").cast("double") / settings.step_size
         out = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
-        return out.select("kind", "row_id", "dim", F.when(F.abs(value) < 0.05, F.lit(0.0)).otherwise(F.round(value, 1)).alias("value"))
+        return out.select("kind", "row_id", "dim", F.when(
+            F.abs(value) < 0.5 * 10**-DIGITS, F.lit(0.0)).otherwise(F.round(value, DIGITS)).alias("value"))
 
     return run
 

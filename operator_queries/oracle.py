@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexivec.functions.place_draws import RANGE, STEPS
 from operator_queries import (
-    CAP, EPOCH, MAX_LENGTH, MIN_COUNT, NEGATIVE, OBJECTIVES, SAMPLE, SEED, SHORT_LENGTH, SLOW,
+    CAP, DIGITS, EPOCH, MAX_LENGTH, MIN_COUNT, NEGATIVE, OBJECTIVES, SAMPLE, SEED, SHORT_LENGTH, SLOW,
     SMALL_BUFFER, TOP, TRAINING, WINDOW,
 )
 
@@ -243,7 +243,7 @@ def added(cbow: int = 0, hs: bool = False, negative: int = NEGATIVE, vector_size
     start = f"""(select word_id, dim, ({hashed("p")} / {float(RANGE)} - 0.5) / {vector_size} as x
                  from (select word_id, dim, word_id::bigint * {vector_size} + dim + {SEED} as p
                        from vocab cross join (select unnest(range({vector_size})) as dim)))"""
-    value = "case when abs(value) < 0.05 then 0.0 else round(value, 1) end"
+    value = f"case when abs(value) < {0.5 * 10**-DIGITS} then 0.0 else round(value, {DIGITS}) end"
     return f"""
         select kind, row_id, dim, {value} as value from (
           select m.kind, m.target::bigint as row_id, d.dim::integer as dim, coalesce(f.total, 0.0) / m.learners as value
