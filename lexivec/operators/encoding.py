@@ -57,7 +57,8 @@ def id_encoder(ids_by_word: Broadcast):
         offsets = kept_before[ends].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[kept]))
 
-    return encode
+    # A filter on the ids must not be moved below a shuffle, where it would encode everything once more.
+    return encode.asNondeterministic()
 
 
 def encode_in_place(tokens: DataFrame, vocab: DataFrame, input_col: str = "tokens") -> DataFrame:

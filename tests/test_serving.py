@@ -7,7 +7,7 @@ from pyspark.ml.feature import Normalizer
 from pyspark.sql import functions as F
 
 from lexivec import WordVectors, WordVectorsModel
-from lexivec.operators import documents, models, neighbours
+from lexivec.operators import averaging, documents, models, neighbours
 from lexivec.sources import model_store
 from lexivec.sources.corpus import check_token_column
 from lexivec.streaming.documents import drain, drain_transformed, stream_transform, table_stream
@@ -180,3 +180,48 @@ def test_estimator_in_a_pipeline(spark, tmp_path):
         WordVectors(inputCol="tokens", outputCol="f", cbow=4).fit(df)
     with pytest.raises(ValueError, match="already exists"):
         WordVectors(inputCol="tokens", outputCol="tokens").fit(df)
+
+
+def test_vector_sums(spark):
+    rng = np.random.default_rng(7)
+    rows = [(None if n % 11 == 0 else f"k{n % 9 if n % 3 else 0}", n % 2, None if n % 5 == 0 else rng.normal(size=4).tolist())
+            for n in range(700)]
+    table = spark.createDataFrame(rows + [("alone", 0, None)], "k string, j int, vector array<double>").repartition(6)
+    want = {}
+    for k, j, v in rows:
+        want.setdefault((k, j), []).extend([] if v is None else [v])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {(r["k"], r["j"]): r["vector"] for r in averaging.parameter_average(table, ["k", "j"], 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.pop(("alone", 0)) is None and got.keys() == want.keys()
+    assert all(np.allclose(got[k], np.mean(want[k], axis=0), atol=1e-6) for k in want)
+    with pytest.raises(Exception, match="5 elements"):
+        averaging.parameter_average(table, ["k", "j"], 5).collect()
+    assert averaging.parameter_average(table.filter("false"), ["k", "j"], 4).count() == 0
+
+
+def test_one_expression_whatever_the_vector_size(spark):
+    wide = spark.range(5).select("id", F.array_repeat(F.lit(1.0).cast("float"), 300).alias("vector"))
+    plan = averaging.parameter_average(wide, ["id"], 300)._jdf.queryExecution().toString()
+    assert plan.count("avg(") == 0 and len(plan) < 20_000
+
+
+@pytest.mark.parametrize("limit, cell", [(1 << 27, 1 << 22), (300, 40), (0, 7)])
+def test_cells_of_counts_and_words(spark, limit, cell):
+    rng = np.random.default_rng(3)
+    words = [f"w{n}" for n in range(40)]
+    vectors = rng.normal(size=(30, 6)).astype(np.float32)
+    model = models.with_norms(spark.createDataFrame(
+        [(w, n, v.tolist(), 1) for n, (w, v) in enumerate(zip(words, vectors))], "word string, word_id int, vector array<float>, count bigint"))
+    texts = [[words[i] for i in rng.integers(0, 40, rng.integers(0, 60))] for _ in range(50)] + [None, [], [None, "w1"], ["x"] * 9]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, tokens array<string>").repartition(3)
+    got = {r["id"]: r["vector"] for r in documents.mean_vectors_by_join(rows, "id", "tokens", model, 6, limit, cell).collect()}
+    assert len(got) == len(texts)
+    for n, text in enumerate(texts):
+        if text is None:
+            assert got[n] is None
+            continue
+        known = [vectors[words.index(w)] for w in text if w in words[:30]]
+        assert np.allclose(got[n], np.sum(known, axis=0) / max(1, len(text)) if known else np.zeros(6), atol=1e-6)
