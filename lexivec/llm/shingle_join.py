@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -26,7 +26,7 @@ from lexivec.sources.shared_tables import drop_table, write_table
 
 WORDS = 5
 PERCENT = 75
-BATCH_SHINGLES = 1_000_000
+BATCH_SHINGLES = 500_000
 LISTED = 1 << 20  # frequent shingles known to every task, at most
 OFTEN_IN_BATCH = 4  # sets of a batch that make a shingle a candidate for the list
 TRIPLE_SHARE = 0.01  # share of the documents from which three shingles are combined
@@ -338,7 +338,8 @@ def candidates(shared: DataFrame, percent: int) -> DataFrame:
 
     All prefixes hold all rare shingles up to ``REACH``. One of those that is no other set's signature is therefore in no
     other set, and what a set can have in common is its size less those. Counting every signature that is
-    shared makes them fewer, never more. ``star`` is the set that the others of its signature and part meet first.
+    shared makes them fewer, never more. ``star`` is the set that the others of its signature, part and size class meet
+    first: the one with the smallest number, so sets that share many signatures mostly meet one star.
     """
     counts = shared.filter("sig IS NULL").groupBy("node").agg(
         F.max(F.when(F.col("elsewhere"), F.col("room"))).alias("single"),
@@ -357,8 +358,12 @@ def candidates(shared: DataFrame, percent: int) -> DataFrame:
         sigs, nodes, n, rooms, elsewhere = (x[possible] for x in (sigs, nodes, n, rooms, elsewhere))
         starts, lengths, group = grouped(sigs)
         stay = (lengths[group] > 1) | elsewhere
-        middle = (starts + lengths // 2)[group]
-        columns = [sigs, nodes, n, rooms, nodes[middle], n[middle], rooms[middle]]
+        sizes = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64) if percent < 100 else n
+        order = np.lexsort((nodes, sizes, sigs))
+        sigs, nodes, n, rooms, stay, sizes = (x[order] for x in (sigs, nodes, n, rooms, stay, sizes))
+        first = np.append(True, (sigs[1:] != sigs[:-1]) | (sizes[1:] != sizes[:-1]))[:len(sigs)]
+        star = np.flatnonzero(first)[np.cumsum(first) - 1]
+        columns = [sigs, nodes, n, rooms, nodes[star], n[star], rooms[star]]
         return pa.table([pa.array(c[stay]) for c in columns],
                         names=["sig", "node", "n", "room", "star", "star_n", "star_room"])
 
@@ -373,6 +378,27 @@ def possible_pairs(pairs: DataFrame, percent: int) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+SKETCH_WORDS = 8  # of 64 bits
+
+
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle's place among 512. A bit that another set's sketch lacks is a shingle that it lacks."""
+    spots = np.unique(shingles.view(np.uint64) >> np.uint64(55))
+    bits = np.zeros(SKETCH_WORDS, np.uint64)
+    np.bitwise_or.at(bits, (spots >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spots & np.uint64(63)))
+    return bits.view(np.int64)
+
+
+def sketches_allow(sketch_a: str, sketch_b: str, n_a: str, n_b: str, percent: int) -> Column:
+    """False only for sets that cannot be similar: each has at most its size less the bits that the other lacks in common."""
+    def lacked(one: str, other: str) -> Column:
+        return sum((F.bit_count(F.get(one, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(k)))))
+                    for k in range(SKETCH_WORDS)), F.lit(0))
+
+    common = F.least(F.col(n_a) - lacked(sketch_a, sketch_b), F.col(n_b) - lacked(sketch_b, sketch_a))
+    return enough(F.col(n_a), F.col(n_b), common, percent)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar. Sets come to their pairs by two joins and are compared row by row, so a
     task holds two sets at a time, however long."""
@@ -435,6 +461,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     are still in different components are compared with each other. So all links between components are
     found, while a group of near copies costs about one comparison per member.
     """
+    if percent < 50:
+        raise ValueError("sets of very different sizes are not looked for: percent must be 50 or more")
     given = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     seen = write_table(survey(given, words, batch_shingles, often_in_batch), "survey")
     rows = seen.filter("what = 0").drop("what")
@@ -444,8 +472,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                         max(3.0, triple_share * count))
     groups = max(1, -(-total // (4 * group_entries)))
     met = write_table(shared_signatures(
-        postings(given, frequent, groups, words, percent, batch_shingles, hot_entries), groups, percent), "met")
-    shared = write_table(candidates(met, percent), "shared")
+        postings(given, frequent, groups, words, percent, batch_shingles, hot_entries), groups, percent), "met", release=True)
+    shared = write_table(candidates(met, percent), "shared", release=True)
     drop_table(met)
     nodes = shared.select("node").distinct()
 
@@ -462,11 +490,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             found = {node: shingles.view(np.int64) for _, shingles, node in read_sets(iter([batch]), words)
                      if node is not None and node not in done}
             done.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))],
-                                             names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64())),
+                 pa.array([sketch_of(x) for x in found.values()], pa.list_(pa.int64()))], names=["node", "shingles", "sketch"])
 
     # A set may come once from each of several tasks if its key is repeated; a pair is then verified twice.
-    sets = write_table(asked.mapInArrow(whole, "node long, shingles array<long>"), "sets")
+    sets = write_table(asked.mapInArrow(whole, "node long, shingles array<long>, sketch array<long>"), "sets", release=True)
 
     stars = possible_pairs(shared.select(
         F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"),
@@ -477,17 +506,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # Signatures that still hold several components.
     placed = shared.drop("star", "star_n", "star_room").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
-    placed = write_table(placed, "placed")
+    placed = write_table(placed, "placed", release=True)
     mixed_ = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_ = placed.join(mixed_.filter("low != high").select("sig"), "sig", "left_semi").distinct()
-    open_ = write_table(open_, "open")
+    drawn = sets.select("node", "sketch").dropDuplicates(["node"])
+    open_ = write_table(open_.join(drawn, "node"), "open", release=True)
+    drop_table(placed)
     one = open_.select("sig", F.col("component").alias("c_a"), F.col("node").alias("a"),
-                       F.col("n").alias("n_a"), F.col("room").alias("room_a"))
+                       F.col("n").alias("n_a"), F.col("room").alias("room_a"), F.col("sketch").alias("sketch_a"))
     two = open_.select(F.col("sig").alias("sig_b"), F.col("component").alias("c_b"),
-                       F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"))
+                       F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"),
+                       F.col("sketch").alias("sketch_b"))
     meet = one.join(two, (F.col("sig") == F.col("sig_b")) & (F.col("c_a") < F.col("c_b"))
-                    & enough(F.col("n_a"), F.col("n_b"), F.least("room_a", "room_b"), percent))
-    pairs = write_table(possible_pairs(meet, percent), "pairs")
+                    & enough(F.col("n_a"), F.col("n_b"), F.least("room_a", "room_b"), percent)
+                    & sketches_allow("sketch_a", "sketch_b", "n_a", "n_b", percent))
+    pairs = write_table(possible_pairs(meet, percent), "pairs", release=True)
+    drop_table(open_)
     if not pairs.isEmpty():
         involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         some = sets.join(F.broadcast(involved) if small(involved, broadcast_ids) else involved, "node", "left_semi")

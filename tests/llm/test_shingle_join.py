@@ -121,3 +121,25 @@ def test_one_per_group(spark):
     want = [(3, same.upper()), (9, None), (8, ""), (8, " "), (1, "one two"), (5, "p q r s t u"), (5, "v w x y z"), (None, "left alone here")]
     assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
     assert sj.one_per_group(docs.limit(0)).count() == 0
+
+
+def test_sketches_refuse_no_similar_pair(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in (1, 3, 20, 200, 900, 3000):
+        for share in (1.0, 0.95, 0.87, 0.85, 0.5, 0.0):
+            for size in (n, n + n // 8):
+                a = np.unique(rng.integers(-2**63, 2**63 - 1, n, dtype=np.int64))
+                b = np.unique(np.concatenate([a[:int(len(a) * share)], rng.integers(-2**63, 2**63 - 1, max(0, size - int(len(a) * share)), dtype=np.int64)]))
+                if len(b):
+                    rows.append((len(a), len(b), len(np.intersect1d(a, b)), sj.sketch_of(a).tolist(), sj.sketch_of(b).tolist()))
+    table = spark.createDataFrame(rows, "n_a int, n_b int, common int, a array<long>, b array<long>")
+    found = table.withColumn("allowed", sj.sketches_allow("a", "b", "n_a", "n_b", 75)).collect()
+    similar = [sj.enough(r.n_a, r.n_b, r.common, 75) for r in found]
+    assert all(r.allowed for r, same in zip(found, similar) if same) and sum(similar) > 10
+    assert sum(not r.allowed for r in found if 20 <= r.n_a <= 200) > 5
+
+
+def test_low_similarities_are_refused(spark):
+    with pytest.raises(ValueError):
+        sj.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), percent=49)
