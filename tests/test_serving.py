@@ -225,3 +225,50 @@ def test_cells_of_counts_and_words(spark, limit, cell):
             continue
         known = [vectors[words.index(w)] for w in text if w in words[:30]]
         assert np.allclose(got[n], np.sum(known, axis=0) / max(1, len(text)) if known else np.zeros(6), atol=1e-6)
+
+
+def blob_model(spark, blobs, per_blob, size, spread):
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(blobs, size))
+    rows = [(f"w{b}-{n}", b * per_blob + n, (centers[b] + spread * rng.normal(size=size)).astype(np.float32).tolist(), 1)
+            for b in range(blobs) for n in range(per_blob)]
+    rows += [("nil", len(rows), [0.0] * size, 1), ("zip", len(rows) + 1, [0.0] * size, 1)]
+    return rows, models.with_norms(spark.createDataFrame(rows, "word string, word_id int, vector array<float>, count bigint"))
+
+
+@pytest.mark.parametrize("spread", [0.05, 2.0])
+@pytest.mark.parametrize("block, queries", [(40, 16), (7, 1000)])
+def test_batch_equals_all_products(spark, spread, block, queries):
+    rows, model = blob_model(spark, 12, 30, 8, spread)
+    words = [r[0] for r in rows]
+    unit = np.array([r[2] for r in rows], np.float64)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1), 1e-300)[:, None]
+    picked = [0, 5, 100, 359, 360]
+    asked = [("same label", rows[i][2], words[i]) for i in picked] + [("open", rows[3][2], None), ("odd", rows[4][2], "unknown")]
+    table = spark.createDataFrame(asked, "query string, vector array<float>, exclude string").repartition(2)
+    got = neighbours.find_synonyms_batch(model, table, 6, block, queries).collect()
+    want = []
+    for query, vector, drop in asked:
+        v = np.array(vector, np.float32).astype(np.float64)
+        scores = unit @ (v / max(np.linalg.norm(v), 1e-300))
+        order = sorted((i for i in range(len(words)) if words[i] != drop), key=lambda i: (-round(scores[i], 9), words[i]))[:6]
+        want += [(query, k + 1, round(float(scores[i]), 6)) for k, i in enumerate(order)]
+    got = sorted((r["query"], r["rank"], round(r["similarity"], 6)) for r in got)
+    assert [r[:2] for r in got] == [r[:2] for r in sorted(want)]
+    assert np.allclose([r[2] for r in got], [r[2] for r in sorted(want)], atol=2e-6)
+
+
+def test_bounds_rule_blocks_out(spark):
+    rows, model = blob_model(spark, 12, 30, 8, 0.05)
+    table, blocks = neighbours.word_blocks(model, 30)
+    packed = table.collect()
+    assert sorted(w for r in packed for w in r["words"]) == sorted(r[0] for r in rows)
+    unit = {r["block"]: np.frombuffer(r["vectors"], np.float64).reshape(len(r["words"]), -1) for r in packed}
+    asked = np.concatenate(list(unit.values()))
+    bounds = blocks.bounds(asked)
+    for block, vectors in unit.items():
+        assert (bounds[:, block] >= (asked @ vectors.T).max(axis=1) - 1e-9).all()
+    asked = spark.createDataFrame([(n, r[0], r[2], r[0], 0.9) for n, r in enumerate(rows[:-2])],
+                                  "number long, query string, asked array<float>, exclude string, `limit` double")
+    pairs = neighbours.query_pairs(asked, blocks, True).count()
+    assert pairs < 0.4 * 360 * len(blocks.pivot)
