@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -145,9 +146,15 @@ def luhn(digits: str) -> bool:
     return (sum(values[::2]) + sum(sum(divmod(2 * v, 10)) for v in values[1::2])) % 10 == 0
 
 
+def zero_of(digit: str) -> int:
+    """The code point of the zero in the digit's script."""
+    return ord(digit) - unicodedata.decimal(digit)
+
+
 def number(key: bytes, kind: str, text: str, first: int, fits: Callable[[str], bool] = lambda _: True) -> str:
-    """The digits from place ``first`` on move; a number that does not begin with 0 keeps that."""
-    spots = [i for i, c in enumerate(text) if c.isdigit()][first:]
+    """The digits from place ``first`` on move, each within its script; a number that does not begin with 0 keeps
+    that. Numbers in different scripts are of different shapes."""
+    spots = [i for i, c in enumerate(text) if c.isdecimal()][first:]
     lead = int(text[spots[0]]) != 0
     radices = [9 if k == 0 and lead else 10 for k in range(len(spots))]
     values = [int(text[i]) - (k == 0 and lead) for k, i in enumerate(spots)]
@@ -155,10 +162,10 @@ def number(key: bytes, kind: str, text: str, first: int, fits: Callable[[str], b
     def spelled(digits: list[int]) -> str:
         out = list(text)
         for k, (i, d) in enumerate(zip(spots, digits)):
-            out[i] = str(d + (k == 0 and lead))
+            out[i] = chr(zero_of(text[i]) + d + (k == 0 and lead))
         return "".join(out)
 
-    shape = "".join("0" if i in spots else c for i, c in enumerate(text))
+    shape = "".join(chr(zero_of(c)) if i in spots else c for i, c in enumerate(text))
     return spelled(permuted(key, f"{kind}|{shape}", values, radices, lambda v: fits(spelled(v))))
 
 
@@ -173,13 +180,14 @@ def email(key: bytes, text: str) -> str:
 
 
 def address(key: bytes, text: str) -> str:
-    """Each part keeps its number of digits and stays below 256."""
+    """Each part keeps its number of digits, their scripts, and stays below 256."""
     low = {1: 0, 2: 10, 3: 100}
     high = {1: 9, 2: 99, 3: 255}
     parts = text.split(".")
     radices = [high[len(p)] - low[len(p)] + 1 for p in parts]
-    moved = permuted(key, "ip", [int(p) - low[len(p)] for p in parts], radices)
-    return ".".join(str(d + low[len(p)]) for d, p in zip(moved, parts))
+    scripts = "" if text.isascii() else "|" + "".join(chr(zero_of(c)) if c != "." else c for c in text)
+    moved = permuted(key, "ip" + scripts, [int(p) - low[len(p)] for p in parts], radices)
+    return ".".join("".join(chr(zero_of(c) + int(n)) for c, n in zip(p, str(d + low[len(p)]))) for d, p in zip(moved, parts))
 
 
 def secret(key: bytes, text: str) -> str:

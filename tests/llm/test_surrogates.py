@@ -99,3 +99,31 @@ def test_every_match_has_a_hint(value):
     assert s.PATTERN.search(text)[0] == value and s.HINT.search(text)
     new, spans = s.Replacer(KEY).replace(text)
     assert len(spans) == 1 and value not in new
+
+
+def in_script(text, zero):
+    return "".join(chr(ord(zero) + int(c)) if c.isascii() and c.isdigit() else c for c in text)
+
+
+@pytest.mark.parametrize("value", ["123-456-7890", "+49 (30) 1234-5678", "4111 1111 1111 1111", "123-45-6789", "023-45-6789"])
+def test_digits_keep_their_script(value):
+    """The same number in several scripts is several values with surrogates of their own, in their scripts."""
+    zeros = "0\u0660\u06f0\u0966\uff10"
+    kind = s.PATTERN.fullmatch(value)
+    kind = {"sep": "card"}.get(kind.lastgroup, kind.lastgroup)
+    made = [s.surrogate(KEY, kind, in_script(value, z)) for z in zeros]
+    mixed = value[:-1] + in_script(value[-1], zeros[1])
+    made.append(s.surrogate(KEY, kind, mixed))
+    assert len(set(made)) == len(made)
+    for z, new in zip(zeros, made):
+        assert {chr(s.zero_of(c)) for c in new if c.isdecimal()} <= {z, "0"} and new != in_script(value, z)
+        assert [c.isdecimal() for c in new] == [c.isdecimal() for c in value]
+    assert s.zero_of(made[-1][-1]) == ord(zeros[1])
+
+
+def test_addresses_keep_their_script():
+    values = ["1.2.3.4", "\u0661.2.3.4", "1.2.3.\u0664", "\u0661.\u0662.\u0663.\u0664"]
+    made = [s.surrogate(KEY, "ip", v) for v in values]
+    assert len(set(made)) == 4
+    for old, new in zip(values, made):
+        assert [c == "." or s.zero_of(c) for c in old] == [c == "." or s.zero_of(c) for c in new]
