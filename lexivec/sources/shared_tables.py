@@ -10,10 +10,11 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 AUTO_BUCKETS = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -39,23 +40,26 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def _shuffles_dropped(spark: SparkSession, when: bool) -> Iterator[None]:
-    """What is run inside leaves no shuffle files behind."""
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    if when:
-        spark.conf.set(SHUFFLE_CLEANUP, "true")
+def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Queries run inside have these settings; afterwards the session is as before."""
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
-def write_table(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+def write_table(df: DataFrame, label: str, release: bool = False, batch_rows: int = 0) -> DataFrame:
     """Runs ``df`` once, writes it to the shared folder and returns the written rows. With ``release``
-    the shuffle files of the run go as soon as the table is written."""
+    the shuffle files of the run go as soon as the table is written; ``batch_rows`` bounds what Python functions
+    are handed at a time."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    with _shuffles_dropped(spark, release):
+    settings = {SHUFFLE_CLEANUP: "true"} if release else {}
+    with session_settings(spark, settings | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,22 +71,16 @@ def write_bucketed(df: DataFrame, key: str, buckets: int, label: str, *order: st
     path = new_path(spark, label)
     name = re.sub(r"\W", "_", path.rsplit("/", 1)[1])
     writer = df.write.bucketBy(buckets, key).option("path", path)
-    with _shuffles_dropped(spark, True):
+    with session_settings(spark, {SHUFFLE_CLEANUP: "true"}):
         (writer.sortBy(*order) if order else writer).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the catalog's entry only: the files were given a place of their own
     return table
 
 
-@contextmanager
-def unshuffled_buckets(spark: SparkSession) -> Iterator[None]:
+def unshuffled_buckets(spark: SparkSession) -> AbstractContextManager[None]:
     """Plans made inside read bucketed tables bucket by bucket, whatever stands between scan and group."""
-    before = spark.conf.get(AUTO_BUCKETS)
-    spark.conf.set(AUTO_BUCKETS, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(AUTO_BUCKETS, before)
+    return session_settings(spark, {AUTO_BUCKETS: "false"})
 
 
 def drop_table(table: DataFrame) -> None:
