@@ -27,6 +27,7 @@ from lexivec.sources.shared_tables import drop_table, write_table
 WORDS = 5
 PERCENT = 75
 BATCH_SHINGLES = 500_000
+BATCH_ROWS = 1000  # texts handed to Python at a time
 LISTED = 1 << 20  # frequent shingles known to every task, at most
 OFTEN_IN_BATCH = 4  # sets of a batch that make a shingle a candidate for the list
 TRIPLE_SHARE = 0.01  # share of the documents from which three shingles are combined
@@ -464,7 +465,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     if percent < 50:
         raise ValueError("sets of very different sizes are not looked for: percent must be 50 or more")
     given = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    seen = write_table(survey(given, words, batch_shingles, often_in_batch), "survey")
+    seen = write_table(survey(given, words, batch_shingles, often_in_batch), "survey", batch_rows=BATCH_ROWS)
     rows = seen.filter("what = 0").drop("what")
     count, total = rows.agg(F.count("node"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = seen.filter("what = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(listed).toPandas()
@@ -472,7 +473,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                         max(3.0, triple_share * count))
     groups = max(1, -(-total // (4 * group_entries)))
     met = write_table(shared_signatures(
-        postings(given, frequent, groups, words, percent, batch_shingles, hot_entries), groups, percent), "met", release=True)
+        postings(given, frequent, groups, words, percent, batch_shingles, hot_entries), groups, percent), "met", release=True, batch_rows=BATCH_ROWS)
     shared = write_table(candidates(met, percent), "shared", release=True)
     drop_table(met)
     nodes = shared.select("node").distinct()
@@ -495,7 +496,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                  pa.array([sketch_of(x) for x in found.values()], pa.list_(pa.int64()))], names=["node", "shingles", "sketch"])
 
     # A set may come once from each of several tasks if its key is repeated; a pair is then verified twice.
-    sets = write_table(asked.mapInArrow(whole, "node long, shingles array<long>, sketch array<long>"), "sets", release=True)
+    sets = write_table(asked.mapInArrow(whole, "node long, shingles array<long>, sketch array<long>"), "sets", release=True, batch_rows=BATCH_ROWS)
 
     stars = possible_pairs(shared.select(
         F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"),
