@@ -8,7 +8,7 @@ nor the texts pass through one place.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.common import fresh
-from lexivec.sources.shared_tables import drop_table, write_table
+from lexivec.sources.shared_tables import drop_table, write_bucketed, write_table
 from lexivec.sources.sorted_tables import with_total_before, write_in_order
 
 CLASSES = 64
 CLUSTERED = 2  # occurrences from which a word is clustered
 FREQUENT = 0.0  # share of the tokens that a clustered word needs besides
-HALF_SWEEPS = 6
+TOLERANCE = 0.01  # a sweep that gains a smaller share of all gains ends the exchange
+MOST_PARTS = 64
 BROADCAST_WORDS = 1 << 21  # classes of more words meet the bigrams in a shuffled join
 RANGE_WORDS = 1 << 14  # words whose moves one task finds together
 COMBINED = 1 << 20  # bigrams added up at once
@@ -148,39 +149,6 @@ def best_classes(table: np.ndarray, own: np.ndarray, after: np.ndarray, before:
     return np.where(gain[every, own] >= gain[every, best] - 1e-9, own, best)
 
 
-def numbered_bigrams(chunks: DataFrame, ranked: DataFrame, others: int) -> DataFrame:
-    """(a, b, n): how often b follows a in training documents. Words are their number ``w`` in ``ranked``
-    (words, w); all others share the number ``others``. The end token precedes a first word."""
-
-    def count(chunk: pa.Table, reply: pa.Table) -> pa.Table:
-        pairs, n = np.empty(0, np.int64), np.empty(0, np.int64)
-        if chunk.num_rows:
-            row = {c: chunk[c].combine_chunks()[0] for c in chunk.column_names}
-            held = row["held"].values.to_numpy(zero_copy_only=False)
-            flat = np.frombuffer(row["tokens"].as_buffer(), np.uint32)
-            numbers = np.full(int(flat.max()) + 1, others, np.int32 if others < 1 << 31 else np.int64)
-            numbers[reply["spot"].to_numpy()] = reply["w"].to_numpy()
-            flat = numbers[flat[~np.repeat(held, row["sizes"].values.to_numpy())]]
-            if len(flat):
-                # Every document closes with the end token.
-                keys = np.roll(flat, 1).astype(np.int64)
-                keys *= others + 1
-                keys += flat
-                del flat
-                keys.sort()
-                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                pairs, n = keys[starts], np.diff(starts, append=len(keys))
-                del keys
-        return pa.table([pa.array(pairs // (others + 1)), pa.array(pairs % (others + 1)), pa.array(n)],
-                        names=["a", "b", "n"])
-
-    asked = chunks.select("chunk", F.posexplode("words").alias("spot", "words"))
-    replies = asked.join(ranked.select("words", "w"), "words").select(F.col("chunk").alias("for_chunk"), "spot", "w")
-    left = chunks.select("chunk", "held", "sizes", "tokens")
-    rows = left.groupBy("chunk").cogroup(replies.groupBy("for_chunk")).applyInArrow(count, "a long, b long, n long")
-    return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
 def classed_bigrams(bigrams: DataFrame, groups: DataFrame, words: int, classes: int,
                     broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(a, b, n, ca, cb): bigrams with both classes from ``groups`` (w, class); ``classes`` for other words."""
@@ -209,45 +177,117 @@ def class_rows(bigrams: DataFrame, classes: np.ndarray) -> DataFrame:
     return bigrams.sparkSession.createDataFrame(list(enumerate(classes.tolist())), "w long, class int")
 
 
+# The neighbouring classes of the words whose turn it is, a row per range of words. Cells up to the number of classes count what follows
+# a word, those above what precedes it. Range ``TABLE`` has the counts of class after class instead.
+NEIGHBOURS = "range long, w array<long>, own array<int>, cell array<int>, n array<long>"
+TABLE = -1
+
+
 def _added(w: np.ndarray, own: np.ndarray, cell: np.ndarray, n: np.ndarray, cells: int) -> tuple[np.ndarray, ...]:
     """Equal (w, cell) as one, in order."""
     keys, first, place = np.unique(w * cells + cell, return_index=True, return_inverse=True)
     return keys // cells, own[first], keys % cells, np.bincount(place, weights=n).astype(np.int64)
 
 
-def better_classes(classed: DataFrame, table: np.ndarray, words: int, classes: int, turn: int) -> DataFrame:
-    """(w, best): the words whose turn it is and that another class suits better.
-
-    A partition adds up its bigrams per word and neighbouring class; the sums of a range of words travel as one row.
-    """
-    size = classes + 1
-    ranges = -(-words // RANGE_WORDS)
-    sent = classed.sparkSession.sparkContext.broadcast(table)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            w, own, cell, n = _added(*(np.concatenate(x) for x in zip(*held)), 2 * size)
-            order = np.argsort(w % ranges, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff((w % ranges)[order]) != 0])
-            ends = pa.array(np.r_[starts, len(order)].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x[order].astype(t)))
-                     for x, t in ((w, np.int64), (own, np.int32), (cell, np.int32), (n, np.int64))]
-            return pa.RecordBatch.from_arrays([pa.array((w % ranges)[order][starts]), *lists],
-                                              names=["range", "w", "own", "cell", "n"])
-
-        held, rows = [], 0
-        for batch in batches:
-            a, b, n, ca, cb = (batch.column(c).to_numpy() for c in ("a", "b", "n", "ca", "cb"))
-            for w, own, cell in ((a, ca, cb), (b, cb, ca + size)):
-                moves = (w < words) & (w % 2 == turn % 2)
-                if moves.any():
+def _neighbour_rows(w: np.ndarray, own: np.ndarray, cell: np.ndarray, n: np.ndarray, ranges: int,
+                    table: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(w % ranges, kind="stable")
+    owner = (w % ranges)[order]
+    starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[:len(owner)]
+    met = np.flatnonzero(table)
+    ends = pa.array(np.concatenate((starts, [len(order), len(order) + len(met)])).astype(np.int32))
+    none = np.zeros(len(met), np.int64)
+    columns = [(np.append(x[order], more), kind) for x, more, kind in (
+        (w, none, np.int64), (own, none, np.int32), (cell, met, np.int32), (n, table[met], np.int64))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.append(owner[starts], TABLE)), *(pa.ListArray.from_arrays(ends, pa.array(x.astype(kind))) for x, kind in columns)],
+        names=["range", "w", "own", "cell", "n"])
+
+
+def bigram_neighbours(bigrams: DataFrame, words: int, classes: int):
+    """Neighbour rows from a table of bigrams (a, b, n), for ``exchange_words``."""
+    size, ranges = classes + 1, max(1, -(-words // RANGE_WORDS))
+
+    def count(groups: DataFrame, turn: int, parts: int) -> DataFrame:
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def flush() -> pa.RecordBatch:
+                entries = _added(*(np.concatenate(x) for x in zip(*held)), 2 * size)
+                return _neighbour_rows(*entries, ranges, table)
+
+            held, rows, table = [], 0, np.zeros(size * size, np.int64)
+            for batch in batches:
+                a, b, n, ca, cb = (batch.column(c).to_numpy() for c in ("a", "b", "n", "ca", "cb"))
+                np.add.at(table, ca.astype(np.int64) * size + cb, n)
+                for w, own, cell in ((a, ca, cb), (b, cb, ca + size)):
+                    moves = (w < words) & (w % parts == turn % parts)
                     held.append((w[moves], own[moves], cell[moves], n[moves]))
                     rows += int(moves.sum())
-            if rows >= COMBINED:
+                if rows >= COMBINED:
+                    yield flush()
+                    held, rows, table = [], 0, np.zeros(size * size, np.int64)
+            if held:
                 yield flush()
-                held, rows = [], 0
-        if held:
-            yield flush()
+
+        return classed_bigrams(bigrams, groups, words, classes).mapInArrow(pack, NEIGHBOURS)
+
+    return count
+
+
+def chunk_neighbours(chunks: DataFrame, places: DataFrame, words: int, classes: int, broadcast_words: int = BROADCAST_WORDS):
+    """Neighbour rows from the chunks themselves, for ``exchange_words``. ``places`` (chunk, spot, w) names a chunk's words;
+    their classes come to the chunk, whose tokens stay where they are. A chunk adds up its neighbours
+    per word and class, so pairs of words are never written."""
+    size, ranges = classes + 1, max(1, -(-words // RANGE_WORDS))
+    tokens = chunks.select("chunk", "held", "sizes", "tokens")
+
+    def count(groups: DataFrame, turn: int, parts: int) -> DataFrame:
+        def pack(chunk: pa.Table, reply: pa.Table) -> pa.Table:
+            row = {c: chunk[c].combine_chunks()[0] for c in chunk.column_names} if chunk.num_rows else None
+            flat = np.frombuffer(row["tokens"].as_buffer(), np.uint32) if row else np.empty(0, np.uint32)
+            if len(flat):
+                flat = flat[~np.repeat(row["held"].values.to_numpy(zero_copy_only=False), row["sizes"].values.to_numpy())]
+            if not len(flat):
+                return pa.Table.from_batches([_neighbour_rows(*(np.empty(0, np.int64),) * 4, ranges, np.zeros(0, np.int64))])
+            local = int(flat.max()) + 1
+            spots = reply["spot"].to_numpy()
+            w, group = np.full(max(local, int(spots.max(initial=0)) + 1), -1), np.full(max(local, int(spots.max(initial=0)) + 1), classes)
+            w[spots], group[spots] = reply["w"].to_numpy(), reply["class"].to_numpy()
+            moving = (w >= 0) & (w % parts == turn % parts)
+            # Every document closes with the end token, which precedes a first word.
+            here = group[flat].astype(np.int32)
+            before = np.roll(here, 1)
+            table = np.bincount(before.astype(np.int64) * size + here, minlength=size * size)
+            keys = []
+            for neighbour, shift in ((np.roll(here, -1), 0), (before, size)):
+                at = np.flatnonzero(moving[flat])
+                keys.append(flat[at].astype(np.int64) * (2 * size) + neighbour[at] + shift)
+            keys = np.concatenate(keys)
+            keys.sort()
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[:len(keys)]
+            n, spot, cell = np.diff(starts, append=len(keys)), keys[starts] // (2 * size), keys[starts] % (2 * size)
+            return pa.Table.from_batches([_neighbour_rows(w[spot], group[spot], cell, n, ranges, table)])
+
+        known = F.broadcast(groups) if words <= broadcast_words else groups
+        replies = places.join(known, "w").select(F.col("chunk").alias("for_chunk"), "spot", "w", "class")
+        return tokens.groupBy("chunk").cogroup(replies.groupBy("for_chunk")).applyInArrow(pack, NEIGHBOURS)
+
+    return count
+
+
+def table_of(neighbours: DataFrame, size: int) -> np.ndarray:
+    """Counts of class after class; ``size`` squared numbers come to the driver."""
+    cells = neighbours.filter(F.col("range") == TABLE).select(F.inline(F.arrays_zip("cell", "n")))
+    table = np.zeros(size * size)
+    for row in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        table[row["cell"]] = row["n"]
+    return table.reshape(size, size)
+
+
+def better_classes(neighbours: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
+    """(w, best): the words whose turn it is and that another class suits better. The sums of a range of words meet in
+    one group."""
+    size = classes + 1
+    sent = neighbours.sparkSession.sparkContext.broadcast(table)
 
     def move(rows: pa.Table) -> pa.Table:
         w, own, cell, n = _added(*(rows[c].combine_chunks().flatten().to_numpy() for c in ("w", "own", "cell", "n")), 2 * size)
@@ -262,43 +302,58 @@ def better_classes(classed: DataFrame, table: np.ndarray, words: int, classes: i
         moved = best != own[first]
         return pa.table([pa.array(found[moved]), pa.array(best[moved].astype(np.int32))], names=["w", "best"])
 
-    packed = classed.mapInArrow(pack, "range long, w array<long>, own array<int>, cell array<int>, n array<long>")
-    return packed.groupBy("range").applyInArrow(move, "w long, best int")
+    return neighbours.filter(F.col("range") != TABLE).groupBy("range").applyInArrow(move, "w long, best int")
 
 
-def exchange_words(bigrams: DataFrame, dealt: DataFrame, words: int, classes: int = CLASSES,
-                   half_sweeps: int = HALF_SWEEPS) -> tuple[DataFrame, np.ndarray]:
-    """Exchange clustering from the classes ``dealt`` (w, class): the written classes and the class table.
+def exchange_words(count: Callable[[DataFrame, int, int], DataFrame], dealt: DataFrame, words: int, classes: int = CLASSES,
+                   half_sweeps: int | None = None, tolerance: float = TOLERANCE) -> tuple[DataFrame, np.ndarray]:
+    """Exchange clustering from the classes ``dealt`` (w, class): the written classes and the class table. ``count`` gives
+    the neighbour rows of classes, turn and parts.
 
-    In a half sweep every second word, by turns, moves to the class that raises the likelihood most while
-    the others stand still; a half sweep that lowers it is undone and ends the clustering. Words that
-    are not in ``dealt`` keep one class of their own. Only class tables reach the driver.
+    By turns, every second word moves to the class that raises the likelihood most while the others stand
+    still. Words that move together may spoil each other's gain: a turn that lowers the likelihood is
+    undone, and from then on half as many move at once. It ends when a turn of all words has gained less than
+    ``tolerance`` of all gains so far (or when parts get smaller than one word in ``MOST_PARTS``, or after
+    ``half_sweeps`` turns, if given). Words that are not in ``dealt`` keep one class of their own. Only class tables reach the driver.
     """
     size = classes + 1
     groups = write_table(dealt, "classes")
-    classed = classed_bigrams(bigrams, groups, words, classes)
-    table = class_counts(classed, size)
-    for turn in range(half_sweeps if words else 0):
-        moves = better_classes(classed, table, words, classes, turn)
-        proposal = write_table(groups.join(moves, "w", "left").select(
-            "w", F.coalesce("best", "class").alias("class")), "classes")
-        after = classed_bigrams(bigrams, proposal, words, classes)
-        changed = class_counts(after, size)
+    turn, parts, gains = 0, 2, []
+    seen = write_table(count(groups, turn, parts), "neighbours", release=True)
+    table = table_of(seen, size)
+    start = objective(table)
+    while words and (half_sweeps is None or turn < half_sweeps):
+        proposal = write_table(groups.join(better_classes(seen, table, classes), "w", "left").select(
+            "w", F.coalesce("best", "class").alias("class")), "classes", release=True)
+        drop_table(seen)
+        turn += 1
+        seen = write_table(count(proposal, turn, parts), "neighbours", release=True)
+        changed = table_of(seen, size)
         if objective(changed) < objective(table):
             drop_table(proposal)
-            break
+            drop_table(seen)
+            parts, gains = 2 * parts, []
+            if parts > MOST_PARTS:
+                return groups, table
+            seen = write_table(count(groups, turn, parts), "neighbours", release=True)
+            continue
         drop_table(groups)
-        groups, classed, table = proposal, after, changed
+        gains.append(objective(changed) - objective(table))
+        groups, table = proposal, changed
+        if len(gains) >= parts and sum(gains[-parts:]) <= tolerance * (objective(table) - start):
+            break
+    drop_table(seen)
     return groups, table
 
 
 def exchange(bigrams: DataFrame, counts: np.ndarray, classes: int = CLASSES,
-             half_sweeps: int = HALF_SWEEPS) -> tuple[np.ndarray, np.ndarray]:
+             half_sweeps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """``exchange_words`` of few words, dealt out by frequency: the class of each and, last, of all others."""
     words = len(counts)
     current = np.full(words + 1, classes, np.int64)
     current[np.argsort(-counts, kind="stable")] = np.arange(words) % classes
-    groups, table = exchange_words(bigrams, class_rows(bigrams, current[:-1]), words, classes, half_sweeps)
+    groups, table = exchange_words(
+        bigram_neighbours(bigrams, words, classes), class_rows(bigrams, current[:-1]), words, classes, half_sweeps)
     for row in groups.collect():
         current[row["w"]] = row["class"]
     drop_table(groups)
@@ -339,7 +394,7 @@ def smoothed(table: np.ndarray, sizes: np.ndarray, counts: np.ndarray, types: np
 
 
 def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, key: str = "doc_id", text: str = "text",
-                    classes: int = CLASSES, frequent_share: float = FREQUENT, half_sweeps: int = HALF_SWEEPS,
+                    classes: int = CLASSES, frequent_share: float = FREQUENT, half_sweeps: int | None = None,
                     chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Learns from the documents outside a fold and scores all: key, held_out, n_tokens, n_known,
     train_tokens, base_score (add-one unigrams) and score (class bigrams), in log10.
@@ -349,9 +404,11 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, key: str = "
     scored each; other columns are not read. Without training documents every token is unknown and scores 0.
 
     All counts cover all training documents. Words that occur at least ``CLUSTERED`` times and have at least
-    ``frequent_share`` of the tokens are clustered; the others form one class.
+    ``frequent_share`` of the tokens are clustered; the others form one class. Words met once are that class because
+    they are what unknown words are like: its transitions tell where new words come up.
     """
-    chunks = write_table(text_chunks(docs, folds, fold, key, text, chunk_tokens), "chunks")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = write_bucketed(text_chunks(docs, folds, fold, key, text, chunk_tokens), "chunk", buckets, "chunks")
     local = chunks.select(F.inline(F.arrays_zip("words", "train")))
     vocabulary = write_in_order(local.groupBy("words").agg(F.sum("train").alias("n")).filter("n > 0"),
                                 F.desc("n"), "words", label="vocabulary")
@@ -361,10 +418,11 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, key: str = "
     words = vocabulary.filter(common).count()
     ranked = with_total_before(vocabulary, F.lit(1), "before").select(
         "words", "n", (F.col("before") + F.col("row")).alias("w"))
-    bigrams = write_table(numbered_bigrams(chunks, ranked.filter(common), words), "bigrams")
+    asked = chunks.select("chunk", F.posexplode("words").alias("spot", "words"))
+    places = write_table(asked.join(ranked.filter(common), "words").select("chunk", "spot", "w"), "places", release=True)
     dealt = ranked.filter(common).select("w", (F.col("w") % classes).cast("int").alias("class"))
-    groups, table = exchange_words(bigrams, dealt, words, classes, half_sweeps)
-    drop_table(bigrams)
+    groups, table = exchange_words(chunk_neighbours(chunks, places, words, classes), dealt, words, classes, half_sweeps)
+    drop_table(places)
     found = F.broadcast(groups) if words <= BROADCAST_WORDS else groups
     known = ranked.join(found, "w", "left").select(
         "words", "n", F.coalesce("class", F.lit(classes)).cast("int").alias("class"))
@@ -373,7 +431,6 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, key: str = "
         members[row["class"]], in_class[row["class"]] = row["types"], row["n"]
     model = smoothed(table, members, in_class, members, once, twice)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    asked = chunks.select("chunk", F.posexplode("words").alias("spot", "words"))
     replies = asked.join(known, "words").select(F.col("chunk").alias("for_chunk"), "spot", "n", "class")
     (out,) = fresh(docs.select(), key)
     schema = (f"`{out}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, "

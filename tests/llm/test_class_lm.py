@@ -122,3 +122,93 @@ def test_classes_of_many_words_meet_bigrams_in_a_shuffled_join(spark):
     for most in (0, 10):
         got = lm.classed_bigrams(bigrams, groups, 2, 2, broadcast_words=most)
         assert sorted(map(tuple, got.collect())) == [(0, 1, 2, 0, 1), (1, 9, 3, 1, 2), (9, 0, 4, 2, 0)]
+
+
+def test_exchange_finds_the_classes_from_a_bad_start(spark):
+    rng = np.random.default_rng(6)
+    words, classes = 40, 4  # a word of class c is followed by one of class c + 1, seldom by any other
+    kind = rng.permutation(np.arange(words) % classes)
+    n = rng.poisson(np.where((kind[:, None] + 1) % classes == kind[None, :], 9, 0.3))
+    bigrams = spark.createDataFrame([(int(a), int(b), int(n[a, b])) for a, b in zip(*np.nonzero(n))], "a long, b long, n long")
+    start = np.arange(words) % classes
+    known, dealt = (lm.objective(lm.class_table(bigrams, np.append(c, classes), classes + 1)) for c in (kind, start))
+    groups, table = lm.exchange_words(lm.bigram_neighbours(bigrams, words, classes), lm.class_rows(bigrams, start), words, classes)
+    found = np.array([r["class"] for r in groups.orderBy("w").collect()])
+    assert lm.objective(table) >= known - 1e-6 and lm.objective(table) - dealt > 100
+    assert len(set(zip(found.tolist(), kind.tolist()))) == classes
+
+
+def test_lost_sweeps_are_undone(spark):
+    rng = np.random.default_rng(3)
+    words, classes = 60, 6
+    pairs = [(int(a), int(b), int(n)) for a, b, n in zip(*rng.integers(0, words, (2, 900)), rng.integers(1, 9, 900))]
+    bigrams = spark.createDataFrame(pairs, "a long, b long, n long").groupBy("a", "b").sum("n").toDF("a", "b", "n")
+    dealt = lm.class_rows(bigrams, np.arange(words) % classes)
+    groups, table = lm.exchange_words(lm.bigram_neighbours(bigrams, words, classes), dealt, words, classes, tolerance=0.0)
+    found = np.array([r["class"] for r in groups.orderBy("w").collect()])
+    assert np.array_equal(table, lm.class_table(bigrams, np.append(found, classes), classes + 1))
+    assert lm.objective(table) > lm.objective(lm.class_table(bigrams, np.append(np.arange(words) % classes, classes), classes + 1))
+
+
+def test_chunks_count_as_bigrams_do(spark):
+    rows = corpus(120) + [(900, "solo x y x"), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    chunks = lm.write_bucketed(lm.text_chunks(docs, 7, 2, chunk_tokens=300), "chunk", 4, "chunks")
+    train = [[lm.END, *(t or "").encode().lower().split(), lm.END] for d, t in rows if not lm.held_out(d, 7, 2)]
+    counts = collections.Counter(w for t in train for w in t[1:])
+    known = sorted((w for w in counts if counts[w] > 1), key=lambda w: (-counts[w], w))
+    number = {w: k for k, w in enumerate(known)}
+    pairs = collections.Counter((number.get(a, len(known)), number.get(b, len(known))) for t in train for a, b in zip(t, t[1:]))
+    bigrams = spark.createDataFrame([(a, b, n) for (a, b), n in pairs.items()], "a long, b long, n long")
+    hashes = spark.createDataFrame([(lm.word_hash(w), k) for w, k in number.items()], "words long, w long")
+    places = chunks.selectExpr("chunk", "posexplode(words) as (spot, words)").join(hashes, "words").select("chunk", "spot", "w")
+    groups = lm.class_rows(bigrams, np.arange(len(known)) % 5)
+    assert chunks.count() > 3
+    for turn, parts in ((0, 2), (1, 2), (3, 4)):
+        found = []
+        for count in (lm.bigram_neighbours(bigrams, len(known), 5), lm.chunk_neighbours(chunks, places, len(known), 5)):
+            seen = count(groups, turn, parts)
+            cells = seen.selectExpr("range", "inline(arrays_zip(w, own, cell, n))").groupBy("range", "w", "own", "cell").sum("n")
+            found.append(sorted(map(tuple, cells.collect())))
+        assert found[0] == found[1] and len(found[0]) > 20
+
+
+def test_score_is_that_of_the_plain_model(spark, monkeypatch):
+    rows = corpus(200) + [(1000, None), (1001, "n1 unseen v2 rare"), (1003, "rare rare once")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept, exchanged = [], lm.exchange_words
+
+    def recorded(*given):
+        groups, table = exchanged(*given)
+        kept.append([r["class"] for r in groups.orderBy("w").collect()])
+        return groups, table
+
+    monkeypatch.setattr(lm, "exchange_words", recorded)
+    got = {r.doc_id: r.score for r in lm.score_documents(docs, classes=4, chunk_tokens=500).collect()}
+    texts = {d: [*(t or "").encode().lower().split(), lm.END] for d, t in rows}
+    train = [t for d, t in texts.items() if not lm.held_out(d, 7, 2)]
+    counts = collections.Counter(w for t in train for w in t)
+    order = sorted(counts, key=lambda w: (-counts[w], lm.word_hash(w)))
+    group = {w: kept[0][k] if counts[w] > 1 else 4 for k, w in enumerate(order)}
+    once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    in_class, types = collections.Counter(), collections.Counter(group.values())
+    for w, n in counts.items():
+        in_class[group[w]] += n
+    pairs = collections.Counter((group[a], group[b]) for t in train for a, b in zip([lm.END, *t], t))
+    mass = {c: in_class[c] - discount * types[c] for c in range(5)} | {5: discount * len(counts)}
+    total = sum(counts.values())
+
+    def moves(a, b):  # class 5: unknown words, which take from every class what discounting leaves
+        share = [mass[c] / in_class[c] if in_class[c] else 0.0 for c in range(5)]
+        n = pairs[a, b] * share[b] if b < 5 else sum(pairs[a, c] * (1 - share[c]) for c in range(5))
+        all_ = sum(pairs[a, c] for c in range(5))
+        return (n + lm.BACKOFF * mass[b] / total) / (all_ + lm.BACKOFF)
+
+    for doc, text in texts.items():
+        want, before = 0.0, lm.END
+        for w in text:
+            a, b = group.get(before, 5), group.get(w, 5)
+            want += math.log10(moves(a, b)) + (math.log10((counts[w] - discount) / mass[b]) if b < 5 else 0.0)
+            before = w
+        assert math.isclose(got[doc], want, rel_tol=1e-9, abs_tol=1e-9)
