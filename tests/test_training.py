@@ -218,9 +218,11 @@ def test_progress_is_noted_while_an_epoch_runs(spark):
     assert sum(r["words"] for r in last.values()) == 2 * total
 
 
-@pytest.mark.parametrize("objective", [dict(hs=True, negative=0), dict(hs=False, negative=3), dict(hs=True, negative=2)])
-@pytest.mark.parametrize("cbow", [0, 1, 2])
-@pytest.mark.parametrize("learners, epochs, sample", [(1, 1, 0.0), (3, 2, 0.02)])
+OBJECTIVES = [dict(hs=True, negative=0), dict(hs=False, negative=3), dict(hs=True, negative=2)]
+
+
+@pytest.mark.parametrize("cbow, objective, learners, epochs, sample", [
+    *[(cbow, objective, 3, 2, 0.02) for cbow in (0, 1, 2) for objective in OBJECTIVES], (0, OBJECTIVES[2], 1, 1, 0.0)])
 def test_one_by_one_equals_the_plain_rule(spark, cbow, objective, learners, epochs, sample):
     """Steps of one example give the vectors of a sequential trainer written in plain Python."""
     rng = random.Random(3)
