@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexivec.operators import contexts, encoding, huffman, negatives
 from lexivec.operators import vocabulary as voc
+from lexivec.operators.count_runs import count_runs
 from lexivec.plans.schedule import learning_rate_schedule
 
 DOCS = [(1, ["a", "b", "x", "a", None, "c"]), (2, []), (3, None), (4, ["x", "y"]), (5, ["b"]),
@@ -122,7 +123,9 @@ def test_hs_rows_against_brute_force(spark, limit):
     paths = huffman.huffman_paths(counts)
     pairs = spark.createDataFrame([(i, i % 6, (i * 5) % 6) for i in range(40)],
                                   "k bigint, center int, context int")
-    got = huffman.hs_training_rows(pairs, huffman.huffman_codes(spark, paths), ("k",), limit).collect()
+    words = spark.createDataFrame([(i, int(n)) for i, n in enumerate(counts)], "word_id int, cnt bigint")
+    codes = huffman.huffman_codes(words, huffman.huffman_tree(count_runs(words)))
+    got = huffman.hs_training_rows(pairs, codes, ("k",), limit).collect()
     want = Counter()
     for i in range(40):
         center = i % 6
