@@ -445,6 +445,43 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+FEW_LINKS = 50  # a round of stars that links fewer than one in so many sets is the last
+
+
+def open_signatures(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The written rows (sig, node, n, room, component) of signatures that hold several components."""
+    placed = shared.drop("star", "star_n", "star_room").join(labels, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    placed = write_table(placed, "placed", release=True)
+    mixed_ = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = write_table(placed.join(mixed_.filter("low != high").select("sig"), "sig", "left_semi").distinct(), "open", release=True)
+    drop_table(placed)
+    return open_
+
+
+def drawn_stars(open_: DataFrame, number: int, percent: int) -> DataFrame:
+    """Pairs of every set with one set of its signature, drawn by a hash, if that is in another component."""
+    star = open_.groupBy("sig").agg(F.max_by(
+        F.struct("node", "n", "room", "component"), F.xxhash64("sig", "node", F.lit(number))).alias("star"))
+    return possible_pairs(open_.join(star, "sig").filter(F.col("component") != F.col("star.component")).select(
+        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"),
+        F.col("star.node").alias("b"), F.col("star.n").alias("n_b"), F.col("star.room").alias("room_b")), percent)
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after more ``links`` (a, b) between nodes, which may be new."""
+    ends = write_table(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    every = labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("component", F.col("node")))
+    from_a = every.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
+    from_b = every.select(F.col("node").alias("b"), F.col("component").alias("c_b"))
+    moved = components(links.join(from_a, "a").join(from_b, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    new = write_table(every.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+                      .select("node", F.coalesce("to", "component").alias("component")), "labels")
+    for old in (ends, moved, labels):
+        drop_table(old)
+    return new
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
                     percent: int = PERCENT, listed: int = LISTED, batch_shingles: int = BATCH_SHINGLES,
                     group_entries: int = GROUP_ENTRIES, broadcast_ids: int = BROADCAST_IDS,
@@ -458,9 +495,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     words have an empty set, a null node and their own key. Rows with a null key are compared like
     others, and have a null component where all are null. Equal sets share a node, so copies are compared once.
 
-    First every signature's sets are compared with one of them; then sets that share a signature and
-    are still in different components are compared with each other. So all links between components are
-    found, while a group of near copies costs about one comparison per member.
+    First every signature's sets are compared with one of them, a star, and those in other components with stars drawn anew
+    while many find links; then sets that share a signature and are still in different components are compared with each
+    other. So all links between components are found, while a group of near copies costs a few comparisons per member.
     """
     if percent < 50:
         raise ValueError("sets of very different sizes are not looked for: percent must be 50 or more")
@@ -504,15 +541,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     links = write_table(verified(stars, sets, percent), "links")
     labels = components(links)
 
-    # Signatures that still hold several components.
-    placed = shared.drop("star", "star_n", "star_room").join(labels, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    placed = write_table(placed, "placed", release=True)
-    mixed_ = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = placed.join(mixed_.filter("low != high").select("sig"), "sig", "left_semi").distinct()
+    # Signatures that still hold several components: all meet another star, drawn anew each round, as long as that helps.
+    number, helps = 0, True
+    while helps:
+        number += 1
+        open_ = open_signatures(shared, labels)
+        links = write_table(verified(drawn_stars(open_, number, percent), sets, percent), "links", release=True)
+        found, tried = links.count(), open_.select("node").distinct().count()
+        if found:
+            labels = joined_components(labels, links)
+        drop_table(links)
+        drop_table(open_)
+        helps = found * FEW_LINKS > tried
+    open_ = open_signatures(shared, labels)
     drawn = sets.select("node", "sketch").dropDuplicates(["node"])
-    open_ = write_table(open_.join(drawn, "node"), "open", release=True)
-    drop_table(placed)
+    drawn_open = write_table(open_.join(drawn, "node"), "open", release=True)
+    drop_table(open_)
+    open_ = drawn_open
     one = open_.select("sig", F.col("component").alias("c_a"), F.col("node").alias("a"),
                        F.col("n").alias("n_a"), F.col("room").alias("room_a"), F.col("sketch").alias("sketch_a"))
     two = open_.select(F.col("sig").alias("sig_b"), F.col("component").alias("c_b"),
@@ -526,8 +571,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     if not pairs.isEmpty():
         involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         some = sets.join(F.broadcast(involved) if small(involved, broadcast_ids) else involved, "node", "left_semi")
-        links = links.unionByName(write_table(verified(pairs, some, percent), "links"))
-        labels = components(links)
+        links = write_table(verified(pairs, some, percent), "links", release=True)
+        labels = joined_components(labels, links)
 
     first = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first_id"))
     first = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
