@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.common import fresh
-from lexivec.sources.shared_tables import drop_table, write_bucketed, write_table
+from lexivec.sources.shared_tables import BATCH_ROWS, drop_table, session_settings, write_bucketed, write_table
 from lexivec.sources.sorted_tables import with_total_before, write_in_order
 
 CLASSES = 64
@@ -31,7 +31,9 @@ BROADCAST_WORDS = 1 << 21  # classes of more words meet the bigrams in a shuffle
 RANGE_WORDS = 1 << 14  # words whose moves one task finds together
 COMBINED = 1 << 20  # bigrams added up at once
 TOGETHER = 256  # words whose gains are computed at once
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
+SLICE_TOKENS = 1 << 19  # tokens whose neighbours are counted together
+SENT_WORDS = 1 << 22  # classes of more words come to the chunks by a join
 BACKOFF = 50.0  # weight of the classes' own frequencies in the transitions
 END = b"\n"  # never a word
 
@@ -233,45 +235,92 @@ def bigram_neighbours(bigrams: DataFrame, words: int, classes: int):
     return count
 
 
-def chunk_neighbours(chunks: DataFrame, places: DataFrame, words: int, classes: int, broadcast_words: int = BROADCAST_WORDS):
-    """Neighbour rows from the chunks themselves, for ``exchange_words``. ``places`` (chunk, spot, w) names a chunk's words;
-    their classes come to the chunk, whose tokens stay where they are. A chunk adds up its neighbours
-    per word and class, so pairs of words are never written."""
-    size, ranges = classes + 1, max(1, -(-words // RANGE_WORDS))
-    tokens = chunks.select("chunk", "held", "sizes", "tokens")
+def neighbour_entries(flat: np.ndarray, w: np.ndarray, group: np.ndarray, turn: int, parts: int, classes: int, ranges: int) -> pa.RecordBatch:
+    """Neighbour rows of training tokens, given by local words with their numbers (-1: not clustered) and classes. Every
+    document closes with the end token, which precedes a first word."""
+    size = classes + 1
+    moving = (w >= 0) & (w % parts == turn % parts)
+    table, keys, counts = np.zeros(size * size, np.int64), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a in range(0, len(flat), SLICE_TOKENS):
+        part = flat[a:a + SLICE_TOKENS]
+        here = group[part]
+        before = np.append(group[flat[a - 1]], here[:-1])
+        after = np.append(here[1:], group[flat[(a + len(part)) % len(flat)]])
+        table += np.bincount(before * size + here, minlength=size * size)
+        at = np.flatnonzero(moving[part])
+        word = part[at].astype(np.int64) * (2 * size)
+        found = np.concatenate((word + after[at], word + before[at] + size))
+        found.sort()
+        starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))[:len(found)]
+        keys.append(found[starts])
+        counts.append(np.diff(starts, append=len(found)))
+    found, place = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(place, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
+    spot, cell = found // (2 * size), found % (2 * size)
+    return _neighbour_rows(w[spot], group[spot], cell, n, ranges, table)
+
+
+def numbered_chunks(chunks: DataFrame, places: DataFrame) -> DataFrame:
+    """``chunk, w, tokens``: the training tokens of a chunk and the number of each of its words (-1: not clustered).
+    ``places`` (chunk, spot, w) names the words; tokens stay in their bucket."""
+
+    def number(chunk: pa.Table, reply: pa.Table) -> pa.Table:
+        names = ["chunk", "w", "tokens"]
+        if not chunk.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=names)
+        row = {c: chunk[c].combine_chunks()[0] for c in chunk.column_names}
+        flat = np.frombuffer(row["tokens"].as_buffer(), np.uint32)
+        spots = reply["spot"].to_numpy()
+        w = np.full(max(int(flat.max(initial=0)), int(spots.max(initial=0))) + 1, -1)
+        w[spots] = reply["w"].to_numpy()
+        flat = flat[~np.repeat(row["held"].values.to_numpy(zero_copy_only=False), row["sizes"].values.to_numpy())]
+        return pa.table([pa.array([row["chunk"].as_py()]), pa.array([w.tobytes()], pa.binary()),
+                         pa.array([flat.tobytes()], pa.binary())], names=names)
+
+    left = chunks.select("chunk", "held", "sizes", "tokens")
+    return (left.groupBy("chunk").cogroup(places.select(F.col("chunk").alias("for_chunk"), "spot", "w").groupBy("for_chunk"))
+            .applyInArrow(number, "chunk long, w binary, tokens binary"))
+
+
+def chunk_neighbours(numbered: DataFrame, places: DataFrame, words: int, classes: int, sent_words: int = SENT_WORDS):
+    """Neighbour rows from the chunks themselves, for ``exchange_words``: a chunk adds up its neighbours per word and
+    class, so pairs of words are never written. The classes of at most ``sent_words`` words are sent to every
+    task as one array; those of more come to each chunk for its own words by a join."""
+    ranges = max(1, -(-words // RANGE_WORDS))
+
+    def rows_of(row: pa.Table, group_of: Callable[[np.ndarray], np.ndarray], turn: int, parts: int) -> pa.RecordBatch:
+        w = np.frombuffer(row["w"].combine_chunks()[0].as_buffer(), np.int64)
+        flat = np.frombuffer(row["tokens"].combine_chunks()[0].as_buffer(), np.uint32)
+        return neighbour_entries(flat, w, group_of(w), turn, parts, classes, ranges)
+
+    def by_array(groups: DataFrame, turn: int, parts: int) -> DataFrame:
+        table = groups.toArrow()
+        known = np.full(words + 1, classes, np.int16)
+        known[table["w"].to_numpy()] = table["class"].to_numpy()
+        sent = numbered.sparkSession.sparkContext.broadcast(known)
 
-    def count(groups: DataFrame, turn: int, parts: int) -> DataFrame:
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    yield rows_of(pa.table(batch.slice(k, 1)), lambda w: sent.value[w].astype(np.int64), turn, parts)
+
+        return numbered.select("w", "tokens").mapInArrow(pack, NEIGHBOURS)
+
+    def by_join(groups: DataFrame, turn: int, parts: int) -> DataFrame:
         def pack(chunk: pa.Table, reply: pa.Table) -> pa.Table:
-            row = {c: chunk[c].combine_chunks()[0] for c in chunk.column_names} if chunk.num_rows else None
-            flat = np.frombuffer(row["tokens"].as_buffer(), np.uint32) if row else np.empty(0, np.uint32)
-            if len(flat):
-                flat = flat[~np.repeat(row["held"].values.to_numpy(zero_copy_only=False), row["sizes"].values.to_numpy())]
-            if not len(flat):
-                return pa.Table.from_batches([_neighbour_rows(*(np.empty(0, np.int64),) * 4, ranges, np.zeros(0, np.int64))])
-            local = int(flat.max()) + 1
-            spots = reply["spot"].to_numpy()
-            w, group = np.full(max(local, int(spots.max(initial=0)) + 1), -1), np.full(max(local, int(spots.max(initial=0)) + 1), classes)
-            w[spots], group[spots] = reply["w"].to_numpy(), reply["class"].to_numpy()
-            moving = (w >= 0) & (w % parts == turn % parts)
-            # Every document closes with the end token, which precedes a first word.
-            here = group[flat].astype(np.int32)
-            before = np.roll(here, 1)
-            table = np.bincount(before.astype(np.int64) * size + here, minlength=size * size)
-            keys = []
-            for neighbour, shift in ((np.roll(here, -1), 0), (before, size)):
-                at = np.flatnonzero(moving[flat])
-                keys.append(flat[at].astype(np.int64) * (2 * size) + neighbour[at] + shift)
-            keys = np.concatenate(keys)
-            keys.sort()
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[:len(keys)]
-            n, spot, cell = np.diff(starts, append=len(keys)), keys[starts] // (2 * size), keys[starts] % (2 * size)
-            return pa.Table.from_batches([_neighbour_rows(w[spot], group[spot], cell, n, ranges, table)])
-
-        known = F.broadcast(groups) if words <= broadcast_words else groups
-        replies = places.join(known, "w").select(F.col("chunk").alias("for_chunk"), "spot", "w", "class")
-        return tokens.groupBy("chunk").cogroup(replies.groupBy("for_chunk")).applyInArrow(pack, NEIGHBOURS)
+            def group_of(w: np.ndarray) -> np.ndarray:
+                group = np.full(len(w), classes)
+                group[reply["spot"].to_numpy()] = reply["class"].to_numpy()
+                return group
 
-    return count
+            if not chunk.num_rows:
+                return pa.Table.from_batches([neighbour_entries(*(np.empty(0, np.int64),) * 3, turn, parts, classes, ranges)])
+            return pa.Table.from_batches([rows_of(chunk, group_of, turn, parts)])
+
+        replies = places.join(groups, "w").select(F.col("chunk").alias("for_chunk"), "spot", "class")
+        return numbered.groupBy("chunk").cogroup(replies.groupBy("for_chunk")).applyInArrow(pack, NEIGHBOURS)
+
+    return by_array if words <= sent_words else by_join
 
 
 def table_of(neighbours: DataFrame, size: int) -> np.ndarray:
@@ -408,7 +457,8 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, key: str = "
     they are what unknown words are like: its transitions tell where new words come up.
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = write_bucketed(text_chunks(docs, folds, fold, key, text, chunk_tokens), "chunk", buckets, "chunks")
+    with session_settings(docs.sparkSession, {BATCH_ROWS: "1000"}):
+        chunks = write_bucketed(text_chunks(docs, folds, fold, key, text, chunk_tokens), "chunk", buckets, "chunks")
     local = chunks.select(F.inline(F.arrays_zip("words", "train")))
     vocabulary = write_in_order(local.groupBy("words").agg(F.sum("train").alias("n")).filter("n > 0"),
                                 F.desc("n"), "words", label="vocabulary")
@@ -421,8 +471,10 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, key: str = "
     asked = chunks.select("chunk", F.posexplode("words").alias("spot", "words"))
     places = write_table(asked.join(ranked.filter(common), "words").select("chunk", "spot", "w"), "places", release=True)
     dealt = ranked.filter(common).select("w", (F.col("w") % classes).cast("int").alias("class"))
-    groups, table = exchange_words(chunk_neighbours(chunks, places, words, classes), dealt, words, classes, half_sweeps)
+    numbered = write_bucketed(numbered_chunks(chunks, places), "chunk", buckets, "numbered")
+    groups, table = exchange_words(chunk_neighbours(numbered, places, words, classes), dealt, words, classes, half_sweeps)
     drop_table(places)
+    drop_table(numbered)
     found = F.broadcast(groups) if words <= BROADCAST_WORDS else groups
     known = ranked.join(found, "w", "left").select(
         "words", "n", F.coalesce("class", F.lit(classes)).cast("int").alias("class"))

@@ -150,7 +150,7 @@ def test_lost_sweeps_are_undone(spark):
     assert lm.objective(table) > lm.objective(lm.class_table(bigrams, np.append(np.arange(words) % classes, classes), classes + 1))
 
 
-def test_chunks_count_as_bigrams_do(spark):
+def test_chunks_count_as_bigrams_do(spark, monkeypatch):
     rows = corpus(120) + [(900, "solo x y x"), (901, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     chunks = lm.write_bucketed(lm.text_chunks(docs, 7, 2, chunk_tokens=300), "chunk", 4, "chunks")
@@ -164,13 +164,16 @@ def test_chunks_count_as_bigrams_do(spark):
     places = chunks.selectExpr("chunk", "posexplode(words) as (spot, words)").join(hashes, "words").select("chunk", "spot", "w")
     groups = lm.class_rows(bigrams, np.arange(len(known)) % 5)
     assert chunks.count() > 3
+    numbered = lm.write_bucketed(lm.numbered_chunks(chunks, places), "chunk", 4, "numbered")
+    monkeypatch.setattr(lm, "SLICE_TOKENS", 70)
     for turn, parts in ((0, 2), (1, 2), (3, 4)):
         found = []
-        for count in (lm.bigram_neighbours(bigrams, len(known), 5), lm.chunk_neighbours(chunks, places, len(known), 5)):
+        for count in (lm.bigram_neighbours(bigrams, len(known), 5), lm.chunk_neighbours(numbered, places, len(known), 5),
+                      lm.chunk_neighbours(numbered, places, len(known), 5, sent_words=0)):
             seen = count(groups, turn, parts)
             cells = seen.selectExpr("range", "inline(arrays_zip(w, own, cell, n))").groupBy("range", "w", "own", "cell").sum("n")
             found.append(sorted(map(tuple, cells.collect())))
-        assert found[0] == found[1] and len(found[0]) > 20
+        assert found[0] == found[1] == found[2] and len(found[0]) > 20
 
 
 def test_score_is_that_of_the_plain_model(spark, monkeypatch):
