@@ -26,7 +26,7 @@ CLASSES = 64
 CLUSTERED = 2  # occurrences from which a word is clustered
 FREQUENT = 0.0  # share of the tokens that a clustered word needs besides
 TOLERANCE = 0.01  # a sweep that gains a smaller share of all gains ends the exchange
-MOST_PARTS = 64
+MOST_PARTS = 8  # a turn of one word in so many that still lowers the likelihood ends the exchange
 BROADCAST_WORDS = 1 << 21  # classes of more words meet the bigrams in a shuffled join
 RANGE_WORDS = 1 << 14  # words whose moves one task finds together
 COMBINED = 1 << 20  # bigrams added up at once
@@ -362,7 +362,7 @@ def exchange_words(count: Callable[[DataFrame, int, int], DataFrame], dealt: Dat
     By turns, every second word moves to the class that raises the likelihood most while the others stand
     still. Words that move together may spoil each other's gain: a turn that lowers the likelihood is
     undone, and from then on half as many move at once. It ends when a turn of all words has gained less than
-    ``tolerance`` of all gains so far (or when parts get smaller than one word in ``MOST_PARTS``, or after
+    ``tolerance`` of all gains so far (or when one word in ``MOST_PARTS`` at a time still lowers the likelihood, or after
     ``half_sweeps`` turns, if given). Words that are not in ``dealt`` keep one class of their own. Only class tables reach the driver.
     """
     size = classes + 1
