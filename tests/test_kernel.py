@@ -144,3 +144,45 @@ def test_topics_separate(cbow, objective):
     np.fill_diagonal(same, False)
     across = topic[:, None] != topic[None, :]
     assert cosine[same].mean() > cosine[across].mean() + 0.2
+
+
+@pytest.mark.parametrize("width", [2, 5, 22, 32])
+def test_add_rows_of_any_width(width):
+    rng = np.random.default_rng(width)
+    index, source = rng.integers(0, 9, 300), rng.integers(0, 40, 300)
+    values = rng.random((40, width)).astype(np.float32)
+    got, want = np.ones((9, width), np.float32), np.ones((9, width))
+    kernel.add_rows(got, index, None, values, source)
+    np.add.at(want, index, values[source].astype(np.float64))
+    assert np.allclose(got, want, rtol=1e-5)
+
+
+@pytest.mark.parametrize("cbow", [0, 1, 2])
+def test_draws_and_paths_are_made_for_many_steps_at_once(cbow, monkeypatch):
+    learner = learner_for(np.full(600, 9), cbow=cbow, hs=True)
+    calls = {"negatives": 0, "path": 0}
+    for name in calls:
+        def counted(*args, made=getattr(learner, name), name=name):
+            calls[name] += 1
+            return made(*args)
+        monkeypatch.setattr(learner, name, counted)
+    n = 20 * learner.step_size
+    centers = np.arange(n) % 600
+    learner.train(centers, np.ones(n, np.int64), np.ones(n, np.int64), (centers + 1) % 600, np.ones(n, np.int64),
+                  np.full(n, 0.02, np.float32))
+    assert learner.examples == n and calls == {"negatives": 1, "path": 1}
+
+
+def test_draws_fall_where_a_search_of_all_bounds_puts_them():
+    line = NegativeLine(runs_of(np.sort(np.random.default_rng(2).integers(1, 10**6, 5000))[::-1]))
+    u = np.concatenate((np.random.default_rng(3).random(20_000), line.bounds[:-1], np.nextafter(line.bounds[1:], 0), [0.0]))
+    assert (line.run_at(u) == np.searchsorted(line.bounds[1:-1], u, side="right")).all()
+
+
+def test_large_scores_neither_overflow_nor_lose_their_loss():
+    output, touched = np.array([[90.0, 0.0], [-90.0, 0.0]], np.float32), np.zeros(2, bool)
+    error = np.zeros((2, 2), np.float32)
+    targets = kernel.Targets(np.array([[0, 1], [0, 1]]), np.array([[1.0, 1.0], [0.0, 0.0]], np.float32))
+    with np.errstate(all="raise", under="ignore"):
+        loss = kernel.objective_step(output, touched, np.ones((2, 2), np.float32), error, targets, np.zeros(2, np.float32))
+    assert loss == pytest.approx(180)
