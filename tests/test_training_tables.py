@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lexivec.operators import contexts, encoding, huffman, negatives
 from lexivec.operators import vocabulary as voc
 from lexivec.operators.count_runs import count_runs
+from lexivec.plans import training
 from lexivec.plans.schedule import learning_rate_schedule
+from lexivec.settings import TrainSettings
 
 DOCS = [(1, ["a", "b", "x", "a", None, "c"]), (2, []), (3, None), (4, ["x", "y"]), (5, ["b"]),
         (6, ["a", "b", "c", "a", "b"])]
@@ -142,3 +144,47 @@ def test_schedule(spark):
     got = {r["doc_id"]: (r["words_before"], r["alpha"]) for r in got.collect()}
     assert {k: v[0] for k, v in got.items()} == {1: 0, 2: 3, 3: 0, 4: 5}
     assert got[4][1] == pytest.approx(0.025 * (1 - 10 / 11))
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def some_examples(spark):
+    chunks = spark.createDataFrame([(1, 0, [0, 1, 2, 1, 0])], "doc_id bigint, chunk int, ids array<int>")
+    keep = spark.createDataFrame([(0, 0.5), (1, 2.0), (2, 2.0)], "word_id int, keep double")
+    return contexts.training_examples(chunks, 2, 7, 1, ("doc_id", "chunk"), keep)
+
+
+def test_plans_draw_once_for_subsampling_and_once_for_the_radius(spark):
+    for form in (contexts.context_pairs, contexts.concat_slots):
+        assert plan_of(form(some_examples(spark), ("doc_id", "chunk"))).count("md5(") == 2
+
+
+def test_plans_draw_negatives_once(spark):
+    spots = spark.createDataFrame([(1, 0, 0, 2)], "doc_id bigint, chunk int, pos int, center int")
+    line = spark.createDataFrame([(0, 0.5, 0.0, 0.5), (1, 0.3, 0.5, 0.8), (2, 0.2, 0.8, 1.0)],
+                                 "word_id int, p double, lo double, hi double")
+    assert plan_of(negatives.negative_samples(spots, line, 5, 7, 1, ("doc_id", "chunk", "pos"))).count("md5(") == 1
+
+
+def test_huffman_steps_are_zipped_per_word(spark):
+    pairs = spark.createDataFrame([(1, 0, 2, 1), (1, 1, 0, 2)], "doc_id bigint, pos int, center int, context int")
+    codes = spark.createDataFrame([(0, [1], [5]), (2, [0, 1], [5, 4])], "word_id int, code array<int>, point array<int>")
+    rows = huffman.hs_training_rows(pairs, codes, ("doc_id", "pos"))
+    assert "explode(arrays_zip" not in plan_of(rows)
+    assert sorted(map(tuple, rows.collect())) == [(1, 0, 1, 2, 4, 0), (1, 0, 1, 2, 5, 1), (1, 1, 2, 0, 5, 0)]
+
+
+def test_sentences_are_encoded_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def ids(tokens):
+        seen.add(1)
+        return [len(t) for t in tokens]
+
+    monkeypatch.setattr(training, "encode_corpus", lambda t, v: t.select(ids.asNondeterministic()("tokens").alias("ids")))
+    rows = spark.createDataFrame([(["a" * n],) for n in range(1, 41)], "tokens array<string>").repartition(3)
+    found = training.encoded_sentences(rows, None, TrainSettings())
+    assert sorted(r["ids"][0] for r in found.collect()) == list(range(1, 41)) and seen.value == 40
