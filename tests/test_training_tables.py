@@ -1,7 +1,10 @@
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +191,15 @@ def test_sentences_are_encoded_once(spark, monkeypatch):
     rows = spark.createDataFrame([(["a" * n],) for n in range(1, 41)], "tokens array<string>").repartition(3)
     found = training.encoded_sentences(rows, None, TrainSettings())
     assert sorted(r["ids"][0] for r in found.collect()) == list(range(1, 41)) and seen.value == 40
+
+
+def test_batches_are_encoded_in_slices_of_bounded_words(spark):
+    lists = [["a", "x", "b"], None, [], ["a"] * 7, ["b", None], ["c"]]
+    tokens = pa.array(lists, pa.list_(pa.string()))
+    parts = encoding.word_slices(tokens, 4)
+    assert [row for part in parts for row in part.to_pylist()] == lists
+    assert [pc.sum(part.value_lengths()).as_py() for part in parts] == [3, 7, 3]
+    many = pa.array([["a", "b", "x"] * 100] * 3000, pa.list_(pa.string()))
+    encode = encoding.id_encoder(SimpleNamespace(value={"a": 0, "b": 1})).func
+    assert encode(many).to_pylist() == [[0, 1] * 100] * 3000
+    assert encode(tokens).to_pylist() == [[0, 1], [], [], [0] * 7, [1], []]
