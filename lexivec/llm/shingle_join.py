@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ WORDS = 5
 PERCENT = 75
 BATCH_SHINGLES = 500_000
 BATCH_ROWS = 1000  # texts handed to Python at a time
+SLICE_WORDS = 1 << 16  # words of several texts that are hashed together
 LISTED = 1 << 20  # frequent shingles known to every task, at most
 OFTEN_IN_BATCH = 4  # sets of a batch that make a shingle a candidate for the list
 TRIPLE_SHARE = 0.01  # share of the documents from which three shingles are combined
@@ -45,38 +46,37 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class WordHashes(dict):
-    """Hash of each word, remembered."""
+def mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(31))) * MIX
+    return values ^ (values >> np.uint64(29))
 
-    LIMIT = 1 << 17
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
 
 
-_hashes = WordHashes()
+def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` consecutive words, given by their hashes."""
+    total = np.full(max(0, len(hashes) - width + 1), np.uint64(width))
+    for k in range(width):
+        total = total * FACTORS[0] + mixed(hashes[k:k + len(total)] + FACTORS[k % len(FACTORS)])
+    return mixed(total)
 
 
-def mixed(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(31))) * MIX
-    return values ^ (values >> np.uint64(29))
+def shingle_sets(found: list[list[bytes]], words: int = WORDS) -> Iterator[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text, given by its words; of a shorter text, that of all its
+    words; without words none."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(found)), np.uint64)
+    every, start = windows(hashes, words), 0
+    for size in map(len, found):
+        own = every[start:start + size - words + 1] if size >= words else windows(hashes[start:start + size], size)[:size]
+        own = np.sort(own)
+        yield own[np.append(True, own[1:] != own[:-1])[:len(own)]]
+        start += size
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; of a shorter text, that of all its words; without
-    words none."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-    width = min(words, len(found))
-    total = np.full(len(found) - width + 1, np.uint64(width))
-    for k in range(width):
-        total = total * FACTORS[0] + mixed(hashes[k:k + len(total)] + FACTORS[k % len(FACTORS)])
-    return np.unique(mixed(total))
+    return next(shingle_sets([words_of(text)], words))
 
 
 def node_of(shingles: np.ndarray) -> int | None:
@@ -87,10 +87,20 @@ def node_of(shingles: np.ndarray) -> int | None:
 
 
 def read_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int | None, np.ndarray, int | None]]:
+    def sets() -> Iterator[tuple[int | None, np.ndarray, int | None]]:
+        for doc, shingles in zip(docs, shingle_sets(found, words)):
+            yield doc, shingles, node_of(shingles)
+
     for batch in batches:
+        docs, found, size = [], [], 0
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            shingles = shingle_set(text, words)
-            yield doc, shingles, node_of(shingles)
+            docs.append(doc)
+            found.append(words_of(text))
+            size += len(found[-1])
+            if size >= SLICE_WORDS:
+                yield from sets()
+                docs, found, size = [], [], 0
+        yield from sets()
 
 
 def survey(docs: DataFrame, words: int, batch_shingles: int, often_in_batch: int) -> DataFrame:
@@ -373,33 +383,44 @@ def candidates(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def possible_pairs(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a below b, of rows a, n_a, room_a, b, n_b, room_b that could be similar."""
+    """Distinct (a, b), a below b, of rows a, n_a, room_a, b, n_b, room_b that could be similar; and, if the rows have them, the
+    components c_a and c_b of both."""
     fits = enough(F.col("n_a"), F.col("n_b"), F.least("room_a", "room_b"), percent)
+    ends = [("a", "b"), ("c_a", "c_b")] if "c_a" in pairs.columns else [("a", "b")]
+    first = F.col("a") < F.col("b")
     return pairs.filter((F.col("a") != F.col("b")) & fits).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        *(F.when(first, one).otherwise(F.col(other)).alias(name) for x, y in ends
+          for name, one, other in ((x, F.col(x), y), (y, F.col(y), x)))).distinct()
 
 
-SKETCH_WORDS = 8  # of 64 bits
+SKETCH_WORDS = 32  # of 64 bits; a power of 2
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    """A bit for each shingle's place among 512. A bit that another set's sketch lacks is a shingle that it lacks."""
-    spots = np.unique(shingles.view(np.uint64) >> np.uint64(55))
-    bits = np.zeros(SKETCH_WORDS, np.uint64)
-    np.bitwise_or.at(bits, (spots >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spots & np.uint64(63)))
-    return bits.view(np.int64)
+    """A bit for each shingle's place among 2048. A bit that another set's sketch lacks is a shingle that it lacks."""
+    bits = np.zeros(64 * SKETCH_WORDS, bool)
+    bits[(shingles.view(np.uint64) // np.uint64(2**64 // len(bits))).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
 
 
-def sketches_allow(sketch_a: str, sketch_b: str, n_a: str, n_b: str, percent: int) -> Column:
+def sketch_words(sketch: str) -> list[Column]:
+    return [F.get(sketch, F.lit(k)) for k in range(SKETCH_WORDS)]
+
+
+def words_allow(words_a: list[Column], words_b: list[Column], n_a: str, n_b: str, percent: int) -> Column:
     """False only for sets that cannot be similar: each has at most its size less the bits that the other lacks in common."""
-    def lacked(one: str, other: str) -> Column:
-        return sum((F.bit_count(F.get(one, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(k)))))
-                    for k in range(SKETCH_WORDS)), F.lit(0))
+    def lacked(one: list[Column], other: list[Column]) -> Column:
+        return sum((F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in zip(one, other)), F.lit(0))
 
-    common = F.least(F.col(n_a) - lacked(sketch_a, sketch_b), F.col(n_b) - lacked(sketch_b, sketch_a))
+    common = F.least(F.col(n_a) - lacked(words_a, words_b), F.col(n_b) - lacked(words_b, words_a))
     return enough(F.col(n_a), F.col(n_b), common, percent)
 
 
+def sketches_allow(sketch_a: str, sketch_b: str, n_a: str, n_b: str, percent: int) -> Column:
+    """``words_allow`` of two sketches that are arrays."""
+    return words_allow(sketch_words(sketch_a), sketch_words(sketch_b), n_a, n_b, percent)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar. Sets come to their pairs by two joins and are compared row by row, so a
     task holds two sets at a time, however long."""
@@ -408,7 +429,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.filter(enough(F.size("set_a"), F.size("set_b"), common, percent)).select("a", "b")
+    return both.filter(enough(F.size("set_a"), F.size("set_b"), common, percent)).select(*pairs.columns)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -460,24 +481,23 @@ def open_signatures(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drawn_stars(open_: DataFrame, number: int, percent: int) -> DataFrame:
-    """Pairs of every set with one set of its signature, drawn by a hash, if that is in another component."""
+    """Pairs of every set with one set of its signature, drawn by a hash, if that is in another component; with both components."""
     star = open_.groupBy("sig").agg(F.max_by(
         F.struct("node", "n", "room", "component"), F.xxhash64("sig", "node", F.lit(number))).alias("star"))
     return possible_pairs(open_.join(star, "sig").filter(F.col("component") != F.col("star.component")).select(
-        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"),
-        F.col("star.node").alias("b"), F.col("star.n").alias("n_b"), F.col("star.room").alias("room_b")), percent)
+        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"), F.col("component").alias("c_a"),
+        F.col("star.node").alias("b"), F.col("star.n").alias("n_b"), F.col("star.room").alias("room_b"),
+        F.col("star.component").alias("c_b")), percent)
 
 
 def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (node, component) after more ``links`` (a, b) between nodes, which may be new."""
-    ends = write_table(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    every = labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("component", F.col("node")))
-    from_a = every.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
-    from_b = every.select(F.col("node").alias("b"), F.col("component").alias("c_b"))
-    moved = components(links.join(from_a, "a").join(from_b, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
-    new = write_table(every.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-                      .select("node", F.coalesce("to", "component").alias("component")), "labels")
-    for old in (ends, moved, labels):
+    """``labels`` (node, component) after more links, given by the components of their ends (c_a, c_b). Links between the same two
+    components count once. A component that has no label yet is a set alone, which its number names."""
+    moved = components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    alone = moved.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    new = write_table(labels.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+                      .select("node", F.coalesce("to", "component").alias("component")).unionByName(alone), "labels")
+    for old in (moved, labels):
         drop_table(old)
     return new
 
@@ -554,22 +574,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         drop_table(open_)
         helps = found * FEW_LINKS > tried
     open_ = open_signatures(shared, labels)
-    drawn = sets.select("node", "sketch").dropDuplicates(["node"])
+    # A column per word, never null: the join reads them without looking into arrays.
+    spread = [F.coalesce(x, F.lit(0).cast("long")).alias(f"sketch_{k}") for k, x in enumerate(sketch_words("sketch"))]
+    drawn = sets.select("node", *spread).dropDuplicates(["node"])
     drawn_open = write_table(open_.join(drawn, "node"), "open", release=True)
     drop_table(open_)
     open_ = drawn_open
-    one = open_.select("sig", F.col("component").alias("c_a"), F.col("node").alias("a"),
-                       F.col("n").alias("n_a"), F.col("room").alias("room_a"), F.col("sketch").alias("sketch_a"))
-    two = open_.select(F.col("sig").alias("sig_b"), F.col("component").alias("c_b"),
-                       F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"),
-                       F.col("sketch").alias("sketch_b"))
+
+    def side(end: str, sig: str) -> DataFrame:
+        return open_.select(F.col("sig").alias(sig), F.col("component").alias(f"c_{end}"), F.col("node").alias(end),
+                            F.col("n").alias(f"n_{end}"), F.col("room").alias(f"room_{end}"),
+                            *(F.col(f"sketch_{k}").alias(f"sketch_{end}_{k}") for k in range(SKETCH_WORDS)))
+
+    one, two = side("a", "sig"), side("b", "sig_b")
+    in_a, in_b = ([F.col(f"sketch_{end}_{k}") for k in range(SKETCH_WORDS)] for end in "ab")
     meet = one.join(two, (F.col("sig") == F.col("sig_b")) & (F.col("c_a") < F.col("c_b"))
                     & enough(F.col("n_a"), F.col("n_b"), F.least("room_a", "room_b"), percent)
-                    & sketches_allow("sketch_a", "sketch_b", "n_a", "n_b", percent))
+                    & words_allow(in_a, in_b, "n_a", "n_b", percent))
     pairs = write_table(possible_pairs(meet, percent), "pairs", release=True)
     drop_table(open_)
     if not pairs.isEmpty():
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        involved = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
         some = sets.join(F.broadcast(involved) if small(involved, broadcast_ids) else involved, "node", "left_semi")
         links = write_table(verified(pairs, some, percent), "links", release=True)
         labels = joined_components(labels, links)

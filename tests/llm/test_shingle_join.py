@@ -143,3 +143,39 @@ def test_sketches_refuse_no_similar_pair(spark):
 def test_low_similarities_are_refused(spark):
     with pytest.raises(ValueError):
         sj.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), percent=49)
+
+
+def test_texts_hashed_together_have_their_own_shingles(monkeypatch):
+    """Windows never reach into the next text, whatever is hashed at a time."""
+    texts = [t for _, t in corpus(5, 60)] + ["", None, " \n", "one", "one two", "a b c d e", "a b c d e f " * 300]
+    alone = [sj.shingle_set(t) for t in texts]
+    assert [len(s) for s in alone] == [n for _, n, _ in brute(list(zip(range(100, 100 + len(texts)), texts)))]
+    for at_once in (1, 50, 1 << 16):
+        monkeypatch.setattr(sj, "SLICE_WORDS", at_once)
+        batch = sj.pa.record_batch([sj.pa.array(range(len(texts))), sj.pa.array(texts)], names=["id", "text"])
+        got = list(sj.read_sets(iter([batch]), 5))
+        assert [d for d, _, _ in got] == list(range(len(texts)))
+        assert all(np.array_equal(s, want) and node == sj.node_of(want) for (_, s, node), want in zip(got, alone))
+
+
+def test_links_between_components_count_once(spark, monkeypatch):
+    labels = sj.write_table(spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "node long, component long"), "labels")
+    links = spark.createDataFrame([(1, 3), (1, 3), (3, 1), (9, 8), (8, 9), (5, 3)], "c_a long, c_b long")
+    got = collections.defaultdict(set)
+    for r in sj.joined_components(labels, links).collect():
+        got[r.component].add(r.node)
+    assert sorted(map(sorted, got.values())) == [[1, 2, 3, 4, 5], [8, 9]]
+
+
+def test_sketch_rules_out_sets_that_are_not_similar(spark):
+    """Sets of 300 with 72 percent in common are told from similar ones before they are compared, and no similar sets are lost."""
+    rng, rows = np.random.default_rng(1), []
+    for k in range(200):
+        pool = rng.integers(1, 2**63, 400).astype(np.uint64) * np.uint64(2)
+        common = 248 if k % 2 else 264  # of 300 each: 70 and 78 percent
+        a, b = pool[:300], np.append(pool[:common], pool[300:600 - common])
+        rows.append((k % 2, 300, 300, sj.sketch_of(a).tolist(), sj.sketch_of(b).tolist()))
+    pairs = spark.createDataFrame(rows, "far int, n_a long, n_b long, a array<long>, b array<long>")
+    kept = pairs.filter(sj.sketches_allow("a", "b", "n_a", "n_b", 75)).groupBy("far").count().collect()
+    kept = {r["far"]: r["count"] for r in kept}
+    assert kept[0] == 100 and kept.get(1, 0) <= 10
