@@ -1,10 +1,13 @@
 import math
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Normalizer
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexivec import WordVectors, WordVectorsModel
 from lexivec.operators import averaging, documents, models, neighbours
@@ -272,3 +275,28 @@ def test_bounds_rule_blocks_out(spark):
                                   "number long, query string, asked array<float>, exclude string, `limit` double")
     pairs = neighbours.query_pairs(asked, blocks, True).count()
     assert pairs < 0.4 * 360 * len(blocks.pivot)
+
+
+def test_word_counts_are_made_in_slices(spark, monkeypatch):
+    """A batch of long texts is cut between texts: counts stay whole, and no step holds the words of the whole batch."""
+    sizes = []
+    cut = documents.word_slices
+    monkeypatch.setattr(documents, "word_slices", lambda lists: [sizes.append(len(x.flatten())) or x for x in cut(lists)])
+    texts = [[f"w{(i * j) % 97}" for j in range(300)] for i in range(3000)] + [None, []]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.list_(pa.string()))], names=["id", "tokens"])
+    count = []
+
+    class Rows:
+        schema = T.StructType([T.StructField("id", T.LongType())])
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, work, schema):
+            count.extend(work(iter([batch])))
+
+    documents.word_counts_of(Rows(), "id", "tokens")
+    got = {(k, w): n for b in count for k, w, n in zip(*(b.column(c).to_pylist() for c in range(3)))}
+    want = Counter((i, w) for i, t in enumerate(texts) for w in t or [])
+    assert got == want and sum(b.num_rows for b in count) == len(want)
+    assert sum(sizes) == 900_000 and max(sizes) <= 1 << 18
