@@ -300,3 +300,26 @@ def test_word_counts_are_made_in_slices(spark, monkeypatch):
     want = Counter((i, w) for i, t in enumerate(texts) for w in t or [])
     assert got == want and sum(b.num_rows for b in count) == len(want)
     assert sum(sizes) == 900_000 and max(sizes) <= 1 << 18
+
+
+def test_scores_below_the_limit_are_not_ranked(monkeypatch):
+    """Only what reaches the score that a query has already is looked at; a full ranking is left to queries without one."""
+    rng = np.random.default_rng(0)
+    matrix = rng.normal(size=(4000, 8))
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    block = pa.table({"words": [[f"w{k:04d}" for k in range(4000)]], "vectors": [matrix.tobytes()]})
+    asked = matrix[:50]
+    true = np.sort(asked @ matrix.T, axis=1)[:, ::-1]
+    ranked, partition = [], np.partition
+    monkeypatch.setattr(neighbours.np, "partition", lambda x, *a, **k: ranked.append(len(x)) or partition(x, *a, **k))
+
+    def score(limit):
+        queries = pa.table({"number": range(50), "query": [str(k) for k in range(50)], "exclude": pa.nulls(50, pa.string()),
+                            "asked": [x.tobytes() for x in asked], "limit": limit})
+        return neighbours.best_of_block(5)(queries, block).to_pylist()
+
+    every = score(np.full(50, -np.inf))
+    assert len(every) == 250 and ranked == [50]
+    some = score(true[:, 2])
+    assert ranked == [50]
+    assert some == [r for r in every if r["similarity"] >= true[r["number"], 2] - 1e-6]
