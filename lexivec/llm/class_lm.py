@@ -30,8 +30,9 @@ MOST_PARTS = 8  # a turn of one word in so many that still lowers the likelihood
 BROADCAST_WORDS = 1 << 21  # classes of more words meet the bigrams in a shuffled join
 RANGE_WORDS = 1 << 14  # words whose moves one task finds together
 COMBINED = 1 << 20  # bigrams added up at once
+HELD = 1 << 19  # neighbours of several chunks that are added up before they leave a task
 TOGETHER = 256  # words whose gains are computed at once
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1 << 20
 SLICE_TOKENS = 1 << 19  # tokens whose neighbours are counted together
 SENT_WORDS = 1 << 22  # classes of more words come to the chunks by a join
 BACKOFF = 50.0  # weight of the classes' own frequencies in the transitions
@@ -235,9 +236,10 @@ def bigram_neighbours(bigrams: DataFrame, words: int, classes: int):
     return count
 
 
-def neighbour_entries(flat: np.ndarray, w: np.ndarray, group: np.ndarray, turn: int, parts: int, classes: int, ranges: int) -> pa.RecordBatch:
-    """Neighbour rows of training tokens, given by local words with their numbers (-1: not clustered) and classes. Every
-    document closes with the end token, which precedes a first word."""
+def counted_neighbours(flat: np.ndarray, w: np.ndarray, group: np.ndarray, turn: int, parts: int,
+                       classes: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """The neighbours (w, own, cell, n) of training tokens, given by local words with their numbers (-1: not clustered) and
+    classes, and the counts of class after class. Every document closes with the end token, which precedes a first word."""
     size = classes + 1
     moving = (w >= 0) & (w % parts == turn % parts)
     table, keys, counts = np.zeros(size * size, np.int64), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -257,7 +259,13 @@ def neighbour_entries(flat: np.ndarray, w: np.ndarray, group: np.ndarray, turn:
     found, place = np.unique(np.concatenate(keys), return_inverse=True)
     n = np.bincount(place, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
     spot, cell = found // (2 * size), found % (2 * size)
-    return _neighbour_rows(w[spot], group[spot], cell, n, ranges, table)
+    return (w[spot], group[spot], cell, n), table
+
+
+def neighbour_entries(flat: np.ndarray, w: np.ndarray, group: np.ndarray, turn: int, parts: int, classes: int, ranges: int) -> pa.RecordBatch:
+    """``counted_neighbours`` as neighbour rows."""
+    entries, table = counted_neighbours(flat, w, group, turn, parts, classes)
+    return _neighbour_rows(*entries, ranges, table)
 
 
 def numbered_chunks(chunks: DataFrame, places: DataFrame) -> DataFrame:
@@ -288,10 +296,9 @@ def chunk_neighbours(numbered: DataFrame, places: DataFrame, words: int, classes
     task as one array; those of more come to each chunk for its own words by a join."""
     ranges = max(1, -(-words // RANGE_WORDS))
 
-    def rows_of(row: pa.Table, group_of: Callable[[np.ndarray], np.ndarray], turn: int, parts: int) -> pa.RecordBatch:
-        w = np.frombuffer(row["w"].combine_chunks()[0].as_buffer(), np.int64)
-        flat = np.frombuffer(row["tokens"].combine_chunks()[0].as_buffer(), np.uint32)
-        return neighbour_entries(flat, w, group_of(w), turn, parts, classes, ranges)
+    def read(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return (np.frombuffer(row["tokens"].combine_chunks()[0].as_buffer(), np.uint32),
+                np.frombuffer(row["w"].combine_chunks()[0].as_buffer(), np.int64))
 
     def by_array(groups: DataFrame, turn: int, parts: int) -> DataFrame:
         table = groups.toArrow()
@@ -300,9 +307,21 @@ def chunk_neighbours(numbered: DataFrame, places: DataFrame, words: int, classes
         sent = numbered.sparkSession.sparkContext.broadcast(known)
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def flush() -> pa.RecordBatch:
+                return _neighbour_rows(*_added(*(np.concatenate(x) for x in zip(*held)), 2 * (classes + 1)), ranges, table)
+
+            held, size, table = [], 0, 0
             for batch in batches:
                 for k in range(batch.num_rows):
-                    yield rows_of(pa.table(batch.slice(k, 1)), lambda w: sent.value[w].astype(np.int64), turn, parts)
+                    flat, w = read(pa.table(batch.slice(k, 1)))
+                    entries, counts = counted_neighbours(flat, w, sent.value[w].astype(np.int64), turn, parts, classes)
+                    held.append(entries)
+                    size, table = size + len(entries[0]), table + counts
+                    if size >= HELD:
+                        yield flush()
+                        held, size, table = [], 0, 0
+            if held:
+                yield flush()
 
         return numbered.select("w", "tokens").mapInArrow(pack, NEIGHBOURS)
 
@@ -315,11 +334,13 @@ def chunk_neighbours(numbered: DataFrame, places: DataFrame, words: int, classes
 
             if not chunk.num_rows:
                 return pa.Table.from_batches([neighbour_entries(*(np.empty(0, np.int64),) * 3, turn, parts, classes, ranges)])
-            return pa.Table.from_batches([rows_of(chunk, group_of, turn, parts)])
+            flat, w = read(chunk)
+            return pa.Table.from_batches([neighbour_entries(flat, w, group_of(w), turn, parts, classes, ranges)])
 
         replies = places.join(groups, "w").select(F.col("chunk").alias("for_chunk"), "spot", "class")
         return numbered.groupBy("chunk").cogroup(replies.groupBy("for_chunk")).applyInArrow(pack, NEIGHBOURS)
 
+    by_array.batch_rows = 1  # a chunk at a time
     return by_array if words <= sent_words else by_join
 
 
@@ -357,7 +378,7 @@ def better_classes(neighbours: DataFrame, table: np.ndarray, classes: int) -> Da
 def exchange_words(count: Callable[[DataFrame, int, int], DataFrame], dealt: DataFrame, words: int, classes: int = CLASSES,
                    half_sweeps: int | None = None, tolerance: float = TOLERANCE) -> tuple[DataFrame, np.ndarray]:
     """Exchange clustering from the classes ``dealt`` (w, class): the written classes and the class table. ``count`` gives
-    the neighbour rows of classes, turn and parts.
+    the neighbour rows of classes, turn and parts; it is handed ``count.batch_rows`` rows at a time, if it says so.
 
     By turns, every second word moves to the class that raises the likelihood most while the others stand
     still. Words that move together may spoil each other's gain: a turn that lowers the likelihood is
@@ -365,10 +386,10 @@ def exchange_words(count: Callable[[DataFrame, int, int], DataFrame], dealt: Dat
     ``tolerance`` of all gains so far (or when one word in ``MOST_PARTS`` at a time still lowers the likelihood, or after
     ``half_sweeps`` turns, if given). Words that are not in ``dealt`` keep one class of their own. Only class tables reach the driver.
     """
-    size = classes + 1
+    size, batch_rows = classes + 1, getattr(count, "batch_rows", 0)
     groups = write_table(dealt, "classes")
     turn, parts, gains = 0, 2, []
-    seen = write_table(count(groups, turn, parts), "neighbours", release=True)
+    seen = write_table(count(groups, turn, parts), "neighbours", release=True, batch_rows=batch_rows)
     table = table_of(seen, size)
     start = objective(table)
     while words and (half_sweeps is None or turn < half_sweeps):
@@ -376,7 +397,7 @@ def exchange_words(count: Callable[[DataFrame, int, int], DataFrame], dealt: Dat
             "w", F.coalesce("best", "class").alias("class")), "classes", release=True)
         drop_table(seen)
         turn += 1
-        seen = write_table(count(proposal, turn, parts), "neighbours", release=True)
+        seen = write_table(count(proposal, turn, parts), "neighbours", release=True, batch_rows=batch_rows)
         changed = table_of(seen, size)
         if objective(changed) < objective(table):
             drop_table(proposal)
@@ -384,7 +405,7 @@ def exchange_words(count: Callable[[DataFrame, int, int], DataFrame], dealt: Dat
             parts, gains = 2 * parts, []
             if parts > MOST_PARTS:
                 return groups, table
-            seen = write_table(count(groups, turn, parts), "neighbours", release=True)
+            seen = write_table(count(groups, turn, parts), "neighbours", release=True, batch_rows=batch_rows)
             continue
         drop_table(groups)
         gains.append(objective(changed) - objective(table))

@@ -176,6 +176,23 @@ def test_chunks_count_as_bigrams_do(spark, monkeypatch):
         assert found[0] == found[1] == found[2] and len(found[0]) > 20
 
 
+def test_chunks_of_a_task_are_added_up(spark):
+    """A task sends a range of words once, not once for each of its chunks, whatever it is handed at a time."""
+    rows = corpus(120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    chunks = lm.write_bucketed(lm.text_chunks(docs, 7, 2, chunk_tokens=300), "chunk", 1, "chunks")
+    words = sorted(r.words for r in chunks.selectExpr("inline(arrays_zip(words, train))").filter("train > 0").select("words").distinct().collect())
+    hashes = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "words long, w long")
+    places = chunks.selectExpr("chunk", "posexplode(words) as (spot, words)").join(hashes, "words").select("chunk", "spot", "w")
+    numbered = lm.write_bucketed(lm.numbered_chunks(chunks, places), "chunk", 1, "numbered")
+    assert numbered.count() > 3
+    dealt = lm.class_rows(chunks, np.arange(len(words)) % 5)
+    seen = [lm.write_table(lm.chunk_neighbours(numbered.coalesce(1), places, len(words), 5)(dealt, 0, 2), "neighbours", batch_rows=n)
+            for n in (0, 1)]
+    assert [s.filter("range >= 0").count() for s in seen] == [1, 1]
+    assert sorted(map(str, seen[0].collect())) == sorted(map(str, seen[1].collect()))
+
+
 def test_score_is_that_of_the_plain_model(spark, monkeypatch):
     rows = corpus(200) + [(1000, None), (1001, "n1 unseen v2 rare"), (1003, "rare rare once")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
