@@ -27,6 +27,7 @@ STEP = 0.1
 NEAR_BEST = 0.02
 BUCKET_PIECES = 1 << 13
 BATCH_TEXTS = 256
+BATCH_ROWS = 1000  # texts handed to Python at a time
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -248,4 +249,4 @@ def pack(pieces: DataFrame, capacity: int, rounds: int = ROUNDS) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Tokenizes, cuts and packs: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(write_table(token_pieces(docs, path, capacity, end_id), "pieces"), capacity)
+    return pack(write_table(token_pieces(docs, path, capacity, end_id), "pieces", batch_rows=BATCH_ROWS), capacity)

@@ -64,3 +64,19 @@ def test_documents(spark, monkeypatch):
     pieces = packing.token_pieces(docs, path, 64, 1, with_ids=True).collect()
     assert sorted(p.length for p in pieces) == sorted(got.length.tolist()) and all(len(p.ids) == p.length for p in pieces)
     assert packing.pack_documents(docs.limit(0), path).count() == 0
+
+
+def test_texts_reach_the_encoder_a_thousand_at_a_time(spark, monkeypatch):
+    """Not in batches of the session's size, which hold ten thousand texts of any length."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), *(pa.array([k], t) for k, t in (
+                (0, pa.int32()), (0, pa.int64()), (1, pa.int64()), (0, pa.int64())))],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    docs = spark.range(2500).coalesce(1).selectExpr("id as doc_id", "'a' as text")
+    monkeypatch.setattr(packing, "token_pieces", lambda docs, *_: docs.mapInArrow(sizes, packing.PIECE_SCHEMA))
+    got = [r.doc_id for r in packing.pack_documents(docs, "unused").collect()]
+    assert sum(got) == 2500 and max(got) <= 1000
