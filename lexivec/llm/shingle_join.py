@@ -34,6 +34,9 @@ OFTEN_IN_BATCH = 4  # sets of a batch that make a shingle a candidate for the li
 TRIPLE_SHARE = 0.01  # share of the documents from which three shingles are combined
 SMALL_LEVEL = 5  # documents below 2^5 shingles are indexed by single shingles only
 GROUP_ENTRIES = 100_000
+CROWDED = 64  # sets with the same signature above which they are compared block by block
+BLOCK_SETS = 256  # sets of a block, about
+SKETCHES_TOGETHER = 1 << 14  # pairs whose sketches are compared at once
 HOT_ENTRIES = 64  # documents of a batch with the same signature that are not sent to one place
 BROADCAST_IDS = 1 << 20
 
@@ -502,11 +505,86 @@ def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return new
 
 
+BLOCK = "node, component, n, sketch, met"
+
+
+def fitting_pairs(one: dict[str, np.ndarray], two: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ``one``, in ``two``) of the sets of two blocks that are in different components, share a signature with
+    room for similarity and whose sketches allow it; each once, however many signatures they share."""
+    least = -(-percent * (one["n"][:, None] + two["n"]) // (100 + percent))
+    fits = np.zeros(least.shape, bool)
+    sides = []
+    for side in (one, two):
+        order = np.argsort(side["sig"], kind="stable")
+        sigs, at, rooms = (side[c][order] for c in ("sig", "at", "room"))
+        starts, lengths, _ = grouped(sigs)
+        sides.append({s: (at[i:i + k], rooms[i:i + k]) for s, i, k in zip(sigs[starts].tolist(), starts, lengths)})
+    for sig in sides[0].keys() & sides[1].keys():
+        (at_a, rooms_a), (at_b, rooms_b) = sides[0][sig], sides[1][sig]
+        cells = np.ix_(at_a, at_b)
+        fits[cells] |= np.minimum(rooms_a[:, None], rooms_b) >= least[cells]
+    fits &= one["component"][:, None] != two["component"]
+    a, b = np.nonzero(fits)
+    stay = np.zeros(len(a), bool)
+    for i in range(0, len(a), SKETCHES_TOGETHER):
+        at_a, at_b = a[i:i + SKETCHES_TOGETHER], b[i:i + SKETCHES_TOGETHER]
+        both = np.bitwise_count(one["sketch"][at_a] & two["sketch"][at_b]).sum(axis=1, dtype=np.int64)
+        common = np.minimum(*(side["n"][at] - side["bits"][at] + both for side, at in ((one, at_a), (two, at_b))))
+        stay[i:i + SKETCHES_TOGETHER] = common >= least[at_a, at_b]
+    return a[stay], b[stay]
+
+
+def block_of(rows: pa.StructArray) -> dict[str, np.ndarray]:
+    """The columns of a block's sets, and its signatures with the place of their set."""
+    out = {c: rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n")}
+    sketch = rows.field("sketch")
+    out["sketch"] = sketch.flatten().to_numpy().view(np.uint64).reshape(len(rows), SKETCH_WORDS)
+    out["bits"] = np.bitwise_count(out["sketch"]).sum(axis=1, dtype=np.int64)
+    met = rows.field("met")
+    out["at"] = np.repeat(np.arange(len(rows)), met.value_lengths().to_numpy())
+    out |= {c: met.flatten().field(c).to_numpy() for c in ("sig", "room")}
+    return out
+
+
+def crowded_pairs(crowded: DataFrame, sketches: DataFrame, percent: int, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """Distinct (a, b, c_a, c_b) as of ``possible_pairs``, from rows (sig, node, n, room, component, crowd) of signatures that many
+    sets hold.
+
+    Near copies share hundreds of signatures, and a join by signature would meet each pair as often. Signatures of mostly
+    the same sets have one crowd, and the sets of a crowd come in blocks: each two blocks meet in one row, in which a pair of sets is
+    compared once. A row holds two blocks, so a crowd of any size is spread over rows."""
+    members = crowded.groupBy("crowd", "node").agg(
+        F.first("component").alias("component"), F.first("n").alias("n"), F.collect_list(F.struct("sig", "room")).alias("met"))
+    members = write_table(members.join(sketches.select("node", "sketch"), "node"), "members", release=True)
+    blocks = members.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / block_sets).alias("blocks"))
+    packed = write_table(
+        members.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
+        .groupBy("crowd", "block").agg(F.collect_list(F.struct(*BLOCK.split(", "))).alias("rows")), "blocks", release=True)
+    meet = packed.select("crowd", F.col("block").alias("block_a"), F.col("rows").alias("one")).join(
+        packed.select("crowd", F.col("block").alias("block_b"), F.col("rows").alias("two")), "crowd")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, two = (block_of(batch.column(c)[k].values) for c in (0, 1))
+                a, b = fitting_pairs(one, two, percent)
+                ends = one["node"][a], two["node"][b], one["component"][a], two["component"][b]
+                first = ends[0] < ends[1]
+                columns = [np.where(first, x, y) for i, j in ((0, 1), (2, 3)) for x, y in ((ends[i], ends[j]), (ends[j], ends[i]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "c_a", "c_b"])
+
+    found = write_table(meet.filter("block_a <= block_b").select("one", "two").mapInArrow(work, "a long, b long, c_a long, c_b long"),
+                        "crowded", release=True, batch_rows=1)
+    for old in (members, packed):
+        drop_table(old)
+    return found.distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
                     percent: int = PERCENT, listed: int = LISTED, batch_shingles: int = BATCH_SHINGLES,
                     group_entries: int = GROUP_ENTRIES, broadcast_ids: int = BROADCAST_IDS,
                     often_in_batch: int = OFTEN_IN_BATCH, hot_entries: int = HOT_ENTRIES,
-                    triple_share: float = TRIPLE_SHARE) -> DataFrame:
+                    triple_share: float = TRIPLE_SHARE, crowded: int = CROWDED) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id, node and component.
 
     Words are runs of signs other than ASCII white space with A-Z lower-cased. A document's set holds its distinct
@@ -517,7 +595,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     First every signature's sets are compared with one of them, a star, and those in other components with stars drawn anew
     while many find links; then sets that share a signature and are still in different components are compared with each
-    other. So all links between components are found, while a group of near copies costs a few comparisons per member.
+    other, those of signatures that more than ``crowded`` sets hold block by block. So all links between components are found, while a group of near copies costs a few comparisons per member.
     """
     if percent < 50:
         raise ValueError("sets of very different sizes are not looked for: percent must be 50 or more")
@@ -575,9 +653,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         helps = found * FEW_LINKS > tried
     open_ = open_signatures(shared, labels)
     # A column per word, never null: the join reads them without looking into arrays.
+    held = open_.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min(F.xxhash64("node")).alias("crowd"))
+    crowds = write_table(open_.join(held.filter(F.col("times") > crowded).select("sig", "crowd"), "sig"), "crowds", release=True)
     spread = [F.coalesce(x, F.lit(0).cast("long")).alias(f"sketch_{k}") for k, x in enumerate(sketch_words("sketch"))]
     drawn = sets.select("node", *spread).dropDuplicates(["node"])
-    drawn_open = write_table(open_.join(drawn, "node"), "open", release=True)
+    few = held.filter(F.col("times") <= crowded).select("sig")
+    drawn_open = write_table(open_.join(few, "sig", "left_semi").join(drawn, "node"), "open", release=True)
     drop_table(open_)
     open_ = drawn_open
 
@@ -591,7 +672,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     meet = one.join(two, (F.col("sig") == F.col("sig_b")) & (F.col("c_a") < F.col("c_b"))
                     & enough(F.col("n_a"), F.col("n_b"), F.least("room_a", "room_b"), percent)
                     & words_allow(in_a, in_b, "n_a", "n_b", percent))
-    pairs = write_table(possible_pairs(meet, percent), "pairs", release=True)
+    pairs = possible_pairs(meet, percent)
+    if not crowds.isEmpty():
+        sketches = sets.join(crowds.select("node").distinct(), "node", "left_semi").select("node", "sketch").dropDuplicates(["node"])
+        pairs = pairs.unionByName(crowded_pairs(crowds, sketches, percent)).distinct()
+    pairs = write_table(pairs, "pairs", release=True)
+    drop_table(crowds)
     drop_table(open_)
     if not pairs.isEmpty():
         involved = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()

@@ -179,3 +179,26 @@ def test_sketch_rules_out_sets_that_are_not_similar(spark):
     kept = pairs.filter(sj.sketches_allow("a", "b", "n_a", "n_b", 75)).groupBy("far").count().collect()
     kept = {r["far"]: r["count"] for r in kept}
     assert kept[0] == 100 and kept.get(1, 0) <= 10
+
+
+def test_crowded_signatures(spark):
+    # Every signature of more than two sets is compared block by block, and the result is that of all pairs.
+    rows = corpus(7, 160)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sj.near_duplicates(docs, crowded=2, often_in_batch=2, hot_entries=2).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(tuple(map(str, r[:1])) + (r[1], str(r[2])) for r in got) == brute(rows)
+
+
+def test_crowded_pairs_once(spark):
+    # Sets that share 60 signatures are compared once, over blocks of four sets; those of one component never.
+    rng = np.random.default_rng(5)
+    base, own = np.arange(1, 61, dtype=np.int64), rng.integers(1 << 40, 1 << 62, (12, 16))
+    sets = {k: np.sort(np.append(base, own[k])).view(np.uint64) for k in range(12)}
+    placed = [(int(s), k, 76, 76, 0 if k < 3 else k, 1) for k in sets for s in base]
+    crowded = spark.createDataFrame(placed, "sig long, node long, n long, room long, component long, crowd long")
+    sketches = spark.createDataFrame([(k, sj.sketch_of(x).tolist()) for k, x in sets.items()], "node long, sketch array<long>")
+    got = sj.crowded_pairs(crowded, sketches, 60, block_sets=4)
+    assert sorted((r.a, r.b) for r in got.collect()) == [(a, b) for a, b in combinations(range(12), 2) if b > 2]
+    assert sj.crowded_pairs(crowded, sketches, 75, block_sets=4).isEmpty()
+    short = crowded.withColumn("room", (crowded["room"] - 40).cast("long"))
+    assert sj.crowded_pairs(short, sketches, 60, block_sets=4).isEmpty()
