@@ -147,3 +147,8 @@ def encoder(kind: type[PieceEncoder], path: str) -> PieceEncoder:
     if key not in _encoders:
         _encoders[key] = kind(path)
     return _encoders[key]
+
+
+def release_encoders() -> None:
+    """Gives back the encoders of a Python worker that has turned to other work: workers outlive their tasks."""
+    _encoders.clear()

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexivec.llm.common import fresh, small
+from lexivec.llm.encoders import release_encoders
 from lexivec.sources.shared_tables import drop_table, write_table
 
 WORDS = 5
@@ -94,6 +95,7 @@ def read_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[i
         for doc, shingles in zip(docs, shingle_sets(found, words)):
             yield doc, shingles, node_of(shingles)
 
+    release_encoders()
     for batch in batches:
         docs, found, size = [], [], 0
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -104,6 +106,7 @@ def read_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[i
                 yield from sets()
                 docs, found, size = [], [], 0
         yield from sets()
+    pa.default_memory_pool().release_unused()
 
 
 def survey(docs: DataFrame, words: int, batch_shingles: int, often_in_batch: int) -> DataFrame:

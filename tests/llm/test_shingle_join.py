@@ -5,8 +5,10 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from lexivec.llm import encoders
 from lexivec.llm import shingle_join as sj
 
 
@@ -202,3 +204,11 @@ def test_crowded_pairs_once(spark):
     assert sj.crowded_pairs(crowded, sketches, 75, block_sets=4).isEmpty()
     short = crowded.withColumn("room", (crowded["room"] - 40).cast("long"))
     assert sj.crowded_pairs(short, sketches, 60, block_sets=4).isEmpty()
+
+
+def test_encoders_are_released():
+    """A worker that packed texts before does not hold the tokenizer and its pieces while it hashes sets."""
+    encoders._encoders["kind", "path"] = object()
+    batch = pa.record_batch({"id": [1, 2], "text": ["a b c d e f", None]})
+    assert [(doc, len(found)) for doc, found, _ in sj.read_sets(iter([batch]), 5)] == [(1, 2), (2, 0)]
+    assert not encoders._encoders
