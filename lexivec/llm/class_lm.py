@@ -7,9 +7,12 @@ nor the texts pass through one place.
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count as count_up
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +59,15 @@ def text_chunks(docs: DataFrame, folds: int, fold: int, key: str = "doc_id", tex
     """Rows of many documents: local word numbers (frequent words small), the words' hashes and how
     often each occurs in training documents. A document is its words and one end token."""
 
+    def numbers() -> dict[bytes, int]:
+        """Numbers its words as they are looked up; the end token is the first."""
+        local = defaultdict(count_up(1).__next__)
+        local[END] = 0
+        return local
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        local: dict[bytes, int] = {END: 0}
+        local = numbers()
         ids, sizes, tokens, total = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -80,14 +89,14 @@ def text_chunks(docs: DataFrame, folds: int, fold: int, key: str = "doc_id", tex
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = body.encode().lower().split()
                 found.append(END)
-                tokens.append(np.fromiter((local.setdefault(w, len(local)) for w in found), np.uint32, len(found)))
+                tokens.append(np.fromiter(map(local.__getitem__, found), np.uint32, len(found)))
                 ids.append(doc)
                 sizes.append(len(found))
                 total += len(found)
                 if total >= chunk_tokens:
                     yield flush()
                     number += 1
-                    local, ids, sizes, tokens, total = {END: 0}, [], [], [], 0
+                    local, ids, sizes, tokens, total = numbers(), [], [], [], 0
         if ids:
             yield flush()
 
@@ -134,13 +143,17 @@ def best_classes(table: np.ndarray, own: np.ndarray, after: np.ndarray, before:
         if not len(word):
             continue
         n = counts[word, cell]
-        rest = cells[cell]
-        rest[np.arange(len(word)), own[word]] -= n
+        rest, entry = cells[cell], np.arange(len(word))
+        rest[entry, own[word]] -= n
         same = np.flatnonzero(cell == own[word])
         rest[same] -= others[word[same], :movable]
         rest = np.maximum(rest, 0)
+        # Most cells are the table's, whose logarithms are taken once.
+        lost = _plogp(np.maximum(cells, 0))[cell]
+        lost[entry, own[word]] = _plogp(rest[entry, own[word]])
+        lost[same] = _plogp(rest[same])
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        gain[word[starts]] += np.add.reduceat(_plogp(rest + n[:, None]) - _plogp(rest), starts)
+        gain[word[starts]] += np.add.reduceat(_plogp(rest + n[:, None]) - lost, starts)
     # A word that follows itself is taken from its own cell twice; the cell stays at 0 as in best_class.
     lacking = np.maximum(after[every, own] + before[every, own] - table[own, own], 0)
     for totals, counts, others in ((table.sum(axis=1), after, before), (table.sum(axis=0), before, after)):
@@ -185,15 +198,62 @@ def class_rows(bigrams: DataFrame, classes: np.ndarray) -> DataFrame:
 NEIGHBOURS = "range long, w array<long>, own array<int>, cell array<int>, n array<long>"
 TABLE = -1
 
+# The same for the exchange itself: word, own class and cell as one number, ascending, and how often.
+PACKED = "range long, keys binary, n binary"
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys as one, in order."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[starts], np.add.reduceat(n[order], starts)
+
+
+def _keys(w: np.ndarray, own: np.ndarray, cell: np.ndarray, size: int) -> np.ndarray:
+    return (w.astype(np.int64) * size + own) * (2 * size) + cell
+
+
+def _of_keys(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rest, cell = np.divmod(keys, 2 * size)
+    return *np.divmod(rest, size), cell
+
 
-def _added(w: np.ndarray, own: np.ndarray, cell: np.ndarray, n: np.ndarray, cells: int) -> tuple[np.ndarray, ...]:
-    """Equal (w, cell) as one, in order."""
-    keys, first, place = np.unique(w * cells + cell, return_index=True, return_inverse=True)
-    return keys // cells, own[first], keys % cells, np.bincount(place, weights=n).astype(np.int64)
+def _added(w: np.ndarray, own: np.ndarray, cell: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Equal (w, own, cell) as one, in order."""
+    keys, n = _summed(_keys(w, own, cell, size), n)
+    return *_of_keys(keys, size), n
+
+
+def _numbers(n: np.ndarray) -> bytes:
+    return n.astype(np.int32 if n.max(initial=0) < 1 << 31 else np.int64).tobytes()
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and numbers of all rows of a range."""
+    keys = [np.frombuffer(x, np.int64) for x in rows["keys"].to_pylist()]
+    n = [np.frombuffer(x, f"i{len(x) // max(1, len(k))}").astype(np.int64) if len(k) else k for k, x in zip(keys, rows["n"].to_pylist())]
+    return np.concatenate(keys), np.concatenate(n)
 
 
 def _neighbour_rows(w: np.ndarray, own: np.ndarray, cell: np.ndarray, n: np.ndarray, ranges: int,
-                    table: np.ndarray) -> pa.RecordBatch:
+                    table: np.ndarray, packed: bool = False) -> pa.RecordBatch:
+    if packed:
+        keys = _keys(w, own, cell, math.isqrt(len(table)))
+        owner = np.zeros(len(w), np.int64)
+        if ranges > 1 and len(w):
+            owner = w % ranges
+            order = np.argsort(owner.astype(np.uint16) if ranges <= 1 << 16 else owner, kind="stable")
+            keys, n, owner = keys[order], n[order], owner[order]
+        cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[:len(owner)]
+        met = np.flatnonzero(table)
+        pieces = [(int(owner[i]), keys[i:j], n[i:j]) for i, j in zip(cuts, np.append(cuts[1:], len(keys)))]
+        pieces.append((TABLE, met, table[met]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r for r, _, _ in pieces], pa.int64()), pa.array([k.astype(np.int64).tobytes() for _, k, _ in pieces], pa.binary()),
+             pa.array([_numbers(x) for _, _, x in pieces], pa.binary())], names=["range", "keys", "n"])
     order = np.argsort(w % ranges, kind="stable")
     owner = (w % ranges)[order]
     starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[:len(owner)]
@@ -211,11 +271,11 @@ def bigram_neighbours(bigrams: DataFrame, words: int, classes: int):
     """Neighbour rows from a table of bigrams (a, b, n), for ``exchange_words``."""
     size, ranges = classes + 1, max(1, -(-words // RANGE_WORDS))
 
-    def count(groups: DataFrame, turn: int, parts: int) -> DataFrame:
+    def count(groups: DataFrame, turn: int, parts: int, packed: bool = False) -> DataFrame:
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def flush() -> pa.RecordBatch:
-                entries = _added(*(np.concatenate(x) for x in zip(*held)), 2 * size)
-                return _neighbour_rows(*entries, ranges, table)
+                entries = _added(*(np.concatenate(x) for x in zip(*held)), size)
+                return _neighbour_rows(*entries, ranges, table, packed)
 
             held, rows, table = [], 0, np.zeros(size * size, np.int64)
             for batch in batches:
@@ -231,7 +291,7 @@ def bigram_neighbours(bigrams: DataFrame, words: int, classes: int):
             if held:
                 yield flush()
 
-        return classed_bigrams(bigrams, groups, words, classes).mapInArrow(pack, NEIGHBOURS)
+        return classed_bigrams(bigrams, groups, words, classes).mapInArrow(pack, PACKED if packed else NEIGHBOURS)
 
     return count
 
@@ -256,16 +316,16 @@ def counted_neighbours(flat: np.ndarray, w: np.ndarray, group: np.ndarray, turn:
         starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))[:len(found)]
         keys.append(found[starts])
         counts.append(np.diff(starts, append=len(found)))
-    found, place = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(place, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
+    found, n = _summed(np.concatenate(keys), np.concatenate(counts))
     spot, cell = found // (2 * size), found % (2 * size)
     return (w[spot], group[spot], cell, n), table
 
 
-def neighbour_entries(flat: np.ndarray, w: np.ndarray, group: np.ndarray, turn: int, parts: int, classes: int, ranges: int) -> pa.RecordBatch:
+def neighbour_entries(flat: np.ndarray, w: np.ndarray, group: np.ndarray, turn: int, parts: int, classes: int, ranges: int,
+                      packed: bool = False) -> pa.RecordBatch:
     """``counted_neighbours`` as neighbour rows."""
     entries, table = counted_neighbours(flat, w, group, turn, parts, classes)
-    return _neighbour_rows(*entries, ranges, table)
+    return _neighbour_rows(*entries, ranges, table, packed)
 
 
 def numbered_chunks(chunks: DataFrame, places: DataFrame) -> DataFrame:
@@ -300,7 +360,7 @@ def chunk_neighbours(numbered: DataFrame, places: DataFrame, words: int, classes
         return (np.frombuffer(row["tokens"].combine_chunks()[0].as_buffer(), np.uint32),
                 np.frombuffer(row["w"].combine_chunks()[0].as_buffer(), np.int64))
 
-    def by_array(groups: DataFrame, turn: int, parts: int) -> DataFrame:
+    def by_array(groups: DataFrame, turn: int, parts: int, packed: bool = False) -> DataFrame:
         table = groups.toArrow()
         known = np.full(words + 1, classes, np.int16)
         known[table["w"].to_numpy()] = table["class"].to_numpy()
@@ -308,7 +368,7 @@ def chunk_neighbours(numbered: DataFrame, places: DataFrame, words: int, classes
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def flush() -> pa.RecordBatch:
-                return _neighbour_rows(*_added(*(np.concatenate(x) for x in zip(*held)), 2 * (classes + 1)), ranges, table)
+                return _neighbour_rows(*_added(*(np.concatenate(x) for x in zip(*held)), classes + 1), ranges, table, packed)
 
             held, size, table = [], 0, 0
             for batch in batches:
@@ -323,9 +383,9 @@ def chunk_neighbours(numbered: DataFrame, places: DataFrame, words: int, classes
             if held:
                 yield flush()
 
-        return numbered.select("w", "tokens").mapInArrow(pack, NEIGHBOURS)
+        return numbered.select("w", "tokens").mapInArrow(pack, PACKED if packed else NEIGHBOURS)
 
-    def by_join(groups: DataFrame, turn: int, parts: int) -> DataFrame:
+    def by_join(groups: DataFrame, turn: int, parts: int, packed: bool = False) -> DataFrame:
         def pack(chunk: pa.Table, reply: pa.Table) -> pa.Table:
             def group_of(w: np.ndarray) -> np.ndarray:
                 group = np.full(len(w), classes)
@@ -333,20 +393,29 @@ def chunk_neighbours(numbered: DataFrame, places: DataFrame, words: int, classes
                 return group
 
             if not chunk.num_rows:
-                return pa.Table.from_batches([neighbour_entries(*(np.empty(0, np.int64),) * 3, turn, parts, classes, ranges)])
+                return pa.Table.from_batches([neighbour_entries(*(np.empty(0, np.int64),) * 3, turn, parts, classes, ranges, packed)])
             flat, w = read(chunk)
-            return pa.Table.from_batches([neighbour_entries(flat, w, group_of(w), turn, parts, classes, ranges)])
+            return pa.Table.from_batches([neighbour_entries(flat, w, group_of(w), turn, parts, classes, ranges, packed)])
 
         replies = places.join(groups, "w").select(F.col("chunk").alias("for_chunk"), "spot", "class")
-        return numbered.groupBy("chunk").cogroup(replies.groupBy("for_chunk")).applyInArrow(pack, NEIGHBOURS)
+        return numbered.groupBy("chunk").cogroup(replies.groupBy("for_chunk")).applyInArrow(pack, PACKED if packed else NEIGHBOURS)
 
     by_array.batch_rows = 1  # a chunk at a time
     return by_array if words <= sent_words else by_join
 
 
 def table_of(neighbours: DataFrame, size: int) -> np.ndarray:
-    """Counts of class after class; ``size`` squared numbers come to the driver."""
-    cells = neighbours.filter(F.col("range") == TABLE).select(F.inline(F.arrays_zip("cell", "n")))
+    """Counts of class after class from packed rows; ``size`` squared numbers come to the driver."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size * size, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                cells, n = _unpacked(pa.table(batch))
+                np.add.at(table, cells, n)
+        met = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(table[met])], names=["cell", "n"])
+
+    cells = neighbours.filter(F.col("range") == TABLE).select("keys", "n").mapInArrow(add, "cell long, n long")
     table = np.zeros(size * size)
     for row in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():
         table[row["cell"]] = row["n"]
@@ -360,8 +429,10 @@ def better_classes(neighbours: DataFrame, table: np.ndarray, classes: int) -> Da
     sent = neighbours.sparkSession.sparkContext.broadcast(table)
 
     def move(rows: pa.Table) -> pa.Table:
-        w, own, cell, n = _added(*(rows[c].combine_chunks().flatten().to_numpy() for c in ("w", "own", "cell", "n")), 2 * size)
-        found, first, place = np.unique(w, return_index=True, return_inverse=True)
+        keys, n = _summed(*_unpacked(rows))
+        w, own, cell = _of_keys(keys, size)
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))[:len(w)]
+        found, place = w[first], np.repeat(np.arange(len(first)), np.diff(first, append=len(w)))
         best = np.empty(len(found), np.int64)
         for at in range(0, len(found), TOGETHER):
             some = slice(*np.searchsorted(place, (at, at + TOGETHER)))
@@ -389,7 +460,7 @@ def exchange_words(count: Callable[[DataFrame, int, int], DataFrame], dealt: Dat
     size, batch_rows = classes + 1, getattr(count, "batch_rows", 0)
     groups = write_table(dealt, "classes")
     turn, parts, gains = 0, 2, []
-    seen = write_table(count(groups, turn, parts), "neighbours", release=True, batch_rows=batch_rows)
+    seen = write_table(count(groups, turn, parts, True), "neighbours", release=True, batch_rows=batch_rows)
     table = table_of(seen, size)
     start = objective(table)
     while words and (half_sweeps is None or turn < half_sweeps):
@@ -397,7 +468,7 @@ def exchange_words(count: Callable[[DataFrame, int, int], DataFrame], dealt: Dat
             "w", F.coalesce("best", "class").alias("class")), "classes", release=True)
         drop_table(seen)
         turn += 1
-        seen = write_table(count(proposal, turn, parts), "neighbours", release=True, batch_rows=batch_rows)
+        seen = write_table(count(proposal, turn, parts, True), "neighbours", release=True, batch_rows=batch_rows)
         changed = table_of(seen, size)
         if objective(changed) < objective(table):
             drop_table(proposal)
@@ -405,7 +476,7 @@ def exchange_words(count: Callable[[DataFrame, int, int], DataFrame], dealt: Dat
             parts, gains = 2 * parts, []
             if parts > MOST_PARTS:
                 return groups, table
-            seen = write_table(count(groups, turn, parts), "neighbours", release=True, batch_rows=batch_rows)
+            seen = write_table(count(groups, turn, parts, True), "neighbours", release=True, batch_rows=batch_rows)
             continue
         drop_table(groups)
         gains.append(objective(changed) - objective(table))

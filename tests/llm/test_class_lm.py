@@ -5,6 +5,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from lexivec.llm import class_lm as lm
 
@@ -232,3 +234,19 @@ def test_score_is_that_of_the_plain_model(spark, monkeypatch):
             want += math.log10(moves(a, b)) + (math.log10((counts[w] - discount) / mass[b]) if b < 5 else 0.0)
             before = w
         assert math.isclose(got[doc], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_packed_neighbours(spark):
+    """The exchange is handed bytes, not arrays, and they say the same, also of counts beyond 32 bits and of many ranges."""
+    size, table = 6, np.arange(36) * (1 << 28)
+    w, own, cell = np.array([7, 2, 9, 2, 12]), np.array([1, 3, 0, 3, 5]), np.array([11, 4, 0, 10, 2])
+    n = np.array([1, 2, 1 << 40, 3, 5])
+    for ranges in (1, 5):
+        rows = pa.Table.from_batches([lm._neighbour_rows(w, own, cell, n, ranges, table, packed=True)])
+        assert rows.schema.types == [pa.int64(), pa.binary(), pa.binary()]
+        keys, times = lm._unpacked(rows.filter(pc.field("range") != lm.TABLE))
+        assert sorted(zip(*(x.tolist() for x in lm._of_keys(keys, size)), times.tolist())) == sorted(zip(*(x.tolist() for x in (w, own, cell, n))))
+        assert all(k // (2 * size * size) % ranges == r for r, b in zip(rows["range"].to_pylist(), rows["keys"].to_pylist())
+                   if r != lm.TABLE for k in np.frombuffer(b, np.int64))
+        packed = spark.createDataFrame(pa.concat_tables([rows, rows]).to_pylist(), "range long, keys binary, n binary")
+        assert (lm.table_of(packed, size).ravel() == 2 * table).all()
