@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexivec.operators import huffman
 from lexivec.operators.count_runs import NegativeLine, count_runs, runs_of
 from lexivec.operators.huffman import huffman_paths
+from lexivec.operators.lookup import table_bytes
 
 
 def codes_of(counts):
@@ -115,3 +117,15 @@ def test_negative_line_is_the_distribution():
         drawn = line.others(u[None, :], np.array([center]))[0]
         want = np.where(np.arange(7) == center, 0, p) / (1 - p[center])
         assert np.allclose(np.bincount(drawn, minlength=7) / 20_000, want, atol=2e-4)
+
+
+def test_paths_are_measured_and_joined_as_single_numbers(spark):
+    """Paths of 2 million words of 17 steps are broadcast: shuffling them would shuffle every pair."""
+    codes = spark.createDataFrame([(0, [1, 0], [5, 3]), (1, [0], [5])], "word_id int, code array<int>, point array<int>")
+    pairs = spark.createDataFrame([(7, 0, 1), (8, 1, 0)], "k bigint, center int, context int")
+    rows = huffman.hs_training_rows(pairs, codes, ("k",))
+    assert sorted(map(tuple, rows.collect())) == [(7, 1, 0, 3, 1), (7, 1, 0, 5, 0), (8, 0, 1, 5, 1)]
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+    path = F.array_repeat(F.lit(1), 17)
+    measured = table_bytes(spark.range(100).select(F.col("id").cast("int").alias("center"), path.alias("path"))) / 100
+    assert measured * 2_000_000 <= huffman.PATHS_LIMIT_BYTES
